@@ -1,0 +1,124 @@
+"""The whole batch job: enriched events in, alerts, mitigations and counts out."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+from dataclasses import dataclass
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from sparkwarden.config import DEFAULT_CONFIG, DetectConfig
+from sparkwarden.operators import alerts as rules
+from sparkwarden.operators.anomaly import anomaly_alerts, anomaly_hits
+from sparkwarden.operators.brute_force import brute_force_candidates
+from sparkwarden.operators.port_scan import port_scan_candidates
+from sparkwarden.operators.respond import drop_blocked, first_blocks, mitigations, routes_table
+from sparkwarden.plans.materialize import materialize
+from sparkwarden.sources.tables import read_events, write_events
+from sparkwarden.schema import ANOMALY_RULE, BLOCK_PLAYBOOK, BRUTE_RULE, INTEL_RULE, ROUTES_INTENDED, SCAN_RULE
+
+Rule = Callable[[DataFrame, DetectConfig], DataFrame]
+
+
+def rule_set(model: DataFrame | None = None, extra: dict[str, Rule] | None = None) -> dict[str, Rule]:
+    """The rules in evaluation order, each ``(events, config) -> alerts``; without a model there is no anomaly rule.
+    ``extra`` adds rules of the same form by name."""
+    named: dict[str, Rule] = {
+        "intel": rules.intel_alerts,
+        "brute": rules.brute_force_alerts,
+        "scan": rules.port_scan_alerts,
+        "escalation": rules.escalation_alerts,
+    }
+    if model is not None:
+        named["anomaly"] = lambda events, cfg: anomaly_alerts(events, model, cfg)
+    named.update(extra or {})
+    return named
+
+
+def detect(
+    events: DataFrame,
+    cfg: DetectConfig = DEFAULT_CONFIG,
+    model: DataFrame | None = None,
+    extra: dict[str, Rule] | None = None,
+) -> DataFrame:
+    """Alerts of all rules over enriched events.
+
+    Each rule is also a query of its own: write them one by one if a failing rule must not stop the others.
+    """
+    out = None
+    for rule in rule_set(model, extra).values():
+        found = rule(events, cfg)
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
+def block_points(
+    events: DataFrame,
+    cfg: DetectConfig = DEFAULT_CONFIG,
+    model: DataFrame | None = None,
+    routes=ROUTES_INTENDED,
+    prior: DataFrame | None = None,
+) -> DataFrame:
+    """First block of each source over unfiltered events, ``source_ip, block_ts, block_seq``.
+
+    A source's first block depends on its own earlier events only, and the first firing of a windowed rule is its
+    first candidate, so no re-arming is needed here. ``prior`` holds blocks from before (same columns).
+    """
+    blocking = {rule for rule, playbook in routes if playbook == BLOCK_PLAYBOOK}
+    points = [] if prior is None else [prior.select("source_ip", "block_ts", "block_seq")]
+
+    def add(df, key, ts, seq):
+        points.append(df.select(key.alias("source_ip"), ts.alias("block_ts"), seq.alias("block_seq")))
+
+    by_event = (F.col("source_ip"), F.unix_micros("event_ts"), F.col("event_seq"))
+    by_key = (F.col("key"), F.col("ts_us"), F.col("event_seq"))
+    if INTEL_RULE in blocking:
+        add(rules.intel_hits(events, cfg), *by_event)
+    if BRUTE_RULE in blocking:
+        add(brute_force_candidates(events, cfg), *by_key)
+    if SCAN_RULE in blocking:
+        add(port_scan_candidates(events, cfg), *by_key)
+    if ANOMALY_RULE in blocking and model is not None:
+        add(anomaly_hits(events, model, cfg, ("source_ip", "event_ts")), *by_event)
+    if not points:
+        empty = events.select("source_ip", F.unix_micros("event_ts").alias("block_ts"), F.col("event_seq").alias("block_seq"))
+        return empty.filter("false")
+    out = points[0]
+    for p in points[1:]:
+        out = out.unionByName(p)
+    return first_blocks(out)
+
+
+@dataclass(frozen=True)
+class BatchResult:
+    kept: DataFrame
+    dropped: DataFrame
+    alerts: DataFrame
+    mitigations: DataFrame
+    blocks: DataFrame
+
+
+def run_batch(
+    events: DataFrame,
+    cfg: DetectConfig = DEFAULT_CONFIG,
+    model: DataFrame | None = None,
+    routes=ROUTES_INTENDED,
+    prior: DataFrame | None = None,
+    extra: dict[str, Rule] | None = None,
+    events_path: str | None = None,
+) -> BatchResult:
+    """Exact block feedback in two passes over enriched events.
+
+    Pass 1 finds each source's first block; its later events are dropped; pass 2 runs every rule on the rest. Blocks
+    and alerts are written once to the shared folder, as several branches read them. With ``events_path`` the kept
+    events are appended to that event store first and the rules read them from there, so that parsing, enrichment and
+    the drop are not repeated for each rule; the path must be new to this run.
+    """
+    blocks = materialize(block_points(events, cfg, model, routes, prior))
+    kept, dropped = drop_blocked(events, blocks)
+    if events_path is not None:
+        write_events(kept, events_path)
+        kept = read_events(events.sparkSession, events_path).select(*events.columns)
+    found = materialize(detect(kept, cfg, model, extra))
+    return BatchResult(kept, dropped, found, mitigations(found, routes_table(events.sparkSession, routes)), blocks)
