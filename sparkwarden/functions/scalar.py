@@ -8,19 +8,23 @@ from pyspark.sql import functions as F
 from sparkwarden.schema import ACTION_SEVERITY, SEVERITY_RANK
 
 
-def _literal_map(values: dict) -> Column:
-    return F.create_map(*[F.lit(x) for pair in values.items() for x in pair])
+def map_sql(values: dict) -> str:
+    """SQL text of a literal map."""
+    return "map(" + ", ".join(f"{k!r}, {v!r}" for k, v in values.items()) + ")"
 
 
-def action_severity(action: Column, default: Column | None = None) -> Column:
-    """Severity of an action; unknown actions get ``default``, else ``info``."""
-    known = F.try_element_at(_literal_map(ACTION_SEVERITY), action)
-    return F.coalesce(known, default, F.lit("info")) if default is not None else F.coalesce(known, F.lit("info"))
+# Severity of ``{action}``; null-free, unknown actions are ``info``.
+ACTION_SEVERITY_SQL = f"coalesce(try_element_at({map_sql(ACTION_SEVERITY)}, {{action}}), 'info')"
 
 
-def severity_rank(severity: Column, default: int = 1) -> Column:
-    """Rank of a severity word in any case; unknown or null words get ``default``."""
-    return F.coalesce(F.try_element_at(_literal_map(SEVERITY_RANK), F.lower(severity)), F.lit(default))
+def action_severity(action: str, default: str = "null") -> Column:
+    """Severity of the action in column ``action``; unknown actions get the column ``default``, else ``info``."""
+    return F.expr(f"coalesce(try_element_at({map_sql(ACTION_SEVERITY)}, {action}), {default}, 'info')")
+
+
+def severity_rank(severity: str, default: int = 1) -> Column:
+    """Rank of the severity word in column ``severity``, in any case; unknown or null words get ``default``."""
+    return F.expr(f"coalesce(try_element_at({map_sql(SEVERITY_RANK)}, lower({severity})), {default})")
 
 
 # The month-first clock time of a syslog header, and the ISO forms read from JSON.
@@ -65,11 +69,10 @@ def utc_wall(ts: Column) -> Column:
     return F.timestamp_add("MICROSECOND", F.unix_micros(ts), epoch)
 
 
-def static_features(wall: Column, action: Column) -> dict[str, Column]:
-    """Hour, weekend, failed-login and sudo indicators of one event."""
-    return {
-        "hour_of_day": F.coalesce(F.hour(wall), F.lit(0)),
-        "is_weekend": F.coalesce((F.weekday(wall) >= 5).cast("int"), F.lit(0)),
-        "is_failed_login": F.coalesce((action == "FAILED_LOGIN").cast("int"), F.lit(0)),
-        "is_sudo": F.coalesce((action == "SUDO_COMMAND").cast("int"), F.lit(0)),
-    }
+# Hour, weekend, failed-login and sudo indicators of one event with ``event_wall`` and ``action``.
+STATIC_FEATURES = (
+    "coalesce(hour(event_wall), 0) AS hour_of_day",
+    "coalesce(int(weekday(event_wall) >= 5), 0) AS is_weekend",
+    "coalesce(int(action = 'FAILED_LOGIN'), 0) AS is_failed_login",
+    "coalesce(int(action = 'SUDO_COMMAND'), 0) AS is_sudo",
+)

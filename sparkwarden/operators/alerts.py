@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkwarden.config import DEFAULT_CONFIG, DetectConfig
@@ -12,7 +12,6 @@ from sparkwarden.operators import priv_escalation as pe
 from sparkwarden.operators.evidence import EVIDENCE_FIELDS, attach_evidence
 from sparkwarden.operators.timebuckets import SECOND_US
 from sparkwarden.schema import (
-    ALERT_COLUMNS,
     ALERT_METADATA,
     BRUTE_RULE,
     ESCALATION_RULE,
@@ -24,48 +23,40 @@ from sparkwarden.schema import (
 )
 
 
-def _metadata(fields: dict[str, Column]) -> Column:
-    return F.struct(
-        *[fields.get(name, F.lit(None)).cast(kind).alias(name) for name, kind in ALERT_METADATA.items()]
-    )
-
-
-def make_alerts(df: DataFrame, rule: str, fields: dict[str, Column], metadata: dict[str, Column]) -> DataFrame:
+def make_alerts(df: DataFrame, rule: str, fields: dict[str, str], metadata: dict[str, str]) -> DataFrame:
     """Alert rows of ``rule``. ``df`` has ``key, trigger_seq, trigger_ts, evidence, evidence_count``; ``fields`` gives
-    ``source_ip, user, description, context`` (null if absent).
+    SQL texts of ``source_ip, user, description, context`` (null if absent), ``metadata`` those of the rule's details.
 
     The id is a hash of rule, key and triggering event, so a rerun gives the same ids; times are event time.
     """
-    made = F.timestamp_micros("trigger_ts")
-    return df.select(
-        F.sha2(F.concat_ws("|", F.lit(rule), "key", F.col("trigger_seq").cast("string")), 256).alias("alert_id"),
-        F.lit(rule).alias("rule_name"),
-        F.lit(RULE_ORDER.index(rule)).alias("rule_order"),
-        F.lit(RULE_SEVERITY[rule]).alias("severity"),
-        *[
-            fields.get(name, F.lit(None)).cast("string").alias(name)
-            for name in ("source_ip", "user", "description", "context")
-        ],
-        F.col("evidence").cast(EVIDENCE_TYPE).alias("evidence"),
-        F.col("evidence_count").cast("bigint").alias("evidence_count"),
-        _metadata(metadata).alias("metadata"),
-        F.lit("new").alias("status"),
-        made.alias("created_at"),
-        made.alias("updated_at"),
+    details = ", ".join(
+        f"'{name}', CAST({metadata.get(name, 'null')} AS {kind})" for name, kind in ALERT_METADATA.items()
+    )
+    return df.selectExpr(
+        f"sha2(concat_ws('|', '{rule}', key, trigger_seq), 256) AS alert_id",
+        f"'{rule}' AS rule_name",
+        f"{RULE_ORDER.index(rule)} AS rule_order",
+        f"'{RULE_SEVERITY[rule]}' AS severity",
+        *[f"CAST({fields.get(n, 'null')} AS string) AS {n}" for n in ("source_ip", "user", "description", "context")],
+        f"CAST(evidence AS {EVIDENCE_TYPE}) AS evidence",
+        "CAST(evidence_count AS bigint) AS evidence_count",
+        f"named_struct({details}) AS metadata",
+        "'new' AS status",
+        "timestamp_micros(trigger_ts) AS created_at",
+        "timestamp_micros(trigger_ts) AS updated_at",
         "trigger_seq",
-    ).select(*ALERT_COLUMNS)
+    )
 
 
 def single_event(events: DataFrame) -> DataFrame:
     """Events as firings that are their own evidence."""
-    return events.withColumns(
-        {
-            "key": F.coalesce("source_ip", F.lit("")),
-            "trigger_ts": F.unix_micros("event_ts"),
-            "trigger_seq": F.col("event_seq"),
-            "evidence": F.array(F.struct(*EVIDENCE_FIELDS)),
-            "evidence_count": F.lit(1),
-        }
+    return events.selectExpr(
+        "*",
+        "coalesce(source_ip, '') AS key",
+        "unix_micros(event_ts) AS trigger_ts",
+        "event_seq AS trigger_seq",
+        f"array(struct({', '.join(EVIDENCE_FIELDS)})) AS evidence",
+        "1L AS evidence_count",
     )
 
 
@@ -79,23 +70,16 @@ def brute_force_alerts(events: DataFrame, cfg: DetectConfig = DEFAULT_CONFIG) ->
         cfg.bucket_factor * window_us,
         cfg.evidence_cap,
     )
-    text = F.format_string(
-        "Brute force attack detected: %d failed login attempts from %s within %d seconds. Targeted user(s): %s",
-        "evidence_count",
-        "key",
-        F.lit(cfg.brute_window_s),
-        F.array_join("users", ", "),
-    )
-    return make_alerts(
-        fired,
-        BRUTE_RULE,
-        {"source_ip": F.col("key"), "description": text},
-        {
-            "attempt_count": F.col("evidence_count"),
-            "window_seconds": F.lit(cfg.brute_window_s),
-            "targeted_users": F.col("users"),
-        },
+    text = (
+        "format_string('Brute force attack detected: %d failed login attempts from %s within %d seconds. "
+        f"Targeted user(s): %s', evidence_count, key, {cfg.brute_window_s}, array_join(users, ', '))"
     )
+    details = {
+        "attempt_count": "evidence_count",
+        "window_seconds": str(cfg.brute_window_s),
+        "targeted_users": "users",
+    }
+    return make_alerts(fired, BRUTE_RULE, {"source_ip": "key", "description": text}, details)
 
 
 def port_scan_alerts(events: DataFrame, cfg: DetectConfig = DEFAULT_CONFIG) -> DataFrame:
@@ -108,85 +92,67 @@ def port_scan_alerts(events: DataFrame, cfg: DetectConfig = DEFAULT_CONFIG) -> D
         cfg.bucket_factor * window_us,
         cfg.evidence_cap,
     )
-    text = F.format_string(
-        "Port scan detected: %s connected to %d unique ports within %d seconds. Ports: [%s]",
-        "key",
-        F.size("ports"),
-        F.lit(cfg.scan_window_s),
-        F.array_join(F.col("ports").cast("array<string>"), ", "),
-    )
-    return make_alerts(
-        fired,
-        SCAN_RULE,
-        {"source_ip": F.col("key"), "description": text},
-        {
-            "unique_port_count": F.size("ports"),
-            "ports_scanned": F.col("ports"),
-            "window_seconds": F.lit(cfg.scan_window_s),
-        },
+    text = (
+        "format_string('Port scan detected: %s connected to %d unique ports within %d seconds. Ports: [%s]', "
+        f"key, size(ports), {cfg.scan_window_s}, array_join(CAST(ports AS array<string>), ', '))"
     )
+    details = {
+        "unique_port_count": "size(ports)",
+        "ports_scanned": "ports",
+        "window_seconds": str(cfg.scan_window_s),
+    }
+    return make_alerts(fired, SCAN_RULE, {"source_ip": "key", "description": text}, details)
 
 
 def escalation_alerts(events: DataFrame, cfg: DetectConfig = DEFAULT_CONFIG) -> DataFrame:
     """Evidence is the user's failures in the look-back and the sudo itself; the sudo supplies source and command."""
     lookback_us = cfg.escalation_lookback_s * SECOND_US
-    # the command rides in the evidence's raw field of sudo rows only as far as this function
+    # message rides along with raw as far as this function
     rows = pe.login_and_sudo(events).withColumn("raw", F.struct("raw", "message"))
     fired = attach_evidence(
         pe.escalation_firings(events, cfg), rows, "user", lookback_us, cfg.bucket_factor * lookback_us
     )
-    trigger = F.element_at("evidence", -1)
-    kept = F.filter("evidence", lambda e: (e["action"] == "FAILED_LOGIN") | (e["event_seq"] == F.col("trigger_seq")))
+    plain = ", ".join(f"{'e.raw.raw' if f == 'raw' else 'e.' + f} AS {f}" for f in EVIDENCE_FIELDS)
     fired = (
-        fired.withColumn("_trigger", trigger)
-        .withColumn("evidence", kept)
-        .withColumn("evidence_count", F.size("evidence"))
-        .withColumn("_command", F.coalesce("_trigger.raw.message", F.lit("unknown")))
-        .withColumn("_source", F.coalesce("_trigger.source_ip", F.lit("local")))
+        # sudo rows that did not fire are no evidence
+        fired.withColumn("evidence", F.expr("filter(evidence, e -> e.action = 'FAILED_LOGIN' OR e.event_seq = trigger_seq)"))
+        .selectExpr(
+            "key", "trigger_ts", "trigger_seq", "size(evidence) AS evidence_count",
+            f"transform(evidence, e -> struct({plain})) AS evidence",
+            "coalesce(element_at(evidence, -1).raw.message, 'unknown') AS command",
+            "coalesce(element_at(evidence, -1).source_ip, 'local') AS source",
+        )
     )
     if cfg.evidence_cap is not None:
         cap = cfg.evidence_cap
         fired = fired.withColumn(
-            "evidence", F.when(F.size("evidence") > cap, F.slice("evidence", -cap, cap)).otherwise(F.col("evidence"))
+            "evidence", F.expr(f"if(size(evidence) > {cap}, slice(evidence, -{cap}, {cap}), evidence)")
         )
-    plain = F.transform(
-        "evidence", lambda e: F.struct(*[(e["raw"]["raw"] if f == "raw" else e[f]).alias(f) for f in EVIDENCE_FIELDS])
-    )
-    fired = fired.withColumn("evidence", plain)
-    failures = F.col("evidence_count") - 1
-    text = F.format_string(
-        "Potential privilege escalation: User '%s' executed sudo command after %d failed authentication attempt(s) "
-        "within %ds. Command: %s",
-        "key",
-        failures,
-        F.lit(cfg.escalation_lookback_s),
-        "_command",
-    )
-    return make_alerts(
-        fired,
-        ESCALATION_RULE,
-        {"source_ip": F.col("_source"), "user": F.col("key"), "description": text},
-        {
-            "user": F.col("key"),
-            "failed_auth_count": failures,
-            "sudo_command": F.col("_command"),
-            "lookback_seconds": F.lit(cfg.escalation_lookback_s),
-        },
+    text = (
+        "format_string('Potential privilege escalation: User \\'%s\\' executed sudo command after %d failed "
+        "authentication attempt(s) within %ds. Command: %s', "
+        f"key, evidence_count - 1, {cfg.escalation_lookback_s}, command)"
     )
+    details = {
+        "user": "key",
+        "failed_auth_count": "evidence_count - 1",
+        "sudo_command": "command",
+        "lookback_seconds": str(cfg.escalation_lookback_s),
+    }
+    return make_alerts(fired, ESCALATION_RULE, {"source_ip": "source", "user": "key", "description": text}, details)
 
 
 def intel_hits(events: DataFrame, cfg: DetectConfig = DEFAULT_CONFIG) -> DataFrame:
     """Enriched events whose reputation score reaches the minimum."""
-    return events.filter(F.col("intel.reputation_score") >= cfg.intel_min_score)
+    return events.filter(f"intel.reputation_score >= {cfg.intel_min_score}")
 
 
 def intel_alerts(events: DataFrame, cfg: DetectConfig = DEFAULT_CONFIG) -> DataFrame:
     """One alert per enriched event of a bad source; no shuffle."""
-    context = F.format_string(
-        "IP found in Threat Intelligence Platform. Reputation Score: %d. Tags: [%s]",
-        "intel.reputation_score",
-        F.array_join("intel.tags", ", "),
+    context = (
+        "format_string('IP found in Threat Intelligence Platform. Reputation Score: %d. Tags: [%s]', "
+        "intel.reputation_score, array_join(intel.tags, ', '))"
     )
     return make_alerts(
-        single_event(intel_hits(events, cfg)), INTEL_RULE, {"source_ip": F.col("source_ip"), "context": context}, {}
+        single_event(intel_hits(events, cfg)), INTEL_RULE, {"source_ip": "source_ip", "context": context}, {}
     )

@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
 from sparkwarden.config import DEFAULT_CONFIG, DetectConfig
 from sparkwarden.operators.rearm import firings
@@ -12,23 +11,24 @@ from sparkwarden.operators.timebuckets import SECOND_US, with_halo
 
 def failed_logins(events: DataFrame) -> DataFrame:
     """Failed logins with a source, the only rows the rule looks at."""
-    return events.filter((F.col("action") == "FAILED_LOGIN") & F.col("source_ip").isNotNull())
+    return events.filter("action = 'FAILED_LOGIN' AND source_ip IS NOT NULL")
 
 
 def brute_force_candidates(events: DataFrame, cfg: DetectConfig = DEFAULT_CONFIG) -> DataFrame:
     """Failures whose T-th latest failure of the same source is at most W old; ``q_*`` is that failure."""
     window_us = cfg.brute_window_s * SECOND_US
-    rows = failed_logins(events).select(
-        F.col("source_ip").alias("key"), F.unix_micros("event_ts").alias("ts_us"), "event_seq"
-    )
-    by_time = Window.partitionBy("key", "bucket").orderBy("ts_us", "event_seq")
+    rows = failed_logins(events).selectExpr("source_ip AS key", "unix_micros(event_ts) AS ts_us", "event_seq")
     back = cfg.brute_threshold - 1
+    by_time = "OVER (PARTITION BY key, bucket ORDER BY ts_us, event_seq)"
     return (
         with_halo(rows, window_us, cfg.bucket_factor * window_us)
-        .withColumn("q_ts", F.lag("ts_us", back).over(by_time))
-        .withColumn("q_seq", F.lag("event_seq", back).over(by_time))
-        .filter(~F.col("is_halo") & (F.col("q_ts") >= F.col("ts_us") - F.lit(window_us)))
-        .select("key", "ts_us", "event_seq", "q_ts", "q_seq")
+        .selectExpr(
+            "key", "ts_us", "event_seq", "is_halo",
+            f"lag(ts_us, {back}) {by_time} AS q_ts",
+            f"lag(event_seq, {back}) {by_time} AS q_seq",
+        )
+        .filter(f"NOT is_halo AND q_ts >= ts_us - {window_us}L")
+        .drop("is_halo")
     )
 
 

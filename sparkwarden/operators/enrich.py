@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from sparkwarden.operators.joins import BROADCAST_ROWS, lookup_join
 from sparkwarden.schema import INTEL_TYPE
@@ -26,14 +25,10 @@ def enrich(events: DataFrame, intel: DataFrame, max_rows: int = BROADCAST_ROWS)
 
     ``intel`` holds one row per ``ip``. See :func:`lookup_join` for how its size picks the join.
     """
-    dim = intel.select(F.col("ip").alias("source_ip"), "reputation_score", "tags")
+    dim = intel.selectExpr("ip AS source_ip", "reputation_score", "tags")
     joined = lookup_join(events, dim, "source_ip", max_rows=max_rows)
-    return joined.withColumn(
-        "intel",
-        F.struct(
-            F.coalesce("reputation_score", F.lit(0)).alias("reputation_score"),
-            F.coalesce("tags", F.array().cast("array<string>")).alias("tags"),
-            F.lit(PROVIDER).alias("provider"),
-            F.col("reputation_score").isNotNull().alias("malicious"),
-        ).cast(INTEL_TYPE),
-    ).drop("reputation_score", "tags")
+    return joined.selectExpr(
+        *events.columns,
+        "CAST(named_struct('reputation_score', coalesce(reputation_score, 0), 'tags', coalesce(tags, array()), "
+        f"'provider', '{PROVIDER}', 'malicious', reputation_score IS NOT NULL) AS {INTEL_TYPE}) AS intel",
+    )

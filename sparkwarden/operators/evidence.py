@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkwarden.operators.timebuckets import bucket_of
+from sparkwarden.operators.timebuckets import bucket_sql
 
 EVIDENCE_FIELDS = ("event_seq", "event_ts", "source_ip", "user", "action", "destination_port", "raw")
 
@@ -17,38 +17,29 @@ def evidence_rows(firings: DataFrame, events: DataFrame, key: str, window_us: in
     or after it, if that one reaches back far enough: a running "next firing" over ``(key, bucket)``, linear in
     the number of events, where a join on the key would meet every pair. ``events`` holds the rule's own rows only.
     """
-    home = bucket_of(F.col("ts_us"), bucket_us)
+    home = bucket_sql("ts_us", bucket_us)
     # a firing whose window began in the bucket before is needed there too
-    into_prev = F.col("ts_us") - F.lit(window_us) < home * F.lit(bucket_us)
-    marks = (
-        firings.select("key", "ts_us", "event_seq")
-        .withColumn("_home", home)
-        .withColumn("bucket", F.explode(F.when(into_prev, F.array("_home", F.col("_home") - 1)).otherwise(F.array("_home"))))
-        .select(
-            "key",
-            "bucket",
-            "ts_us",
-            F.col("event_seq").alias("_seq"),
-            F.lit(1).alias("_kind"),
-            F.struct(F.col("ts_us").alias("ts"), F.col("event_seq").alias("seq")).alias("_fire"),
-        )
-    )
-    rows = events.select(
-        F.col(key).alias("key"),
-        F.unix_micros("event_ts").alias("ts_us"),
-        F.col("event_seq").alias("_seq"),
-        F.struct(*EVIDENCE_FIELDS).alias("_event"),
-    ).select("key", home.alias("bucket"), "ts_us", "_seq", F.lit(0).alias("_kind"), "_event")
-    newest_first = (
-        Window.partitionBy("key", "bucket")
-        .orderBy(F.desc("ts_us"), F.desc("_seq"), F.desc("_kind"))
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    into_prev = f"ts_us - {window_us}L < {home} * {bucket_us}L"
+    marks = firings.selectExpr(
+        "key",
+        f"explode(if({into_prev}, array({home}, {home} - 1), array({home}))) AS bucket",
+        "ts_us",
+        "event_seq AS seq",
+        "1 AS kind",
+        "struct(ts_us, event_seq) AS fire",
     )
+    rows = events.selectExpr(
+        f"{key} AS key", "unix_micros(event_ts) AS ts_us", "event_seq AS seq", f"struct({', '.join(EVIDENCE_FIELDS)}) AS event"
+    ).selectExpr("key", f"{home} AS bucket", "ts_us", "seq", "0 AS kind", "event")
     return (
         rows.unionByName(marks, allowMissingColumns=True)
-        .withColumn("_next", F.last("_fire", ignorenulls=True).over(newest_first))
-        .filter((F.col("_kind") == 0) & (F.col("ts_us") >= F.col("_next.ts") - F.lit(window_us)))
-        .select("key", F.col("_next.ts").alias("trigger_ts"), F.col("_next.seq").alias("trigger_seq"), "_event.*")
+        .selectExpr(
+            "*",
+            "last(fire, true) OVER (PARTITION BY key, bucket ORDER BY ts_us DESC, seq DESC, kind DESC "
+            "ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS next",
+        )
+        .filter(f"kind = 0 AND ts_us >= next.ts_us - {window_us}L")
+        .selectExpr("key", "next.ts_us AS trigger_ts", "next.event_seq AS trigger_seq", "event.*")
     )
 
 
@@ -67,19 +58,22 @@ def attach_evidence(
     users and ports stay whole, and :func:`evidence_rows` is the whole flat form.
     """
     flat = evidence_rows(firings, events, key, window_us, bucket_us)
-    order = F.struct("event_ts", "event_seq", *[f for f in EVIDENCE_FIELDS if f not in ("event_ts", "event_seq")])
+    # time first, so that sorting the structs sorts by time
+    ordered = ", ".join(("event_ts", "event_seq", *(f for f in EVIDENCE_FIELDS if f not in ("event_ts", "event_seq"))))
+    kept = f"struct({ordered})"
     if cap is not None:
-        nth = Window.partitionBy("key", "trigger_ts", "trigger_seq").orderBy(F.desc("event_ts"), F.desc("event_seq"))
-        flat = flat.withColumn("_kept", F.row_number().over(nth) <= cap)
-    kept = F.when(F.col("_kept"), order) if cap is not None else order
+        flat = flat.selectExpr(
+            "*",
+            "row_number() OVER (PARTITION BY key, trigger_ts, trigger_seq ORDER BY event_ts DESC, event_seq DESC) AS nth",
+        )
+        kept = f"if(nth <= {cap}, {kept}, null)"
+    fields = ", ".join(f"e.{f} AS {f}" for f in EVIDENCE_FIELDS)
     return (
         flat.groupBy("key", "trigger_ts", "trigger_seq")
         .agg(
-            F.array_sort(F.collect_list(kept)).alias("_ev"),
-            F.count(F.lit(1)).alias("evidence_count"),
-            F.array_sort(F.collect_set(F.coalesce("user", F.lit("unknown")))).alias("users"),
-            F.array_sort(F.collect_set("destination_port")).alias("ports"),
+            F.expr(f"transform(array_sort(collect_list({kept})), e -> struct({fields})) AS evidence"),
+            F.expr("count(*) AS evidence_count"),
+            F.expr("array_sort(collect_set(coalesce(user, 'unknown'))) AS users"),
+            F.expr("array_sort(collect_set(destination_port)) AS ports"),
         )
-        .withColumn("evidence", F.transform("_ev", lambda e: F.struct(*[e[f].alias(f) for f in EVIDENCE_FIELDS])))
-        .drop("_ev")
     )

@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
 from sparkwarden.config import DEFAULT_CONFIG, DetectConfig
-from sparkwarden.functions.scalar import static_features
-from sparkwarden.operators.timebuckets import SECOND_US, bucket_of
-from sparkwarden.schema import FEATURE_NAMES
+from sparkwarden.functions.scalar import STATIC_FEATURES
+from sparkwarden.operators.timebuckets import SECOND_US, bucket_sql
 
 
 def window_features(events: DataFrame, cfg: DetectConfig = DEFAULT_CONFIG, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -22,54 +20,47 @@ def window_features(events: DataFrame, cfg: DetectConfig = DEFAULT_CONFIG, keep:
     """
     window_us = cfg.feature_window_s * SECOND_US
     bucket_us = cfg.bucket_factor * window_us
-    width, reach = F.lit(bucket_us), F.lit(window_us)
-    start, end = F.col("bucket") * width, (F.col("bucket") + 1) * width
+    home, expiry = bucket_sql("ts", bucket_us), f"(ts + {window_us}L)"
+    start, end = f"(bucket * {bucket_us}L)", f"((bucket + 1) * {bucket_us}L)"
+    payload = ", ".join(("event_seq", *keep))
 
-    located = events.filter(F.col("source_ip").isNotNull()).select(
+    located = events.filter("source_ip IS NOT NULL").selectExpr(
         "source_ip",
-        F.unix_micros("event_ts").alias("_ts"),
-        F.when(F.col("destination_port") != -1, F.col("destination_port")).alias("_port"),
-        F.struct("event_seq", *keep).alias("_event"),
+        "unix_micros(event_ts) AS ts",
+        "if(destination_port = -1, null, destination_port) AS port",
+        f"struct({payload}) AS event",
     )
-    home = bucket_of(F.col("_ts"), bucket_us)
-    shifts = F.when(F.col("_ts") + reach > (home + 1) * width, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
-    clipped = (
-        located.withColumn("_shift", F.explode(shifts))
-        .withColumn("bucket", home + F.col("_shift"))
-        .withColumn("_event", F.when(F.col("_shift") == 0, F.col("_event")))
-        .repartition("source_ip", "bucket")
+    own = f"named_struct('bucket', {home}, 'event', event)"
+    copy = f"named_struct('bucket', {home} + 1, 'event', if(false, event, null))"
+    in_next = f"{expiry} > ({home} + 1) * {bucket_us}L"
+    clipped = located.selectExpr(
+        "source_ip", "ts", "port", f"inline(if({in_next}, array({own}, {copy}), array({own})))"
+    ).repartition("source_ip", "bucket")
+    # how long the row keeps its port in use, clipped to the bucket; an empty span counts nothing
+    spans = clipped.selectExpr(
+        "*", "lead(ts) OVER (PARTITION BY source_ip, bucket, port ORDER BY ts) AS next_use"
+    ).selectExpr(
+        "source_ip", "bucket", "event", "ts", f"greatest(ts, {start}) AS opened",
+        f"if(port IS NULL, null, least({expiry}, coalesce(next_use, {expiry}))) AS closed",
     )
-    by_port = Window.partitionBy("source_ip", "bucket", "_port").orderBy("_ts", F.col("_shift").desc())
-    opened = F.greatest(F.col("_ts"), start)
-    closed = F.least(F.col("_ts") + reach, F.coalesce(F.col("_next"), F.col("_ts") + reach))
-    has_port = F.col("_port").isNotNull() & (closed > opened)
 
-    def step(at, velocity, ports, event=None):
-        event = F.lit(None) if event is None else event
-        return F.struct(at.alias("at"), velocity.alias("dv"), ports.alias("dp"), event.alias("event"))
+    def step(at, velocity, ports, event="if(false, event, null)"):
+        return f"named_struct('at', {at}, 'dv', {velocity}, 'dp', {ports}, 'event', {event})"
 
-    one, zero = F.lit(1), F.lit(0)
-    steps = F.array_compact(
-        F.array(
-            step(opened, one, has_port.cast("int"), F.col("_event")),
-            F.when(F.col("_ts") + reach < end, step(F.col("_ts") + reach, -one, zero)),
-            F.when(has_port & (closed < end), step(closed, zero, -one)),
-        )
-    )
-    by_time = (
-        Window.partitionBy("source_ip", "bucket")
-        .orderBy("at")
-        .rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    )
+    holds_port = "coalesce(closed > opened, false)"
+    steps = f"""array_compact(array(
+        {step("opened", 1, f"int({holds_port})", "event")},
+        if({expiry} < {end}, {step(expiry, -1, 0)}, null),
+        if({holds_port} AND closed < {end}, {step("closed", 0, -1)}, null)))"""
+    by_time = "OVER (PARTITION BY source_ip, bucket ORDER BY at RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
     swept = (
-        clipped.withColumn("_next", F.lead("_ts").over(by_port))
-        .select("source_ip", "bucket", F.inline(steps))
-        .withColumns({"velocity": F.sum("dv").over(by_time), "distinct_ports": F.sum("dp").over(by_time)})
-        .filter(F.col("event").isNotNull())
-        .select("event.*", "velocity", "distinct_ports")
+        spans.selectExpr("source_ip", "bucket", f"inline({steps})")
+        .selectExpr("event", f"sum(dv) {by_time} AS velocity", f"sum(dp) {by_time} AS distinct_ports")
+        .filter("event IS NOT NULL")
+        .selectExpr("event.*", "velocity", "distinct_ports")
     )
-    unlocated = events.filter(F.col("source_ip").isNull()).select(
-        "event_seq", *keep, F.lit(0).cast("bigint").alias("velocity"), F.lit(0).cast("bigint").alias("distinct_ports")
+    unlocated = events.filter("source_ip IS NULL").selectExpr(
+        "event_seq", *keep, "0L AS velocity", "0L AS distinct_ports"
     )
     return swept.unionByName(unlocated)
 
@@ -78,14 +69,6 @@ def feature_matrix(events: DataFrame, cfg: DetectConfig = DEFAULT_CONFIG, keep:
     """``event_seq``, the columns ``keep`` and the six features in their fixed order; nothing is null."""
     needed = tuple(dict.fromkeys(("event_wall", "action", *keep)))
     windowed = window_features(events, cfg, needed)
-    static = static_features(F.col("event_wall"), F.col("action"))
-    return windowed.select(
-        "event_seq",
-        *keep,
-        *[c.alias(n) for n, c in static.items()],
-        F.coalesce("velocity", F.lit(0)).alias("velocity_60s"),
-        F.coalesce("distinct_ports", F.lit(0)).alias("unique_ports_60s"),
+    return windowed.selectExpr(
+        "event_seq", *keep, *STATIC_FEATURES, "velocity AS velocity_60s", "distinct_ports AS unique_ports_60s"
     )
-
-
-assert FEATURE_NAMES[4:] == ("velocity_60s", "unique_ports_60s")

@@ -83,7 +83,7 @@ def normalize_parsed(parsed: DataFrame, year: int | None = None) -> DataFrame:
                 "event_ts": F.coalesce("_ts", "ingested_at"),
                 "event_wall": utc_wall(F.coalesce("_ts", "ingested_at")),
                 "ts_inferred": F.col("_ts").isNull(),
-                "severity": action_severity(F.col("action")),
+                "severity": action_severity("action"),
                 "raw": F.col("line"),
                 "metadata": F.lit(None).cast(EVENT_COLUMNS["metadata"]),
             }
@@ -150,7 +150,7 @@ def normalize_json(rows: DataFrame) -> DataFrame:
                 "source_ip": _blank_to_null(F.col("source_ip")),
                 "user": _blank_to_null(F.col("user")),
                 "destination_port": F.col("destination_port").try_cast("bigint"),
-                "severity": action_severity(F.col("action"), F.col("severity")),
+                "severity": action_severity("action", "severity"),
                 "raw": F.col("value"),
                 "pid": F.lit(None).cast("string"),
             }

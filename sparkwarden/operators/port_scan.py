@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections import OrderedDict
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkwarden.config import DEFAULT_CONFIG, DetectConfig
@@ -21,7 +21,7 @@ _LATEST_DDL = "key string, ts_us bigint, event_seq bigint, q_ts bigint, q_seq bi
 def port_events(events: DataFrame, cfg: DetectConfig = DEFAULT_CONFIG) -> DataFrame:
     """Rows with a source and a port. Any action counts, as the port is what the rule looks at; an ssh client port
     counts too. ``cfg.port_scan_actions`` narrows the actions."""
-    rows = events.filter(F.col("source_ip").isNotNull() & F.col("destination_port").isNotNull())
+    rows = events.filter("source_ip IS NOT NULL AND destination_port IS NOT NULL")
     if cfg.port_scan_actions is not None:
         rows = rows.filter(F.col("action").isin(*cfg.port_scan_actions))
     return rows
@@ -55,16 +55,15 @@ def port_scan_candidates(events: DataFrame, cfg: DetectConfig = DEFAULT_CONFIG)
     the row count and the fold.
     """
     window_us = cfg.scan_window_s * SECOND_US
-    rows = port_events(events, cfg).select(
-        F.col("source_ip").alias("key"), F.unix_micros("event_ts").alias("ts_us"), "event_seq", "destination_port"
+    rows = port_events(events, cfg).selectExpr(
+        "source_ip AS key", "unix_micros(event_ts) AS ts_us", "event_seq", "destination_port"
     )
-    by_time = Window.partitionBy("key", "bucket").orderBy("ts_us", "event_seq")
-    whole = by_time.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    order = "PARTITION BY key, bucket ORDER BY ts_us, event_seq"
     return (
         with_halo(rows, window_us, cfg.bucket_factor * window_us)
         .repartition("key", "bucket")
-        .withColumn("_n", F.count(F.lit(1)).over(whole))
-        .filter(F.col("_n") >= cfg.scan_threshold)
+        .selectExpr("*", f"count(*) OVER ({order} ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS n")
+        .filter(f"n >= {cfg.scan_threshold}")
         .sortWithinPartitions("key", "bucket", "ts_us", "event_seq")
         .select("key", "bucket", "ts_us", "event_seq", "destination_port", "is_halo")
         .mapInArrow(_latest_ports(cfg.scan_threshold, window_us), _LATEST_DDL)

@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
 from sparkwarden.config import DEFAULT_CONFIG, DetectConfig
 from sparkwarden.operators.rearm import firings
@@ -12,50 +11,37 @@ from sparkwarden.operators.timebuckets import SECOND_US, with_halo
 
 def login_and_sudo(events: DataFrame) -> DataFrame:
     """Failed logins and sudo commands with a user, the only rows the rule looks at."""
-    return events.filter(F.col("action").isin("FAILED_LOGIN", "SUDO_COMMAND") & F.col("user").isNotNull())
-
-
-def _bucketed(events: DataFrame, cfg: DetectConfig) -> DataFrame:
-    lookback_us = cfg.escalation_lookback_s * SECOND_US
-    rows = login_and_sudo(events).select(
-        F.col("user").alias("key"),
-        F.unix_micros("event_ts").alias("ts_us"),
-        "event_seq",
-        (F.col("action") == "SUDO_COMMAND").alias("is_sudo"),
-    )
-    return with_halo(rows, lookback_us, cfg.bucket_factor * lookback_us)
+    return events.filter("action IN ('FAILED_LOGIN', 'SUDO_COMMAND') AND user IS NOT NULL")
 
 
 def escalation_candidates(events: DataFrame, cfg: DetectConfig = DEFAULT_CONFIG) -> DataFrame:
     """Sudo rows with at least m failures of the user in the look-back; ``q_*`` is the m-th latest failure and
     ``sudo_*`` the sudo row before it in time."""
     lookback_us = cfg.escalation_lookback_s * SECOND_US
-    pos = F.struct("ts_us", "event_seq")
-    by_time = Window.partitionBy("key", "bucket").orderBy("ts_us", "event_seq")
-    same_kind = Window.partitionBy("key", "bucket", "is_sudo").orderBy("ts_us", "event_seq")
-    so_far = by_time.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = login_and_sudo(events).selectExpr(
+        "user AS key", "unix_micros(event_ts) AS ts_us", "event_seq", "action = 'SUDO_COMMAND' AS is_sudo"
+    )
+    by_time = "PARTITION BY key, bucket ORDER BY ts_us, event_seq"
+    same_kind = "PARTITION BY key, bucket, is_sudo ORDER BY ts_us, event_seq"
     return (
-        _bucketed(events, cfg)
+        with_halo(rows, lookback_us, cfg.bucket_factor * lookback_us)
         .repartition("key", "bucket")
         # on a failure row: the m-th latest failure; on a sudo row: the previous sudo
-        .withColumn("_mth", F.lag(pos, cfg.escalation_min_failures - 1).over(same_kind))
-        .withColumn("_prev", F.lag(pos, 1).over(same_kind))
-        .withColumn(
-            # wrapped, so that a failure without an m-th latest one does not show an older row's value
-            "_last",
-            F.last(F.when(~F.col("is_sudo"), F.struct(F.col("_mth").alias("at"))), ignorenulls=True).over(so_far),
+        .selectExpr(
+            "*",
+            f"lag(struct(ts_us, event_seq), {cfg.escalation_min_failures - 1}) OVER ({same_kind}) AS mth",
+            f"lag(struct(ts_us, event_seq), 1) OVER ({same_kind}) AS prev",
         )
-        .filter(
-            F.col("is_sudo") & ~F.col("is_halo") & (F.col("_last.at.ts_us") >= F.col("ts_us") - F.lit(lookback_us))
+        # wrapped, so that a failure without an m-th latest one does not show an older row's value
+        .selectExpr(
+            "*",
+            f"last(if(is_sudo, null, struct(mth)), true) OVER ({by_time} "
+            "ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS latest",
         )
-        .select(
-            "key",
-            "ts_us",
-            "event_seq",
-            F.col("_last.at.ts_us").alias("q_ts"),
-            F.col("_last.at.event_seq").alias("q_seq"),
-            F.col("_prev.ts_us").alias("sudo_ts"),
-            F.col("_prev.event_seq").alias("sudo_seq"),
+        .filter(f"is_sudo AND NOT is_halo AND latest.mth.ts_us >= ts_us - {lookback_us}L")
+        .selectExpr(
+            "key", "ts_us", "event_seq", "latest.mth.ts_us AS q_ts", "latest.mth.event_seq AS q_seq",
+            "prev.ts_us AS sudo_ts", "prev.event_seq AS sudo_seq",
         )
     )
 
@@ -70,9 +56,6 @@ def escalation_firings(events: DataFrame, cfg: DetectConfig = DEFAULT_CONFIG) ->
     candidates = escalation_candidates(events, cfg)
     if cfg.escalation_min_failures > 1:
         return firings(candidates.drop("sudo_ts", "sudo_seq"), lookback_us, cfg.bucket_factor * lookback_us)
-    since_sudo = F.struct(F.col("q_ts").alias("t"), F.col("q_seq").alias("s")) > F.struct(
-        F.col("sudo_ts").alias("t"), F.col("sudo_seq").alias("s")
-    )
-    return candidates.filter(F.col("sudo_seq").isNull() | since_sudo).select(
-        "key", "ts_us", "event_seq", F.col("sudo_ts").alias("prev_ts"), F.col("sudo_seq").alias("prev_seq")
+    return candidates.filter("sudo_seq IS NULL OR q_ts > sudo_ts OR (q_ts = sudo_ts AND q_seq > sudo_seq)").selectExpr(
+        "key", "ts_us", "event_seq", "sudo_ts AS prev_ts", "sudo_seq AS prev_seq"
     )

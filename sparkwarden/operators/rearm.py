@@ -17,16 +17,16 @@ from collections import deque
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from sparkwarden.operators.timebuckets import bucket_of
+from sparkwarden.operators.timebuckets import bucket_sql
 
 # "No earlier firing that matters": sorts before every (ts, seq).
 _NONE = (-(2**63), -(2**63))
 # Position label of a handover row that holds for any received firing.
 _ANY = (2**63 - 1, 2**63 - 1)
 
-_ENTRY, _HALO, _OWN = 0, 1, 2
+_ENTRY, _HALO, _OWN, _RECEIVED = 0, 1, 2, 3
+_ORDER = ("key", "bucket", "ts_us", "event_seq", "kind")
 
 
 def _rows(batches, names):
@@ -143,16 +143,16 @@ def _chain():
 
 
 def _fire():
-    """Emit the firings of each bucket, given the firing it received (an ``_ENTRY`` row); constant state."""
+    """Emit the firings of each bucket, given the firing it received (a ``_RECEIVED`` row); constant state."""
 
     def fold(rows):
         group, last = None, _NONE
         for key, bucket, kind, ts, seq, q_ts, q_seq in rows:
             if group != (key, bucket):
                 group, last = (key, bucket), _NONE
-            if kind == _ENTRY:
+            if kind == _RECEIVED:
                 last = (ts, seq)
-            elif last < (q_ts, q_seq):
+            elif kind == _OWN and last < (q_ts, q_seq):
                 prev = (None, None) if last == _NONE else last
                 yield (key, ts, seq, *prev)
                 last = (ts, seq)
@@ -160,10 +160,6 @@ def _fire():
     return lambda batches: _emit(fold(_rows(batches, _CAND_COLS)), _FIRE_ARROW)
 
 
-def _sorted_groups(df: DataFrame) -> DataFrame:
-    return df.repartition("key", "bucket").sortWithinPartitions("key", "bucket", "ts_us", "event_seq", "kind")
-
-
 def firings(candidates: DataFrame, window_us: int, bucket_us: int) -> DataFrame:
     """Rows of ``candidates`` that fire.
 
@@ -172,33 +168,35 @@ def firings(candidates: DataFrame, window_us: int, bucket_us: int) -> DataFrame:
     """
     if bucket_us < 2 * window_us:
         raise ValueError("a bucket must be at least two windows wide")
-    home = bucket_of(F.col("ts_us"), bucket_us)
-    end = (F.col("bucket") + 1) * F.lit(bucket_us)
-    own = candidates.select("key", home.alias("bucket"), F.lit(_OWN).alias("kind"), "ts_us", "event_seq", "q_ts", "q_seq")
+    home = bucket_sql("ts_us", bucket_us)
+
+    def copy(bucket, kind):
+        return f"named_struct('bucket', {bucket}, 'kind', {kind})"
+
     # The candidates of the last two windows warm up the next bucket: the earlier half as possible last firings,
     # the later half only to let those states merge.
-    halo = own.filter(F.col("ts_us") + F.lit(2 * window_us) >= end).select(
-        "key",
-        (F.col("bucket") + 1).alias("bucket"),
-        F.when(F.col("ts_us") + F.lit(window_us) >= end, F.lit(_HALO)).otherwise(F.lit(_ENTRY)).alias("kind"),
-        "ts_us",
-        "event_seq",
-        "q_ts",
-        "q_seq",
+    own, following, end = copy(home, _OWN), f"{home} + 1", f"({home} + 1) * {bucket_us}L"
+    copies = f"""CASE
+      WHEN ts_us + {window_us}L >= {end} THEN array({own}, {copy(following, _HALO)})
+      WHEN ts_us + {2 * window_us}L >= {end} THEN array({own}, {copy(following, _ENTRY)})
+      ELSE array({own}) END"""
+    # Both folds read this one exchange, so that candidates are computed once; the second one skips the copies
+    # itself, as a filter would move below the exchange and make it a different one.
+    spread = candidates.selectExpr("key", f"inline({copies})", "ts_us", "event_seq", "q_ts", "q_seq").repartition(
+        "key", "bucket"
     )
-    maps = _sorted_groups(own.unionByName(halo)).mapInArrow(_handover(window_us, bucket_us), _HANDOVER_DDL)
+    maps = spread.sortWithinPartitions(*_ORDER).mapInArrow(_handover(window_us, bucket_us), _HANDOVER_DDL)
     received = (
         maps.repartition("key")
         .sortWithinPartitions("key", "bucket", "in_ts", "in_seq")
         .mapInArrow(_chain(), _CHAIN_DDL)
     )
-    entries = received.select(
-        "key",
-        "bucket",
-        F.lit(_ENTRY).alias("kind"),
-        "ts_us",
-        "event_seq",
-        F.lit(None).cast("bigint").alias("q_ts"),
-        F.lit(None).cast("bigint").alias("q_seq"),
+    entries = received.selectExpr(
+        "key", "bucket", f"{_RECEIVED} AS kind", "ts_us", "event_seq", "CAST(null AS bigint) AS q_ts", "CAST(null AS bigint) AS q_seq"
+    )
+    return (
+        spread.unionByName(entries)
+        .repartition("key", "bucket")
+        .sortWithinPartitions(*_ORDER)
+        .mapInArrow(_fire(), _FIRE_DDL)
     )
-    return _sorted_groups(own.unionByName(entries)).mapInArrow(_fire(), _FIRE_DDL)

@@ -52,7 +52,7 @@ def dispatch(alerts: DataFrame, destinations: Iterable[str], min_severity: str =
     names = list(destinations)
     floor = SEVERITY_RANK.get(min_severity.lower(), 3)
     targets = F.array(*[F.lit(n) for n in names]) if names else F.array().cast("array<string>")
-    return alerts.filter(severity_rank(F.coalesce("severity", F.lit("low"))) >= floor).withColumn(
+    return alerts.filter(severity_rank("severity") >= floor).withColumn(
         "destination", F.explode(targets)
     )
 

@@ -7,16 +7,14 @@ into the next bucket. The buckets of one key are then independent tasks, whateve
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
 SECOND_US = 1_000_000
 
 
-def bucket_of(ts: Column, bucket_us: int) -> Column:
-    """Floor of ``ts / bucket_us`` in integer arithmetic (right for times before 1970 too)."""
-    width = F.lit(bucket_us).cast("bigint")
-    return F.floor((ts - F.pmod(ts, width)) / width).cast("bigint")
+def bucket_sql(ts: str, bucket_us: int) -> str:
+    """SQL text of the floor of ``ts / bucket_us`` in whole numbers (right for times before 1970 too)."""
+    return f"(({ts} - pmod({ts}, {bucket_us}L)) div {bucket_us}L)"
 
 
 def with_halo(df: DataFrame, reach_us: int, bucket_us: int, ts: str = "ts_us") -> DataFrame:
@@ -27,12 +25,8 @@ def with_halo(df: DataFrame, reach_us: int, bucket_us: int, ts: str = "ts_us") -
     """
     if reach_us > bucket_us:
         raise ValueError("a bucket must be at least as wide as the look-back")
-    home = bucket_of(F.col(ts), bucket_us)
-    reaches_next = F.col(ts) + F.lit(reach_us) >= (home + 1) * F.lit(bucket_us)
-    shifts = F.when(reaches_next, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
-    return (
-        df.withColumn("_shift", F.explode(shifts))
-        .withColumn("bucket", home + F.col("_shift"))
-        .withColumn("is_halo", F.col("_shift") == 1)
-        .drop("_shift")
-    )
+    home = bucket_sql(ts, bucket_us)
+    own = f"named_struct('bucket', {home}, 'is_halo', false)"
+    copy = f"named_struct('bucket', {home} + 1, 'is_halo', true)"
+    reaches_next = f"{ts} + {reach_us}L >= ({home} + 1) * {bucket_us}L"
+    return df.selectExpr("*", f"inline(if({reaches_next}, array({own}, {copy}), array({own})))")

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkwarden.config import DetectConfig
-from sparkwarden.functions.scalar import action_severity, severity_rank, static_features
+from sparkwarden.functions.scalar import STATIC_FEATURES, action_severity, severity_rank
 from sparkwarden.operators import alerts as rules
 from sparkwarden.operators import brute_force as bf
 from sparkwarden.operators import normalize as nz
@@ -389,7 +389,7 @@ def o10(spark, sf):
     """Known actions, and the same words made unknown."""
     a = sec_events(spark, sf).select("action")
     both = a.unionByName(a.select(F.concat("action", F.lit("?")).alias("action")))
-    return both.groupBy("action", action_severity(F.col("action")).alias("severity")).agg(F.count(F.lit(1)).alias("n"))
+    return both.groupBy("action", action_severity("action").alias("severity")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("o11_normalize_parsed", sql.with_ctes(_EVENT_SQL))
@@ -477,7 +477,7 @@ UNION ALL SELECT severity || '!', CAST(1 AS BIGINT), CAST(count(*) AS BIGINT) FR
 def o14(spark, sf):
     w = sec_events(spark, sf).select(F.upper("severity").alias("word"))
     both = w.unionByName(w.select(F.concat(F.lower("word"), F.lit("!")).alias("word")))
-    return both.groupBy("word", severity_rank(F.col("word")).cast("bigint").alias("rank")).agg(F.count(F.lit(1)).alias("n"))
+    return both.groupBy("word", severity_rank("word").cast("bigint").alias("rank")).agg(F.count(F.lit(1)).alias("n"))
 
 
 _ALERT_SQL = """
@@ -508,8 +508,8 @@ def o15(spark, sf):
     ),
 )
 def o16(spark, sf):
-    cols = static_features(F.col("event_wall"), F.col("action"))
-    return sec_events(spark, sf).select("event_seq", *[c.cast("bigint").alias(n) for n, c in cols.items()])
+    rows = sec_events(spark, sf).selectExpr("event_seq", *STATIC_FEATURES)
+    return rows.select(*[F.col(c).cast("bigint").alias(c) for c in rows.columns])
 
 
 # ---------------------------------------------------------------- joins

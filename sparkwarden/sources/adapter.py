@@ -5,87 +5,72 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkwarden.schema import EVENT_COLUMNS
-from sparkwarden.functions.scalar import action_severity
+from sparkwarden.functions.scalar import ACTION_SEVERITY_SQL
 
-# Event type -> action.
-TYPE_ACTION = {
-    "error": "FAILED_LOGIN",
-    "click": "CONNECTION",
-    "view": "ACCEPTED_LOGIN",
-    "signup": "BLOCKED",
-    "purchase": "SUDO_COMMAND",
-}
+_IP = "concat('10.0.', {n} div 250, '.', {n} % 250 + 1)"
 
-
-def _ip_of(number):
-    return F.concat(
-        F.lit("10.0."),
-        F.floor(number / 250).cast("string"),
-        F.lit("."),
-        (F.pmod(number, F.lit(250)) + 1).cast("string"),
-    )
+# Event type -> action, then the message text of each action.
+_ACTION = """CASE event_type WHEN 'error' THEN 'FAILED_LOGIN' WHEN 'click' THEN 'CONNECTION'
+  WHEN 'view' THEN 'ACCEPTED_LOGIN' WHEN 'signup' THEN 'BLOCKED' WHEN 'purchase' THEN 'SUDO_COMMAND' END"""
+_BODY = """CASE action
+  WHEN 'FAILED_LOGIN' THEN concat('Failed password for ', user, ' from ', source_ip, ' port ', k, ' ssh2')
+  WHEN 'ACCEPTED_LOGIN' THEN concat('Accepted password for ', user, ' from ', source_ip, ' port ', k, ' ssh2')
+  WHEN 'SUDO_COMMAND' THEN concat(user, ' : TTY=pts/0 ; PWD=/root ; USER=root ; COMMAND=/bin/run', k)
+  WHEN 'CONNECTION' THEN concat('connection from ', source_ip, ' port ', k)
+  ELSE concat('BLOCKED IN=eth0 SRC=', source_ip, ' DST=10.1.0.1 DPT=', k, ' PROTO=TCP') END"""
+_SERVICE = "CASE action WHEN 'SUDO_COMMAND' THEN 'sudo' WHEN 'BLOCKED' THEN 'kernel' ELSE 'sshd' END"
 
 
 def sec_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``events.parquet`` as normalized events; ``raw`` is a syslog line of the same content."""
     src = spark.read.parquet(f"{sf_dir}/events.parquet")
-    action = F.create_map(*[F.lit(x) for p in TYPE_ACTION.items() for x in p])[F.col("event_type")]
-    # whole micros since the epoch of the zone-less clock time, free of the session zone
-    micros = F.timestamp_diff("MICROSECOND", F.lit("1970-01-01").cast("timestamp_ntz"), F.col("ts").cast("timestamp_ntz"))
-    k = F.get_json_object("props", "$.k").try_cast("bigint")
-    is_sudo = F.col("event_type") == "purchase"
-    has_user = ~F.col("event_type").isin("click", "signup")
-    user = F.concat(F.lit("u"), F.floor(F.col("user_id") / 3).cast("string"))
-    base = src.select(
-        F.col("event_id").alias("event_seq"),
-        F.timestamp_micros(micros).alias("event_ts"),
-        F.col("ts").cast("timestamp_ntz").alias("event_wall"),
-        F.lit(False).alias("ts_inferred"),
-        F.when(~is_sudo, _ip_of(F.col("user_id"))).alias("source_ip"),
-        F.concat(F.lit("host"), F.pmod("event_id", F.lit(7)).cast("string")).alias("hostname"),
-        F.when(is_sudo, "sudo").when(F.col("event_type") == "signup", "kernel").otherwise("sshd").alias("service"),
-        action.alias("action"),
-        F.when(has_user, user).alias("user"),
-        F.when(~is_sudo, k).alias("destination_port"),
-        k.alias("_k"),
-    )
-    command = F.concat(F.lit("/bin/run"), F.col("_k").cast("string"))
-    port = F.col("destination_port").cast("string")
-    body = (
-        F.when(F.col("action") == "FAILED_LOGIN", F.concat(F.lit("Failed password for "), "user", F.lit(" from "), "source_ip", F.lit(" port "), port, F.lit(" ssh2")))
-        .when(F.col("action") == "ACCEPTED_LOGIN", F.concat(F.lit("Accepted password for "), "user", F.lit(" from "), "source_ip", F.lit(" port "), port, F.lit(" ssh2")))
-        .when(F.col("action") == "SUDO_COMMAND", F.concat("user", F.lit(" : TTY=pts/0 ; PWD=/root ; USER=root ; COMMAND="), command))
-        .when(F.col("action") == "CONNECTION", F.concat(F.lit("connection from "), "source_ip", F.lit(" port "), port))
-        .otherwise(F.concat(F.lit("BLOCKED IN=eth0 SRC="), "source_ip", F.lit(" DST=10.1.0.1 DPT="), port, F.lit(" PROTO=TCP")))
-    )
-    pid = F.col("event_seq").cast("string")
-    head = F.concat_ws(
-        " ",
-        F.date_format("event_wall", "MMM d HH:mm:ss"),
-        F.col("hostname"),
-        F.concat(F.col("service"), F.lit("["), pid, F.lit("]:")),
+    return (
+        src.selectExpr(
+            "event_id AS event_seq",
+            # whole micros since the epoch of the zone-less clock time, free of the session zone
+            "timestamp_micros(timestampdiff(MICROSECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', "
+            "CAST(ts AS timestamp_ntz))) AS event_ts",
+            "CAST(ts AS timestamp_ntz) AS event_wall",
+            f"if(event_type = 'purchase', null, {_IP.format(n='user_id')}) AS source_ip",
+            "concat('host', event_id % 7) AS hostname",
+            f"{_ACTION} AS action",
+            "if(event_type IN ('click', 'signup'), null, concat('u', user_id div 3)) AS user",
+            "try_cast(get_json_object(props, '$.k') AS bigint) AS k",
+        )
+        .selectExpr(
+            "*",
+            f"{_SERVICE} AS service",
+            f"{_BODY} AS body",
+            "if(action = 'SUDO_COMMAND', null, k) AS destination_port",
+            "CAST(event_seq AS string) AS pid",
+        )
+        .selectExpr(
+            "event_seq",
+            "event_ts",
+            "event_wall",
+            "false AS ts_inferred",
+            "source_ip",
+            "hostname",
+            "service",
+            "action",
+            "user",
+            "destination_port",
+            f"{ACTION_SEVERITY_SQL.format(action='action')} AS severity",
+            "concat(date_format(event_wall, 'MMM d HH:mm:ss'), ' ', hostname, ' ', service, '[', pid, ']: ', body) AS raw",
+            "if(action = 'SUDO_COMMAND', concat('/bin/run', k), body) AS message",
+            "pid",
+            "CAST(null AS map<string,string>) AS metadata",
+            "event_ts AS ingested_at",
+        )
     )
-    return base.withColumns(
-        {
-            "severity": action_severity(F.col("action")),
-            "raw": F.concat(head, F.lit(" "), body),
-            "message": F.when(F.col("action") == "SUDO_COMMAND", command).otherwise(body),
-            "pid": pid,
-            "metadata": F.lit(None).cast(EVENT_COLUMNS["metadata"]),
-            "ingested_at": F.col("event_ts"),
-        }
-    ).select(*EVENT_COLUMNS)
 
 
 def sec_intel(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``supplier.parquet`` as the reputation feed."""
-    s = spark.read.parquet(f"{sf_dir}/supplier.parquet")
-    score = F.pmod(F.col("s_suppkey") * 37, F.lit(101)).cast("int")
-    return s.select(
-        _ip_of(F.col("s_suppkey")).alias("ip"),
-        score.alias("reputation_score"),
-        F.array(F.concat(F.lit("NATION_"), F.col("s_nationkey").cast("string")), F.lit("FEED")).alias("tags"),
+    return spark.read.parquet(f"{sf_dir}/supplier.parquet").selectExpr(
+        f"{_IP.format(n='s_suppkey')} AS ip",
+        "int(s_suppkey * 37 % 101) AS reputation_score",
+        "array(concat('NATION_', s_nationkey), 'FEED') AS tags",
     )
 
 
