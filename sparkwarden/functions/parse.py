@@ -7,7 +7,7 @@ single line can contain, and the fields are then taken by position.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # The header and message forms, in the order in which they are tried.
@@ -21,13 +21,13 @@ FIREWALL = rf"(?:BLOCKED|DROP|REJECT)\s+.*SRC=({_IP})\s+.*DPT=(\d+)"
 
 _BLANKS = " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f"
 
-# action, pattern, and which group feeds user / source_ip / port / command (None: field stays null)
+# action, pattern, a literal that every match contains, and which group feeds user / source_ip / port / command
 _FORMS = (
-    ("FAILED_LOGIN", FAILED, ("$1", "$2", "$3", "")),
-    ("ACCEPTED_LOGIN", ACCEPTED, ("$1", "$2", "$3", "")),
-    ("SUDO_COMMAND", SUDO, ("$1", "", "", "$2")),
-    ("CONNECTION", CONNECTION, ("", "$1", "$2", "")),
-    ("BLOCKED", FIREWALL, ("", "$1", "$2", "")),
+    ("FAILED_LOGIN", FAILED, "Failed password for ", ("$1", "$2", "$3", "")),
+    ("ACCEPTED_LOGIN", ACCEPTED, "Accepted p", ("$1", "$2", "$3", "")),
+    ("SUDO_COMMAND", SUDO, "TTY=", ("$1", "", "", "$2")),
+    ("CONNECTION", CONNECTION, "onnection", ("", "$1", "$2", "")),
+    ("BLOCKED", FIREWALL, "DPT=", ("", "$1", "$2", "")),
 )
 
 
@@ -41,12 +41,16 @@ def header_fields(line: Column) -> Column:
     return F.split(F.regexp_replace(line, HEADER, "$1\n$2\n$3\n$4\n$5"), "\n")
 
 
-def message_fields(message: Column) -> Column:
-    """``['', action, user, ip, port, command]`` of a message; the message alone if no form matches.
+def tag_message(df: DataFrame, message: str, tagged: str) -> DataFrame:
+    """Add the column ``tagged``: the message of column ``message`` as newline-separated fields
+    ``'', action, user, ip, port, command``, or as it is if no form matches.
 
-    The first form that matches tags the text with a leading newline, which keeps the later ones from matching.
+    The first form that matches puts a newline in front, which keeps the later ones from matching. A form is tried
+    only on text that holds its literal, so most lines meet one pattern. Each form is a projection of its own: nested
+    in one expression, the text would be repeated in every branch.
     """
-    tagged = message
-    for action, pattern, fields in _FORMS:
-        tagged = F.regexp_replace(tagged, rf"^.*?{pattern}.*$", "\n" + "\n".join((action, *fields)))
-    return F.split(tagged, "\n")
+    df = df.withColumn(tagged, F.col(message))
+    for action, pattern, literal, fields in _FORMS:
+        rewritten = F.regexp_replace(tagged, rf"^.*?{pattern}.*$", "\n" + "\n".join((action, *fields)))
+        df = df.withColumn(tagged, F.when(F.contains(F.col(tagged), F.lit(literal)), rewritten).otherwise(F.col(tagged)))
+    return df

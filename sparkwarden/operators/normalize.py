@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkwarden.functions.parse import header_fields, message_fields, strip
+from sparkwarden.functions.parse import header_fields, strip, tag_message
 from sparkwarden.functions.scalar import action_severity, iso_ts, iso_wall, syslog_ts, utc_wall
 from sparkwarden.schema import EVENT_COLUMNS
 
@@ -38,7 +38,7 @@ def parse_header(lines: DataFrame) -> DataFrame:
 
 def classify(parsed: DataFrame) -> DataFrame:
     """Add ``action, user, source_ip, destination_port``; a sudo row's message becomes its command."""
-    fields = parsed.withColumn("_m", message_fields(F.col("message")))
+    fields = tag_message(parsed, "message", "_m").withColumn("_m", F.split("_m", "\n"))
     hit = F.size("_m") == 6
 
     def field(i):

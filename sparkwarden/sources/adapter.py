@@ -23,7 +23,11 @@ _SERVICE = "CASE action WHEN 'SUDO_COMMAND' THEN 'sudo' WHEN 'BLOCKED' THEN 'ker
 
 def sec_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``events.parquet`` as normalized events; ``raw`` is a syslog line of the same content."""
-    src = spark.read.parquet(f"{sf_dir}/events.parquet")
+    return as_sec_events(spark.read.parquet(f"{sf_dir}/events.parquet"))
+
+
+def as_sec_events(src: DataFrame) -> DataFrame:
+    """Rows of the driver's event table, batch or stream, as normalized events."""
     return (
         src.selectExpr(
             "event_id AS event_seq",
