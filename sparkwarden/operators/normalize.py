@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkwarden.functions.parse import header_fields, strip, tag_message
+from sparkwarden.functions.parse import header_fields, message_columns, message_groups, strip
 from sparkwarden.functions.scalar import action_severity, iso_ts, iso_wall, syslog_ts, utc_wall
 from sparkwarden.schema import EVENT_COLUMNS
 
@@ -19,40 +19,27 @@ def parse_header(lines: DataFrame) -> DataFrame:
 
     ``lines`` has a STRING column ``line``; its other columns pass through.
     """
-    fields = lines.withColumn("line", strip("line")).withColumn("_h", header_fields(F.col("line")))
-    ok = F.size("_h") == 5
+    passed = [c for c in lines.columns if c != "line"]
     return (
-        fields.withColumn(
-            "reject_reason",
-            F.when(F.col("line").isNull() | (F.col("line") == ""), "empty").when(~ok, "no_header"),
+        lines.withColumn("line", strip(F.col("line")))
+        .withColumn("_h", header_fields(F.col("line")))
+        .selectExpr(
+            *passed,
+            "line",
+            "CASE WHEN line IS NULL OR line = '' THEN 'empty' WHEN size(_h) != 5 THEN 'no_header' END AS reject_reason",
+            "if(size(_h) = 5, _h[0], null) AS clock",
+            *[f"nullif(try_element_at(_h, {i}), '') AS {n}" for i, n in enumerate(("hostname", "service", "pid", "message"), 2)],
         )
-        .withColumns(
-            {
-                name: F.when(ok, _blank_to_null(F.col("_h")[i]))
-                for i, name in enumerate(("clock", "hostname", "service", "pid", "message"))
-            }
-        )
-        .drop("_h")
     )
 
 
 def classify(parsed: DataFrame) -> DataFrame:
     """Add ``action, user, source_ip, destination_port``; a sudo row's message becomes its command."""
-    fields = tag_message(parsed, "message", "_m").withColumn("_m", F.split("_m", "\n"))
-    hit = F.size("_m") == 6
-
-    def field(i):
-        return F.when(hit, _blank_to_null(F.col("_m")[i]))
-
-    return fields.withColumns(
-        {
-            "action": F.coalesce(field(1), F.lit("OTHER")),
-            "user": field(2),
-            "source_ip": field(3),
-            "destination_port": field(4).try_cast("bigint"),
-            "message": F.coalesce(field(5), F.col("message")),
-        }
-    ).drop("_m")
+    found = message_columns("_m", "message")
+    passed = [c for c in parsed.columns if c not in found]
+    return parsed.withColumn("_m", message_groups(F.col("message"))).selectExpr(
+        *passed, *[f"{text} AS {name}" for name, text in found.items()]
+    )
 
 
 def split_rejects(df: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -63,9 +50,26 @@ def split_rejects(df: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def parse_syslog(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """``(parsed, rejects)`` of raw lines ``event_seq, line, ingested_at``; a bad line never fails the job."""
-    parsed, rejects = split_rejects(parse_header(lines))
-    return classify(parsed), rejects.select("event_seq", F.col("line").alias("raw"), "reject_reason", "ingested_at")
+    """``(parsed, rejects)`` of raw lines ``event_seq, line, ingested_at``; a bad line never fails the job.
+
+    The parsed rows come out of a generator that yields one row or none per line. A filter on the header, or a later one
+    on the action, would be moved below the parsing and repeat its patterns there.
+    """
+    header = {n: f"nullif(_h[{i}], '')" for i, n in enumerate(("clock", "hostname", "service", "pid"))}
+    fields = header | message_columns("_m", "_h[4]")
+    row = ", ".join(f"{text} AS {name}" for name, text in fields.items())
+    parsed = (
+        lines.withColumn("line", strip(F.col("line")))
+        .withColumn("_h", header_fields(F.col("line")))
+        .withColumn("_m", message_groups(F.expr("try_element_at(_h, 5)")))
+        .selectExpr(
+            *[c for c in lines.columns if c != "line"],
+            "line",
+            f"inline(if(size(_h) = 5, array(struct({row})), array()))",
+        )
+    )
+    rejects = parse_header(lines).filter("reject_reason IS NOT NULL")
+    return parsed, rejects.selectExpr("event_seq", "line AS raw", "reject_reason", "ingested_at")
 
 
 def normalize_parsed(parsed: DataFrame, year: int | None = None) -> DataFrame:
@@ -93,43 +97,50 @@ def normalize_parsed(parsed: DataFrame, year: int | None = None) -> DataFrame:
 
 
 # Fields of a submitted JSON event.
-_JSON_DDL = (
-    "timestamp string, source_ip string, hostname string, service string, action string, user string, "
-    "destination_port string, severity string, raw string, message string, metadata map<string,string>"
-)
+_JSON_FIELDS = {
+    name: "string"
+    for name in (
+        "timestamp", "source_ip", "hostname", "service", "action", "user", "destination_port", "severity", "raw", "message"
+    )
+} | {"metadata": "map<string,string>"}
 
 
 def parse_json_events(docs: DataFrame, reroute_raw: bool = True) -> tuple[DataFrame, DataFrame, DataFrame]:
     """``(json_rows, raw_lines, rejects)`` of JSON texts ``event_seq, value, ingested_at``.
 
     A document ``{"raw": line}`` is a raw line and goes to the line parser. Text that is no JSON object is
-    ``bad_json``; an action that is not text, or metadata that is not an object, is ``bad_field``. An explicit null
-    differs from an absent field, so those two are looked up in the variant form.
+    ``bad_json``; an action that is not text, or metadata that is not an object, is ``bad_field``. The text is parsed
+    once, into a variant, where an explicit null differs from an absent field.
     """
-    v = F.try_parse_json("value")
-    typed = docs.withColumn("_v", v).withColumns(
-        {
-            "_j": F.from_json("value", _JSON_DDL, {"mode": "PERMISSIVE"}),
-            "_type": F.schema_of_variant("_v"),
-            "_action": F.schema_of_variant(F.try_variant_get("_v", "$.action", "variant")),
-            "_meta": F.schema_of_variant(F.try_variant_get("_v", "$.metadata", "variant")),
-            "_raw": F.schema_of_variant(F.try_variant_get("_v", "$.raw", "variant")),
-        }
+    typed = docs.select("event_seq", "ingested_at", "value", F.try_parse_json("value").alias("_v")).selectExpr(
+        "*",
+        "schema_of_variant(_v) AS _type",
+        *[
+            f"schema_of_variant(try_variant_get(_v, '$.{name}', 'variant')) AS _{name}"
+            for name in ("action", "metadata", "raw")
+        ],
+    )
+    judged = typed.selectExpr(
+        "*", f"coalesce(_raw = 'STRING', false) AND {str(reroute_raw).lower()} AS _is_raw"
+    ).selectExpr(
+        "*",
+        """CASE WHEN _type IS NULL OR NOT startswith(_type, 'OBJECT') THEN 'bad_json'
+            WHEN _is_raw THEN null
+            WHEN _action != 'STRING' OR NOT startswith(_metadata, 'OBJECT') THEN 'bad_field' END AS reject_reason""",
+    )
+    rejects = judged.filter("reject_reason IS NOT NULL")
+    # generators, not filters, for the reason given in parse_syslog
+    fields = ", ".join(f"try_variant_get(_v, '$.{name}', '{kind}') AS {name}" for name, kind in _JSON_FIELDS.items())
+    rows = judged.selectExpr(
+        "event_seq",
+        "ingested_at",
+        "value",
+        f"inline(if(reject_reason IS NULL AND NOT _is_raw, array(struct({fields})), array()))",
     )
-    is_raw = F.coalesce(F.col("_raw") == "STRING", F.lit(False)) if reroute_raw else F.lit(False)
-    bad_action = F.coalesce(F.col("_action") != "STRING", F.lit(False))
-    bad_meta = F.coalesce(~F.col("_meta").startswith("OBJECT"), F.lit(False))
-    judged = typed.withColumn("_is_raw", is_raw).withColumn(
-        "reject_reason",
-        F.when(~F.coalesce(F.col("_type").startswith("OBJECT"), F.lit(False)), "bad_json").when(
-            ~F.col("_is_raw") & (bad_action | bad_meta), "bad_field"
-        ),
+    raw = judged.selectExpr(
+        "event_seq", "explode(if(_is_raw, array(try_variant_get(_v, '$.raw', 'string')), array())) AS line", "ingested_at"
     )
-    good, rejects = split_rejects(judged)
-    fields = [F.col(f"_j.{name}").alias(name) for name in (p.split()[0] for p in _JSON_DDL.split(", "))]
-    rows = good.filter(~F.col("_is_raw")).select("event_seq", "ingested_at", "value", *fields)
-    raw = good.filter("_is_raw").select("event_seq", F.col("_j.raw").alias("line"), "ingested_at")
-    return rows, raw, rejects.select("event_seq", F.col("value").alias("raw"), "reject_reason", "ingested_at")
+    return rows, raw, rejects.selectExpr("event_seq", "value AS raw", "reject_reason", "ingested_at")
 
 
 def normalize_json(rows: DataFrame) -> DataFrame:
