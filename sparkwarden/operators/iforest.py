@@ -6,7 +6,7 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkwarden.schema import FEATURE_NAMES
@@ -82,18 +82,25 @@ def _grow(seed: int):
 
 
 def tree_samples(features: DataFrame, trees: int = TREES, sample: int = SAMPLE, seed: int = SEED) -> DataFrame:
-    """``tree_id, rank`` and features: up to ``sample`` different rows for each tree.
+    """``tree_id, rank`` and features: ``sample`` different rows for each tree, or all rows if there are fewer.
 
-    Rows are chosen by hashes of ``event_seq``, so the sample does not depend on partitions or task order. A first cut
-    keeps the ``trees * sample`` rows of least hash, which bounds everything after it.
+    Rows are chosen by hashes of ``event_seq``, so the sample does not depend on partitions or task order. The
+    ``trees * sample`` rows of least hash are a random order of the data of bounded size; tree ``t`` takes the
+    ``t``-th block of it, wrapping around where there are fewer rows.
     """
-    h = F.xxhash64("event_seq", F.lit(seed))
-    pool = features.withColumn("_h", h).orderBy("_h", "event_seq").limit(trees * sample)
-    dealt = pool.withColumn("tree_id", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
-    per_tree = Window.partitionBy("tree_id").orderBy(F.xxhash64("event_seq", "tree_id", F.lit(seed)), "event_seq")
+    pool = (
+        features.withColumn("_h", F.xxhash64("event_seq", F.lit(seed)))
+        .orderBy("_h", "event_seq")
+        .limit(trees * sample)
+        .selectExpr(
+            "*", "row_number() OVER (ORDER BY _h, event_seq) - 1 AS _r", "int(count(*) OVER ()) AS _n"
+        )
+        .withColumn("_block", F.expr(f"least({sample}, _n)"))
+    )
+    turns = f"sequence(0, ({trees} * _block - 1) div _n)"
     return (
-        dealt.withColumn("rank", F.row_number().over(per_tree))
-        .filter(F.col("rank") <= sample)
+        pool.selectExpr("*", f"explode(transform({turns}, m -> int((_r + m * _n) div _block))) AS tree_id", "_r AS rank")
+        .filter(f"tree_id < {trees}")
         .select("tree_id", "rank", *FEATURE_NAMES)
     )
 

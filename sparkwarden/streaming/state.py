@@ -59,23 +59,26 @@ class _Ordered(StatefulProcessor):
                 (int(t), int(s), _value(a), _value(u), _int(p), _int(sc) or 0) for t, s, a, u, p, sc in zip(*columns)
             ]
         if self.ordered:
-            # held until the watermark passes; the timer of the last row brings the key back then
+            # held until the watermark passes; the earliest row's timer brings the key back
             self.held.appendList(new)
-            for ms in {t // 1000 + 1 for t, *_ in new}:
-                self.handle.registerTimer(ms)
+            self.handle.registerTimer(min(new)[0] // 1000 + 1)
             return
         yield from self._run(key[0], sorted(new))
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
         now_us = timerValues.getCurrentWatermarkInMs() * 1000
-        if self.ordered and self.held.exists():
-            rows = [tuple(r) for r in self.held.get()]
-            due = sorted(r for r in rows if r[0] <= now_us)
-            if due:
-                left = [r for r in rows if r[0] > now_us]
-                self.held.put(left) if left else self.held.clear()
-                yield from self._run(key[0], due)
-        self.forget(now_us - self.window_us)
+        rows = [tuple(r) for r in self.held.get()] if self.ordered and self.held.exists() else []
+        due = sorted(r for r in rows if r[0] <= now_us)
+        if not due:
+            self.forget(now_us - self.window_us)
+            return
+        left = [r for r in rows if r[0] > now_us]
+        if left:
+            self.held.put(left)
+            self.handle.registerTimer(min(left)[0] // 1000 + 1)
+        else:
+            self.held.clear()
+        yield from self._run(key[0], due)
 
     def _run(self, key, rows):
         if not rows:
