@@ -54,26 +54,35 @@ def attach_evidence(
     """One row per firing: ``key, trigger_ts, trigger_seq, evidence, evidence_count``, plus the distinct
     ``users`` and ``ports`` of the evidence.
 
-    The array holds the events of one window in time order. ``cap`` shortens the array to the latest events for display; count,
-    users and ports stay whole, and :func:`evidence_rows` is the whole flat form.
+    The array holds the events of one window in time order, all of them by default. ``cap`` shortens the array to the
+    latest events for display, 0 leaves it empty; count, users and ports stay whole, and :func:`evidence_rows` is
+    the whole flat form, which has no group to collect. Of two cuts by row number the first is per salt, so a window
+    with very many events is not sorted in one task.
     """
     flat = evidence_rows(firings, events, key, window_us, bucket_us)
+    group = ("key", "trigger_ts", "trigger_seq")
     # time first, so that sorting the structs sorts by time
     ordered = ", ".join(("event_ts", "event_seq", *(f for f in EVIDENCE_FIELDS if f not in ("event_ts", "event_seq"))))
-    kept = f"struct({ordered})"
-    if cap is not None:
-        flat = flat.selectExpr(
-            "*",
-            "row_number() OVER (PARTITION BY key, trigger_ts, trigger_seq ORDER BY event_ts DESC, event_seq DESC) AS nth",
-        )
-        kept = f"if(nth <= {cap}, {kept}, null)"
     fields = ", ".join(f"e.{f} AS {f}" for f in EVIDENCE_FIELDS)
-    return (
-        flat.groupBy("key", "trigger_ts", "trigger_seq")
-        .agg(
-            F.expr(f"transform(array_sort(collect_list({kept})), e -> struct({fields})) AS evidence"),
-            F.expr("count(*) AS evidence_count"),
-            F.expr("array_sort(collect_set(coalesce(user, 'unknown'))) AS users"),
-            F.expr("array_sort(collect_set(destination_port)) AS ports"),
-        )
+    array = F.expr(f"transform(array_sort(collect_list(struct({ordered}))), e -> struct({fields})) AS evidence")
+    whole = (
+        F.expr("count(*) AS evidence_count"),
+        F.expr("array_sort(collect_set(coalesce(user, 'unknown'))) AS users"),
+        F.expr("array_sort(collect_set(destination_port)) AS ports"),
+    )
+    if cap is None:
+        return flat.groupBy(*group).agg(array, *whole)
+    counts = flat.groupBy(*group).agg(*whole)
+    latest = "ORDER BY event_ts DESC, event_seq DESC"
+    shown = (
+        flat.selectExpr("*", "pmod(xxhash64(event_seq), 32) AS salt")
+        .selectExpr("*", f"row_number() OVER (PARTITION BY {', '.join(group)}, salt {latest}) AS nth_of_salt")
+        .filter(f"nth_of_salt <= {cap}")
+        .selectExpr("*", f"row_number() OVER (PARTITION BY {', '.join(group)} {latest}) AS nth")
+        .filter(f"nth <= {cap}")
+        .groupBy(*group)
+        .agg(array)
+    )
+    return counts.join(shown, list(group), "left").selectExpr(
+        *group, "coalesce(evidence, array()) AS evidence", "evidence_count", "users", "ports"
     )

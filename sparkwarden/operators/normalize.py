@@ -173,7 +173,8 @@ def normalize_json(rows: DataFrame) -> DataFrame:
 def explode_bulk(envelopes: DataFrame) -> tuple[DataFrame, DataFrame]:
     """``(lines, docs)`` of bulk envelopes ``batch_seq, value, ingested_at`` of the form ``{logs: [..], events: [..]}``.
 
-    ``event_seq`` keeps the order of submission: a batch's lines come before its events.
+    ``event_seq`` keeps the order of submission: a batch's lines come before its events. It leaves room for 2**24 entries
+    in a batch and 2**39 batches.
     """
     parsed = envelopes.withColumn("_e", F.from_json("value", "logs array<string>, events array<string>"))
     n_logs = F.coalesce(F.size("_e.logs"), F.lit(0))
