@@ -1,4 +1,5 @@
-"""Alert rows of every rule in one schema."""
+"""Alert rows of every rule in one schema. The description and context texts are fixed values, stated where they are
+filled in."""
 
 from __future__ import annotations
 

@@ -68,7 +68,7 @@ def ingest_summary(kept: DataFrame, rejects: DataFrame, dropped: DataFrame, aler
     )
 
 
-def pipeline_stats(events: DataFrame, alerts: DataFrame, rules: int = len(RULE_ORDER)) -> DataFrame:
+def engine_stats(events: DataFrame, alerts: DataFrame, rules: int = len(RULE_ORDER)) -> DataFrame:
     """Events processed, alerts, loaded rules and the alert rate as text."""
     counts = _one_row(_count(events, "events_processed"), _count(alerts, "alerts_generated"))
     rate = F.format_string("%.2f%%", F.col("alerts_generated") / F.nullif("events_processed", F.lit(0)) * 100)
@@ -82,6 +82,7 @@ def pipeline_stats(events: DataFrame, alerts: DataFrame, rules: int = len(RULE_O
 
 def rule_catalogue(spark: SparkSession, cfg: DetectConfig = DEFAULT_CONFIG) -> DataFrame:
     """Name, description and severity of each rule in evaluation order."""
+    # Rule descriptions.
     texts = {
         INTEL_RULE: f"Detects events from sources whose reputation score is {cfg.intel_min_score} or more",
         BRUTE_RULE: f"Detects {cfg.brute_threshold}+ failed login attempts from the same IP within "

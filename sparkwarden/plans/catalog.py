@@ -27,7 +27,7 @@ from sparkwarden.operators.iforest import fit_iforest, fit_model, predict, score
 from sparkwarden.operators.timebuckets import SECOND_US
 from sparkwarden.plans import sql
 from sparkwarden.plans.materialize import materialize, shared_dir
-from sparkwarden.plans.pipeline import block_points, detect, run_batch
+from sparkwarden.plans.batch import block_points, detect, run_batch
 from sparkwarden.schema import ROUTES_AS_CODED
 from sparkwarden.sources import readers, tables
 from sparkwarden.sources.adapter import document_lines, sec_events, sec_intel, sec_lines
@@ -949,7 +949,7 @@ def o45(spark, sf):
 
 
 @query(
-    "o46_pipeline_stats",
+    "o46_engine_stats",
     sql.with_ctes(
         """SELECT e AS events_processed, a AS alerts_generated, CAST(5 AS BIGINT) AS rules_loaded, printf('%.2f%%', a / e * 100) AS alert_rate
 FROM (SELECT CAST((SELECT count(*) FROM ev) AS BIGINT) AS e, CAST((SELECT count(*) FROM alerts) AS BIGINT) AS a)""",
@@ -958,7 +958,7 @@ FROM (SELECT CAST((SELECT count(*) FROM ev) AS BIGINT) AS e, CAST((SELECT count(
 )
 def o46(spark, sf):
     events = enriched(spark, sf)
-    return reads.pipeline_stats(events, detect(events, CFG))
+    return reads.engine_stats(events, detect(events, CFG))
 
 
 @query(

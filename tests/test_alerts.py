@@ -182,8 +182,8 @@ def test_reads(spark):
     assert reads.list_alerts(a, status="resolved").count() == 0
     assert [(r.severity, r["count"]) for r in reads.alert_stats(a).collect()][0] == ("high", 2)
     none = a.filter("false")
-    assert reads.pipeline_stats(none, none).first().alert_rate == "0%"
-    assert reads.pipeline_stats(a, a.limit(2)).first().alert_rate == "40.00%"
+    assert reads.engine_stats(none, none).first().alert_rate == "0%"
+    assert reads.engine_stats(a, a.limit(2)).first().alert_rate == "40.00%"
     assert reads.rule_catalogue(spark).count() == 5
     d = reads.dashboard(a, a, none).first()
     assert (d.events, d.alerts, d.high_risk_alerts, d.mitigations) == (5, 5, 3, 0)

@@ -8,7 +8,7 @@ from sparkwarden.operators.anomaly import anomaly_alerts
 from sparkwarden.operators.enrich import enrich
 from sparkwarden.operators.features import feature_matrix, window_features
 from sparkwarden.operators.respond import drop_blocked
-from sparkwarden.plans.pipeline import detect, run_batch
+from sparkwarden.plans.batch import detect, run_batch
 from sparkwarden.schema import FEATURE_NAMES, ROUTES_AS_CODED
 from tests import naive
 from tests.helpers import events_df, random_events

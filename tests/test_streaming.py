@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from sparkwarden.config import DetectConfig
 from sparkwarden.operators.enrich import enrich
 from sparkwarden.operators.features import feature_matrix
-from sparkwarden.plans.pipeline import run_batch
+from sparkwarden.plans.batch import run_batch
 from sparkwarden.sources.readers import stream_events
 from sparkwarden.streaming import flows
 from sparkwarden.streaming.state import OUT_DDL, stream_ip_rules, stream_user_rules

@@ -22,7 +22,7 @@ from sparkwarden.operators.port_scan import port_scan_firings  # noqa: E402
 from sparkwarden.operators.priv_escalation import escalation_firings  # noqa: E402
 from sparkwarden.operators.timebuckets import SECOND_US, with_halo  # noqa: E402
 from sparkwarden.plans.materialize import shared_dir  # noqa: E402
-from sparkwarden.plans.pipeline import run_batch  # noqa: E402
+from sparkwarden.plans.batch import run_batch  # noqa: E402
 from sparkwarden.sources.adapter import sec_events, sec_intel  # noqa: E402
 
 
