@@ -11,6 +11,9 @@ class DetectConfig:
 
     ``bucket_factor`` sets the width of the time buckets that split a busy key over tasks: a bucket is
     ``bucket_factor`` windows wide, and ``2 / bucket_factor`` is the largest share of rows copied to a neighbour.
+
+    ``stored_firings`` makes each rule two jobs: its firings, narrow and stored, then the evidence of just the buckets they
+    fall into. Worth it where events are many and alerts few; the batch job sets it when it has an event store.
     """
 
     # Fixed default values
@@ -27,6 +30,7 @@ class DetectConfig:
     port_scan_actions: tuple[str, ...] | None = None
     evidence_cap: int | None = None
     bucket_factor: int = 16
+    stored_firings: bool = False
 
     def __post_init__(self):
         if self.bucket_factor < 2:

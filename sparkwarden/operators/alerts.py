@@ -70,6 +70,7 @@ def brute_force_alerts(events: DataFrame, cfg: DetectConfig = DEFAULT_CONFIG) ->
         window_us,
         cfg.bucket_factor * window_us,
         cfg.evidence_cap,
+        cfg.stored_firings,
     )
     text = (
         "format_string('Brute force attack detected: %d failed login attempts from %s within %d seconds. "
@@ -92,6 +93,7 @@ def port_scan_alerts(events: DataFrame, cfg: DetectConfig = DEFAULT_CONFIG) -> D
         window_us,
         cfg.bucket_factor * window_us,
         cfg.evidence_cap,
+        cfg.stored_firings,
     )
     text = (
         "format_string('Port scan detected: %s connected to %d unique ports within %d seconds. Ports: [%s]', "
@@ -111,7 +113,7 @@ def escalation_alerts(events: DataFrame, cfg: DetectConfig = DEFAULT_CONFIG) ->
     # message rides along with raw as far as this function
     rows = pe.login_and_sudo(events).withColumn("raw", F.struct("raw", "message"))
     fired = attach_evidence(
-        pe.escalation_firings(events, cfg), rows, "user", lookback_us, cfg.bucket_factor * lookback_us
+        pe.escalation_firings(events, cfg), rows, "user", lookback_us, cfg.bucket_factor * lookback_us, None, cfg.stored_firings
     )
     plain = ", ".join(f"{'e.raw.raw' if f == 'raw' else 'e.' + f} AS {f}" for f in EVIDENCE_FIELDS)
     fired = (

@@ -5,18 +5,27 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sparkwarden.operators.joins import BROADCAST_ROWS
 from sparkwarden.operators.timebuckets import bucket_sql
+from sparkwarden.plans.materialize import materialize
 
 EVIDENCE_FIELDS = ("event_seq", "event_ts", "source_ip", "user", "action", "destination_port", "raw")
 
 
-def evidence_rows(firings: DataFrame, events: DataFrame, key: str, window_us: int, bucket_us: int) -> DataFrame:
+def evidence_rows(
+    firings: DataFrame, events: DataFrame, key: str, window_us: int, bucket_us: int, stored: bool = False
+) -> DataFrame:
     """One row per event of a firing's window: the event's evidence fields and ``key, trigger_ts, trigger_seq``.
 
     Windows of one key do not overlap, as a firing empties the window. So each event belongs to the first firing at
     or after it, if that one reaches back far enough: a running "next firing" over ``(key, bucket)``, linear in
     the number of events, where a join on the key would meet every pair. ``events`` holds the rule's own rows only.
+
+    ``stored`` writes the firings to the shared folder first. Their buckets are then counted and, if few enough to send to
+    every task, only events of those buckets are shuffled, with their raw text; otherwise all are.
     """
+    if stored:
+        firings = materialize(firings)
     home = bucket_sql("ts_us", bucket_us)
     # a firing whose window began in the bucket before is needed there too
     into_prev = f"ts_us - {window_us}L < {home} * {bucket_us}L"
@@ -31,6 +40,10 @@ def evidence_rows(firings: DataFrame, events: DataFrame, key: str, window_us: in
     rows = events.selectExpr(
         f"{key} AS key", "unix_micros(event_ts) AS ts_us", "event_seq AS seq", f"struct({', '.join(EVIDENCE_FIELDS)}) AS event"
     ).selectExpr("key", f"{home} AS bucket", "ts_us", "seq", "0 AS kind", "event")
+    if stored:
+        buckets = marks.select("key", "bucket").distinct()
+        if buckets.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+            rows = rows.join(F.broadcast(buckets), ["key", "bucket"], "left_semi")
     return (
         rows.unionByName(marks, allowMissingColumns=True)
         .selectExpr(
@@ -50,6 +63,7 @@ def attach_evidence(
     window_us: int,
     bucket_us: int,
     cap: int | None = None,
+    stored: bool = False,
 ) -> DataFrame:
     """One row per firing: ``key, trigger_ts, trigger_seq, evidence, evidence_count``, plus the distinct
     ``users`` and ``ports`` of the evidence.
@@ -59,7 +73,7 @@ def attach_evidence(
     the whole flat form, which has no group to collect. Of two cuts by row number the first is per salt, so a window
     with very many events is not sorted in one task.
     """
-    flat = evidence_rows(firings, events, key, window_us, bucket_us)
+    flat = evidence_rows(firings, events, key, window_us, bucket_us, stored)
     group = ("key", "trigger_ts", "trigger_seq")
     # time first, so that sorting the structs sorts by time
     ordered = ", ".join(("event_ts", "event_seq", *(f for f in EVIDENCE_FIELDS if f not in ("event_ts", "event_seq"))))

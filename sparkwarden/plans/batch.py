@@ -113,12 +113,14 @@ def run_batch(
     Pass 1 finds each source's first block; its later events are dropped; pass 2 runs every rule on the rest. Blocks
     and alerts are written once to the shared folder, as several branches read them. With ``events_path`` the kept
     events are appended to that event store first and the rules read them from there, so that parsing, enrichment and
-    the drop are not repeated for each rule; the path must be new to this run.
+    the drop are not repeated for each rule, and evidence is shuffled only where a rule fired; the path must be new to
+    this run.
     """
     blocks = materialize(block_points(events, cfg, model, routes, prior))
     kept, dropped = drop_blocked(events, blocks)
     if events_path is not None:
         write_events(kept, events_path)
         kept = read_events(events.sparkSession, events_path).select(*events.columns)
+        cfg = cfg.with_(stored_firings=True)
     found = materialize(detect(kept, cfg, model, extra))
     return BatchResult(kept, dropped, found, mitigations(found, routes_table(events.sparkSession, routes)), blocks)
