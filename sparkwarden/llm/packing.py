@@ -30,7 +30,9 @@ END_ID = 1
 #: Tokens that a task holds before it packs them.
 BUFFER_TOKENS = 1 << 21
 #: Tokenized words that a task remembers.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 500_000
+#: Characters whose words are looked up together.
+GROUP_CHARS = 1 << 20
 SCHEMA = (
     "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long, "
     "window_tokens long, step_group long"
@@ -66,31 +68,40 @@ class Encoder:
                 simple.append(w)
             else:
                 self.words[w] = self._plain(w)
-        if not simple:
-            return
-        # one call for all, told apart by line breaks
-        ids = np.array(self.tokenizer.encode("\n".join(simple), add_special_tokens=False).ids, "<u4")
-        cuts = np.flatnonzero(ids == _LINE_ID)
-        if len(cuts) != len(simple) - 1:
-            self.words |= {w: self._plain(w) for w in simple}
-            return
-        for w, i, j in zip(simple, np.append(-1, cuts) + 1, np.append(cuts, len(ids)), strict=True):
-            self.words[w] = ids[i:j].tobytes()
+        # some words in a call, told apart by line breaks
+        groups = [simple[i : i + 64] for i in range(0, len(simple), 64)]
+        done = self.tokenizer.encode_batch_fast(["\n".join(g) for g in groups], add_special_tokens=False)
+        for group, encoding in zip(groups, done, strict=True):
+            ids = np.array(encoding.ids, "<u4")
+            cuts = np.flatnonzero(ids == _LINE_ID)
+            if len(cuts) != len(group) - 1:
+                self.words |= {w: self._plain(w) for w in group}
+                continue
+            raw, ends = ids.tobytes(), [*(4 * cuts).tolist(), 4 * len(ids)]
+            self.words |= {w: raw[i:j] for w, i, j in zip(group, [0, *(4 * cuts + 4).tolist()], ends, strict=True)}
 
     def encode(self, texts: pa.Array) -> Iterator[bytes]:
         wide = pc.match_substring_regex(texts, _SPACE + _SPACE).to_pylist()
-        for text, odd in zip(texts.to_pylist(), wide, strict=True):
-            if odd or "<|" in text or "\0" in text:
-                yield self._plain(text)
-                continue
-            if len(self.words) > CACHE_WORDS:
-                self.words.clear()
-            parts = text.replace("\n", "\0\n\0").replace(" ", "\0 ").split("\0")
-            found = list(map(self.words.get, parts))
-            if None in found:
-                self._learn({p for p, f in zip(parts, found, strict=True) if f is None})
-                found = list(map(self.words.__getitem__, parts))
-            yield b"".join(found)
+        group: list[str | list[str]] = []
+        size = 0
+        for i, odd in enumerate(wide):
+            text = texts[i].as_py()
+            whole = odd or "<|" in text or "\0" in text
+            group.append(text if whole else text.replace("\n", "\0\n\0").replace(" ", "\0 ").split("\0"))
+            size += len(text)
+            if size > GROUP_CHARS:
+                yield from self._group(group)
+                group, size = [], 0
+        yield from self._group(group)
+
+    def _group(self, group: list[str | list[str]]) -> Iterator[bytes]:
+        """Texts that go whole, or as lists of words."""
+        if len(self.words) > CACHE_WORDS:
+            self.words.clear()
+        known = self.words
+        self._learn({w for x in group if isinstance(x, list) for w in x if w not in known})
+        for x in group:
+            yield self._plain(x) if isinstance(x, str) else b"".join(map(known.__getitem__, x))
 
 
 class _Tiers:
