@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkwarden.llm import bpe_pieces, packing, simhash, toxicity
+from sparkwarden.llm import bpe_pieces, line_dedup, packing, simhash, toxicity
 from sparkwarden.llm.common import held_out, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -70,3 +70,9 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
         "window_tokens",
         "step_group",
     )
+
+
+@query
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return done.select("doc_id", "text", "n_lines", "n_removed", "removed")
