@@ -163,7 +163,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", settings: Se
             for _, _, _, term, _ in term_counts(batch.column("text")):
                 df[:TERMS] += np.bincount(term, minlength=TERMS)
         df[TERMS] = n  # the last entry counts the documents
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(TERMS + 1)), pa.array(df)], names=["term", "df"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(TERMS + 1), pa.int32()), pa.array(df)], names=["term", "df"])
 
     counted = docs.select("text").mapInArrow(frequencies, "term int, df long").groupBy("term").agg(F.sum("df").alias("df"))
     found = counted.toPandas().set_index("term")["df"].reindex(range(TERMS + 1), fill_value=0).to_numpy()
