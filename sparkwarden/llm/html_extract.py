@@ -33,6 +33,8 @@ SAMPLE = 2_000
 STEP = 4.0
 #: Class and id names are learned from this number of occurrences on.
 LEAST = 20
+#: Stands for a script or the like that was cut out; it parts the words beside it.
+CUT = "#cut"
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
     r"|<(script|style|noscript|template|textarea|svg|iframe|head)\b(?:\"[^\"]*+\"|'[^']*+'|[^>\"'])*+>.*?(?:</\1\s*>|\Z)"
@@ -66,8 +68,8 @@ CLOSES_ITSELF = frozenset("p li dt dd tr td th option".split())
 
 def _prior(name: str) -> float:
     if name == "a":
-        return 2.0
-    if name in INLINE or name in CONTENT:
+        return 1.0
+    if name in INLINE or name in CONTENT or name == CUT:
         return 0.3
     return 5.0 if name in FRAME else 3.0
 
@@ -87,7 +89,7 @@ class Page:
             name = m[3] or m[6]
             if not name:
                 if m[1]:
-                    self.items.append((stack[-1][1], "hr", (), None))  # what is cut out here parts the words beside it
+                    self.items.append((stack[-1][1], CUT, (), None))
                 continue
             name, end, rest = name.lower(), m[2] or m[5], m[4] or m[7] or ""
             if end:
@@ -147,7 +149,7 @@ def counts(source: str) -> Counter:
     found: Counter = Counter()
     if inside is not None:
         for e, tag, names, _ in page.items:
-            if tag and not page.never[e]:
+            if tag and tag != CUT and not page.never[e]:
                 for key in (tag, *("." + n for n in names)):
                     found[key, page.parent[e] in inside] += 1
     return found
