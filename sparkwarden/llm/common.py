@@ -47,6 +47,14 @@ def label_sample(labels: DataFrame, label: str, most: int) -> DataFrame:
     return rows.withColumn("turn", F.xxhash64("doc_id")).orderBy("turn", "doc_id").limit(most)
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with underscores put on until no column of ``df`` is called so."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def with_columns(df: DataFrame, fields: list[T.StructField], fn: Callable[[pa.RecordBatch], list[pa.Array]]) -> DataFrame:
     """``df`` and new columns that ``fn`` makes from each Arrow batch; older columns of the same names give way."""
     new = {f.name for f in fields}

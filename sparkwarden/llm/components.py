@@ -5,6 +5,8 @@ small steps the smaller ones. The links end as stars around the smallest node of
 rounds that grows with the logarithm of the size. The smallest neighbour is a partially aggregated minimum in a table of
 its own, so that the join that spreads it may split a node with very many links. Between the rounds the links are a
 written table in the shared folder; a lost executor costs a step at most, and no task holds a component.
+
+Links that are no more than one task contracts anyway (``CHUNK_LINKS``) need no rounds: that task is the result.
 """
 
 from __future__ import annotations
@@ -72,26 +74,31 @@ def _spread(links: DataFrame) -> DataFrame:
     return links.join(least, "u").withColumn("m", F.least("u", "m"))
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, chunk: int = CHUNK_LINKS) -> DataFrame:
     """``(node, component)`` for every node of ``links(a, b)``; ``component`` is its smallest reachable node.
 
     Links of a node with itself and links with a null end say nothing. No link gives no row.
     """
     pairs = links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
-    now = _settled(pairs)
-    before = None
+    now = cut(pairs.mapInArrow(_contract, "u long, v long"))
+    if now.count() <= chunk:
+        now = cut(now.repartition(1).mapInArrow(_contract, "u long, v long"))
+    else:
+        now = _star_rounds(now)
+    roots = now.select(F.col("v").alias("node")).distinct().select("node", F.col("node").alias("component"))
+    return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
+
+
+def _star_rounds(links: DataFrame) -> DataFrame:
+    """Links of every node with the smallest one of its component."""
+    now, before = _settled(links), None
     for _ in range(MOST_ROUNDS):
         state = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == before:
-            break
+            return now
         before = state
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = _spread(both).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = _settled(large)
-        small = _spread(large)
-        hung = small.select(F.explode(F.array(F.struct("v", "m"), F.struct(F.col("u").alias("v"), "m"))).alias("x"))
+        large = _settled(_spread(both).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")))
+        hung = _spread(large).select(F.explode(F.array(F.struct("v", "m"), F.struct(F.col("u").alias("v"), "m"))).alias("x"))
         now = _settled(hung.select(F.col("x.v").alias("u"), F.col("x.m").alias("v")).where("u <> v"))
-    else:
-        raise RuntimeError("links did not settle")
-    roots = now.select(F.col("v").alias("node")).distinct().select("node", F.col("node").alias("component"))
-    return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
+    raise RuntimeError("links did not settle")

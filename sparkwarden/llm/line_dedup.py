@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkwarden.llm.common import cut
+from sparkwarden.llm.common import cut, free_name
 from sparkwarden.llm.components import components
 from sparkwarden.llm.textfeat import mix
 
@@ -310,14 +310,8 @@ def line_links(docs: DataFrame, lines: DataFrame, shingle: int, similarity: floa
     return checked.unionByName(tasks.mapInArrow(_check_blocks(shingle, similarity), "a long, b long"))
 
 
-def dedup_lines(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """``docs(doc_id, text, ...)`` without repeated lines, with all its columns; ``n_chars``, if there, is counted anew.
-
-    Three columns are added: ``n_lines`` and ``n_removed``, counted over the text's lines, and ``removed``, their
-    numbers from 0.
-    """
-    keyed = docs.withColumn("_row", F.xxhash64("doc_id", "text"))
-    plain = keyed.select("doc_id", "text", F.col("_row").alias("row"))
+def _removed(plain: DataFrame, shingle: int, similarity: float, bands: int, rows: int) -> DataFrame:
+    """``(row, removed)``: the line numbers to remove, for the rows of ``plain(doc_id, text, row)`` that lose any."""
     lines = cut(plain.mapInArrow(_lines(shingle, bands, rows), "doc_id long, row long, line int, h long, bands binary"))
     group = components(line_links(plain, lines, shingle, similarity)).select(F.col("node").alias("h"), "component")
     place = F.struct("doc_id", "row", "line")
@@ -327,12 +321,34 @@ def dedup_lines(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIM
     keepers = cut(firsts.groupBy("component").agg(F.min("first").alias("keeper")))
     keepers = cut(firsts.join(keepers, "component").select("h", "keeper"))
     extra = lines.join(keepers, "h").where(~place.eqNullSafe(F.col("keeper"))).select("row", "line")
-    drop = cut(extra.groupBy("row").agg(F.sort_array(F.collect_set("line")).alias("removed")))
-    joined = keyed.drop("removed", "n_lines", "n_removed").join(drop.withColumnRenamed("row", "_row"), "_row", "left")
+    return cut(extra.groupBy("row").agg(F.sort_array(F.collect_set("line")).alias("removed")))
+
+
+def dedup_lines(
+    docs: DataFrame,
+    shingle: int = SHINGLE,
+    similarity: float = SIMILARITY,
+    bands: int = BANDS,
+    rows: int = ROWS,
+    report: bool = True,
+) -> DataFrame:
+    """``docs(doc_id, text, ...)`` without repeated lines, with all its columns; ``n_chars``, if there, is counted anew.
+
+    With ``report`` three columns are added, in place of older ones of these names: ``n_lines`` of the text as it was,
+    ``removed``, the numbers of the lines that are gone, from 0, and ``n_removed``.
+    """
+    row, gone = free_name(docs, "row"), free_name(docs, "removed")
+    keyed = docs.withColumn(row, F.xxhash64("doc_id", "text"))
+    drop = _removed(keyed.select("doc_id", "text", F.col(row).alias("row")), shingle, similarity, bands, rows)
+    out = keyed.join(drop.select(F.col("row").alias(row), F.col("removed").alias(gone)), row, "left").drop(row)
     parts = F.split("text", "\n", -1)
-    left = F.filter(parts, lambda _, i: ~F.array_contains("removed", i))
-    out = joined.withColumn("n_lines", F.coalesce(F.size(parts), F.lit(0)))
-    out = out.withColumn("text", F.when(F.col("removed").isNull(), F.col("text")).otherwise(F.array_join(left, "\n")))
-    out = out.withColumn("removed", F.coalesce("removed", F.array().cast("array<int>")))
-    out = out.withColumn("n_removed", F.size("removed")).drop("_row")
-    return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else out
+    left = F.filter(parts, lambda _, i: ~F.array_contains(gone, i))
+    if report:
+        listed = F.coalesce(gone, F.array().cast("array<int>"))
+        n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.size(parts))
+        out = out.withColumns({"n_lines": n_lines, "n_removed": F.size(listed), "removed": listed})
+    out = out.withColumn("text", F.when(F.col(gone).isNull(), F.col("text")).otherwise(F.array_join(left, "\n")))
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    keep = docs.columns + ([c for c in ("n_lines", "n_removed", "removed") if c not in docs.columns] if report else [])
+    return out.select(keep)
