@@ -1,7 +1,7 @@
 """Quality: nearest-neighbour voting over latent-semantic vectors.
 
 Terms of a text are its hashed words, the shapes of its words (upper, lower, digit, and each other sign, runs as one),
-pairs of neighbouring shapes, and whether a word repeats the one before it, over the whole text. Words and shapes make
+pairs of neighbouring shapes, and the share of words that repeat the one before, over the whole text. Words and shapes make
 two blocks of ``log(1 + tf) * idf`` values, each scaled to a length of its own. Document frequencies are counted over all
 documents. The vectors of at most ``sample`` labelled documents are decomposed; their leading right singular vectors
 project every document into ``rank`` dimensions.
@@ -29,8 +29,10 @@ from sparkwarden.llm import textfeat
 from sparkwarden.llm.common import label_sample, with_columns
 
 WORD_TERMS, SHAPE_TERMS, PAIR_TERMS = 1 << 12, 1 << 11, 1 << 11
-REPEATED = WORD_TERMS + SHAPE_TERMS + PAIR_TERMS
-TERMS = REPEATED + 1
+#: A term for each eighth of the share of words that repeat the one before; it counts ``SHARE_COUNT`` times.
+SHARES = WORD_TERMS + SHAPE_TERMS + PAIR_TERMS
+SHARE_COUNT = 16
+TERMS = SHARES + 8
 STYLE_LENGTH = 2.0  # of the shape block; that of the words is 1
 _SHAPE = np.arange(256, dtype=np.uint8)
 for _a, _b, _to in ((65, 90, 65), (97, 122, 97), (48, 57, 48), (128, 255, 97)):
@@ -78,16 +80,19 @@ def term_counts(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndar
         shapes = textfeat.mix(np.add.reduceat(value, starts))
         near = row[:-1] == row[1:]
         pairs = textfeat.mix(shapes[:-1] * np.uint64(7) + shapes[1:])[near]
-        again = row[1:][near & (word[1:] == word[:-1])]
+        again = np.bincount(row[1:][near & (word[1:] == word[:-1])], minlength=b - a)
+        held = np.bincount(row, minlength=b - a)
+        filled = np.flatnonzero(held)
+        share = SHARES + np.minimum(7, 8 * again[filled] // held[filled])
         term = np.concatenate(
             [
                 (word % np.uint64(WORD_TERMS)).astype(np.int64),
                 (shapes % np.uint64(SHAPE_TERMS)).astype(np.int64) + WORD_TERMS,
                 (pairs % np.uint64(PAIR_TERMS)).astype(np.int64) + (WORD_TERMS + SHAPE_TERMS),
-                np.full(len(again), REPEATED),
+                np.repeat(share, SHARE_COUNT),
             ]
         )
-        key, count = np.unique(np.concatenate([row, row, row[1:][near], again]) * TERMS + term, return_counts=True)
+        key, count = np.unique(np.concatenate([row, row, row[1:][near], np.repeat(filled, SHARE_COUNT)]) * TERMS + term, return_counts=True)
         yield a, b, key // TERMS + a, key % TERMS, count
 
 
