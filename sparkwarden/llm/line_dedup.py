@@ -41,6 +41,8 @@ BANDS, ROWS = 12, 5  # at similarity 0.8 a pair shares a band with probability 0
 FEW = 32
 BLOCK = 256
 MAP_BITS = 1 << 26
+#: Lines up to this length keep their shingles while a batch of pairs is checked.
+KEPT_CHARS = 2_000
 SLICE_CHARS = 1 << 18
 _RNG = np.random.default_rng(11)
 _TERMS = _RNG.integers(1, 2**63, 64, dtype=np.uint64) | np.uint64(1)
@@ -239,11 +241,25 @@ def _texts(docs: DataFrame, hashes: DataFrame) -> DataFrame:
 
 
 def _check_pairs(size: int, similarity: float):
+    """Pairs come sorted by ``b``, so that a batch often holds a line several times; its shingles are made once."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True)
-            good = pa.array([jaccard(shingles(x, size), shingles(y, size)) >= similarity for x, y in texts], pa.bool_())
-            yield batch.select(["a", "b"]).filter(good)
+            made: dict[str, set[str]] = {}
+            good = []
+            for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True):
+                a, b = made.get(x), made.get(y)
+                if a is None:
+                    a = shingles(x, size)
+                    if len(x) < KEPT_CHARS:
+                        made[x] = a
+                if b is None:
+                    b = shingles(y, size)
+                    if len(y) < KEPT_CHARS:
+                        made[y] = b
+                few, many = sorted((len(a), len(b)))
+                good.append(few >= similarity * many and jaccard(a, b) >= similarity)
+            yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
     return run
 
