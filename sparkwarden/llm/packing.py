@@ -30,9 +30,11 @@ END_ID = 1
 #: Tokens that a task holds before it packs them.
 BUFFER_TOKENS = 1 << 21
 #: Tokenized words that a task remembers.
-CACHE_WORDS = 500_000
+CACHE_WORDS = 250_000
+#: Length of the words that stay when there are too many; short ones come again soonest.
+SHORT = 9
 #: Characters whose words are looked up together.
-GROUP_CHARS = 1 << 20
+GROUP_CHARS = 1 << 19
 SCHEMA = (
     "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long, "
     "window_tokens long, step_group long"
@@ -97,7 +99,9 @@ class Encoder:
     def _group(self, group: list[str | list[str]]) -> Iterator[bytes]:
         """Texts that go whole, or as lists of words."""
         if len(self.words) > CACHE_WORDS:
-            self.words.clear()
+            self.words = {w: raw for w, raw in self.words.items() if len(w) <= SHORT}
+            if len(self.words) > CACHE_WORDS // 2:
+                self.words.clear()
         known = self.words
         self._learn({w for x in group if isinstance(x, list) for w in x if w not in known})
         for x in group:

@@ -61,7 +61,7 @@ def term_counts(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndar
     data, offsets = textfeat.byte_view(texts)
     fold = np.arange(256, dtype=np.uint8)
     fold[65:91] += 32
-    for a, b in textfeat.slices(offsets, 1 << 20):
+    for a, b in textfeat.slices(offsets, 1 << 18):
         part, at = data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
         inside, starts, ends, row = textfeat.spans(part, at, textfeat.SOLID_BYTES)
         if not len(starts):

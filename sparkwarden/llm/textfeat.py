@@ -19,7 +19,7 @@ WORD_BYTES = np.array([chr(b).isalnum() or b >= 128 for b in range(256)])
 #: Every byte but white space belongs to a word.
 SOLID_BYTES = np.array([not (b == 32 or 9 <= b <= 13) for b in range(256)])
 #: Bytes of text that are handled at once; bounds the work arrays.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 19
 
 
 def mix(h: np.ndarray) -> np.ndarray:

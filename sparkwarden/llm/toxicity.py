@@ -80,7 +80,7 @@ def _learn(rows: list[tuple[int, np.ndarray]], s: Settings) -> tuple[np.ndarray,
         shrunk = zi - np.sign(zi) * np.where(at == size, 0.0, np.minimum(np.abs(zi), s.l1))
         return -shrunk / ((s.beta + np.sqrt(n[at])) / s.alpha + s.l2)
 
-    rows = [(y, np.append(at, size)) for y, at in rows]
+    rows = [(y, np.append(at, np.int32(size))) for y, at in rows]
     for _ in range(s.passes):
         for k in rng.permutation(len(rows)):
             y, at = rows[k]
@@ -112,7 +112,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", settings: Sett
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = [
-            (int(y), np.frombuffer(i, "<i4").astype(np.int64))
+            (int(y), np.frombuffer(i, "<i4"))
             for batch in batches
             for y, i in zip(batch.column("y").to_pylist(), batch.column("index").to_pylist(), strict=True)
         ]
