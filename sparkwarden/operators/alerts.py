@@ -28,13 +28,14 @@ def make_alerts(df: DataFrame, rule: str, fields: dict[str, str], metadata: dict
     """Alert rows of ``rule``. ``df`` has ``key, trigger_seq, trigger_ts, evidence, evidence_count``; ``fields`` gives
     SQL texts of ``source_ip, user, description, context`` (null if absent), ``metadata`` those of the rule's details.
 
-    The id is a hash of rule, key and triggering event, so a rerun gives the same ids; times are event time.
+    The id is a hash of rule, key, trigger time and triggering event, so a rerun gives the same ids, and events of another
+    load that carry the same number give others; times are event time.
     """
     details = ", ".join(
         f"'{name}', CAST({metadata.get(name, 'null')} AS {kind})" for name, kind in ALERT_METADATA.items()
     )
     return df.selectExpr(
-        f"sha2(concat_ws('|', '{rule}', key, trigger_seq), 256) AS alert_id",
+        f"sha2(concat_ws('|', '{rule}', key, trigger_ts, trigger_seq), 256) AS alert_id",
         f"'{rule}' AS rule_name",
         f"{RULE_ORDER.index(rule)} AS rule_order",
         f"'{RULE_SEVERITY[rule]}' AS severity",

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from sparkwarden.operators.joins import BROADCAST_ROWS, lookup_join
 from sparkwarden.schema import INTEL_TYPE
@@ -23,9 +24,11 @@ def sample_intel(spark: SparkSession) -> DataFrame:
 def enrich(events: DataFrame, intel: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Add ``intel``; sources that are unknown or null get score 0, no tags and ``malicious = false``.
 
-    ``intel`` holds one row per ``ip``. See :func:`lookup_join` for how its size picks the join.
+    Of several rows of one ``ip`` the one with the highest score counts, of equal scores the one whose tags sort last, so
+    that no event is doubled. See :func:`lookup_join` for how the feed's size picks the join.
     """
-    dim = intel.selectExpr("ip AS source_ip", "reputation_score", "tags")
+    worst = intel.where("ip IS NOT NULL").groupBy("ip").agg(F.max(F.struct("reputation_score", "tags")).alias("row"))
+    dim = worst.selectExpr("ip AS source_ip", "row.reputation_score", "row.tags")
     joined = lookup_join(events, dim, "source_ip", max_rows=max_rows)
     return joined.selectExpr(
         *events.columns,

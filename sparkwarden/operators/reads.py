@@ -68,8 +68,8 @@ def ingest_summary(kept: DataFrame, rejects: DataFrame, dropped: DataFrame, aler
     )
 
 
-def engine_stats(events: DataFrame, alerts: DataFrame, rules: int = len(RULE_ORDER)) -> DataFrame:
-    """Events processed, alerts, loaded rules and the alert rate as text."""
+def engine_stats(events: DataFrame, alerts: DataFrame, rules: int) -> DataFrame:
+    """Events processed, alerts, the number of rules that made them, and the alert rate as text."""
     counts = _one_row(_count(events, "events_processed"), _count(alerts, "alerts_generated"))
     rate = F.format_string("%.2f%%", F.col("alerts_generated") / F.nullif("events_processed", F.lit(0)) * 100)
     return counts.select(
@@ -82,17 +82,12 @@ def engine_stats(events: DataFrame, alerts: DataFrame, rules: int = len(RULE_ORD
 
 def rule_catalogue(spark: SparkSession, cfg: DetectConfig = DEFAULT_CONFIG) -> DataFrame:
     """Name, description and severity of each rule in evaluation order."""
-    # Rule descriptions.
     texts = {
-        INTEL_RULE: f"Detects events from sources whose reputation score is {cfg.intel_min_score} or more",
-        BRUTE_RULE: f"Detects {cfg.brute_threshold}+ failed login attempts from the same IP within "
-        f"{cfg.brute_window_s} seconds",
-        SCAN_RULE: f"Detects connections to {cfg.scan_threshold}+ distinct ports from the same IP within "
-        f"{cfg.scan_window_s} seconds",
-        ESCALATION_RULE: "Detects sudo command execution by users who had recent authentication failures "
-        "(potential account compromise)",
-        ANOMALY_RULE: "Detects statistically anomalous activity using unsupervised machine learning (Isolation "
-        "Forest), evaluating time-of-day, velocity, and behavior patterns against historical baselines.",
+        INTEL_RULE: f"The feed scores this source {cfg.intel_min_score} or higher",
+        BRUTE_RULE: f"One source fails to log in {cfg.brute_threshold} times or more in {cfg.brute_window_s} s",
+        SCAN_RULE: f"One source reaches {cfg.scan_threshold} different ports or more in {cfg.scan_window_s} s",
+        ESCALATION_RULE: f"A user runs sudo at most {cfg.escalation_lookback_s} s after a failed login of the same name",
+        ANOMALY_RULE: "An isolation forest over hour, weekend, rate and ports puts this event among the outliers",
     }
     rows = [(i, r, texts[r], RULE_SEVERITY[r]) for i, r in enumerate(RULE_ORDER)]
     return spark.createDataFrame(rows, "rule_order int, name string, description string, severity string")

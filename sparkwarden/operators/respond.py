@@ -69,10 +69,9 @@ def routes_table(spark: SparkSession, routes=ROUTES_INTENDED) -> DataFrame:
 
 
 def route(alerts: DataFrame, routes: DataFrame) -> DataFrame:
-    """Alerts with each playbook that answers their rule. The route table is configuration, a few rows."""
-    if routes.limit(10_001).count() > 10_000:
-        raise ValueError("a route table holds a few rows per rule")
-    return alerts.join(F.broadcast(routes), "rule_name")
+    """Alerts with each playbook that answers their rule. A route table is a few rows, and then sent to every task."""
+    small = routes.limit(10_001).count() <= 10_000
+    return alerts.join(F.broadcast(routes) if small else routes, "rule_name")
 
 
 def _mitigation(routed: DataFrame, action: str, target: Column, reason: Column) -> DataFrame:

@@ -27,7 +27,7 @@ from sparkwarden.operators.iforest import fit_iforest, fit_model, predict, score
 from sparkwarden.operators.timebuckets import SECOND_US
 from sparkwarden.plans import sql
 from sparkwarden.plans.materialize import materialize, shared_dir
-from sparkwarden.plans.batch import block_points, detect, run_batch
+from sparkwarden.plans.batch import block_points, detect, rule_set, run_batch
 from sparkwarden.schema import ROUTES_AS_CODED
 from sparkwarden.sources import readers, tables
 from sparkwarden.sources.adapter import document_lines, sec_events, sec_intel, sec_lines
@@ -238,7 +238,7 @@ SELECT created_us AS ts_us, CASE WHEN rule_name = 'privilege_escalation' THEN 'd
   key AS target,
   'Auto-mitigation due to ' || rule_name || CASE WHEN rule_name = 'privilege_escalation'
     THEN ' (Compromised Credentials).' ELSE ' alert.' END AS reason,
-  sha256(rule_name || '|' || key || '|' || trigger_seq) AS triggering_alert_id, 'applied' AS status
+  sha256(rule_name || '|' || key || '|' || CAST(created_us AS BIGINT) || '|' || trigger_seq) AS triggering_alert_id, 'applied' AS status
 FROM alerts
 """
 
@@ -481,7 +481,7 @@ def o14(spark, sf):
 
 
 _ALERT_SQL = """
-SELECT sha256(rule_name || '|' || key || '|' || trigger_seq) AS alert_id, rule_name, severity, source_ip, usr AS "user",
+SELECT sha256(rule_name || '|' || key || '|' || CAST(created_us AS BIGINT) || '|' || trigger_seq) AS alert_id, rule_name, severity, source_ip, usr AS "user",
   description, context, CAST(evidence_count AS BIGINT) AS evidence_count, 'new' AS status, CAST(created_us AS BIGINT) AS created_us,
   CAST(trigger_seq AS BIGINT) AS trigger_seq
 FROM alerts
@@ -951,14 +951,15 @@ def o45(spark, sf):
 @query(
     "o46_engine_stats",
     sql.with_ctes(
-        """SELECT e AS events_processed, a AS alerts_generated, CAST(5 AS BIGINT) AS rules_loaded, printf('%.2f%%', a / e * 100) AS alert_rate
+        """SELECT e AS events_processed, a AS alerts_generated, CAST((SELECT count(*) FROM
+  (VALUES ('threat_intel_match'), ('brute_force_ssh'), ('port_scan'), ('privilege_escalation'))) AS BIGINT) AS rules_loaded, printf('%.2f%%', a / e * 100) AS alert_rate
 FROM (SELECT CAST((SELECT count(*) FROM ev) AS BIGINT) AS e, CAST((SELECT count(*) FROM alerts) AS BIGINT) AS a)""",
         *_ALERTS,
     ),
 )
 def o46(spark, sf):
     events = enriched(spark, sf)
-    return reads.engine_stats(events, detect(events, CFG))
+    return reads.engine_stats(events, detect(events, CFG), len(rule_set()))
 
 
 @query(
@@ -993,7 +994,7 @@ def o48(spark, sf):
 @query(
     "o49_flatten_evidence",
     sql.with_ctes(
-        """SELECT sha256('privilege_escalation|' || p.key || '|' || p.trigger_seq) AS alert_id, p.ts_us, e.source_ip, p.action, p.event_seq
+        """SELECT sha256('privilege_escalation|' || p.key || '|' || (SELECT CAST(ts_us AS BIGINT) FROM ev t WHERE t.event_seq = p.trigger_seq) || '|' || p.trigger_seq) AS alert_id, p.ts_us, e.source_ip, p.action, p.event_seq
 FROM pee p JOIN ev e USING (event_seq)""",
         _ESC,
     ),

@@ -115,6 +115,18 @@ def test_intel(spark, max_rows):
     assert a.context.endswith("Reputation Score: 95. Tags: [TOR_EXIT_NODE, ANONYMIZER]")
 
 
+def test_repeated_intel_rows_keep_events_single(spark):
+    feed = sample_intel(spark)
+    more = feed.unionByName(feed.withColumn("reputation_score", F.lit(3))).unionByName(feed.withColumn("ip", F.lit(None).cast("string")))
+    e = enrich(events_df(spark, [ev(0, 0, ip="185.220.101.1"), ev(1, 1, ip=None)]), more).collect()
+    assert sorted((r.event_seq, r.intel.reputation_score) for r in e) == [(0, 95), (1, 0)]
+
+
+def test_loads_with_equal_numbers_give_other_ids(spark):
+    days = [rules.intel_alerts(enrich(events_df(spark, [ev(0, 86_400 * d, ip="185.220.101.1")]), sample_intel(spark))) for d in (0, 1)]
+    assert len({a.alert_id for day in days for a in day.collect()}) == 2
+
+
 def alert_rows(spark):
     rows = [
         ("a", "brute_force_ssh", "high", "1.1.1.1", "text", 5, 1),
@@ -182,8 +194,8 @@ def test_reads(spark):
     assert reads.list_alerts(a, status="resolved").count() == 0
     assert [(r.severity, r["count"]) for r in reads.alert_stats(a).collect()][0] == ("high", 2)
     none = a.filter("false")
-    assert reads.engine_stats(none, none).first().alert_rate == "0%"
-    assert reads.engine_stats(a, a.limit(2)).first().alert_rate == "40.00%"
+    assert reads.engine_stats(none, none, 4).first().alert_rate == "0%"
+    assert reads.engine_stats(a, a.limit(2), 4).first()[2:] == (4, "40.00%")
     assert reads.rule_catalogue(spark).count() == 5
     d = reads.dashboard(a, a, none).first()
     assert (d.events, d.alerts, d.high_risk_alerts, d.mitigations) == (5, 5, 3, 0)
