@@ -170,21 +170,51 @@ def normalize_json(rows: DataFrame) -> DataFrame:
     )
 
 
-def explode_bulk(envelopes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """``(lines, docs)`` of bulk envelopes ``batch_seq, value, ingested_at`` of the form ``{logs: [..], events: [..]}``.
+#: Room for the entries of one batch in ``event_seq``, in bits; the rest is the batch's number.
+_ENTRY_BITS = 24
+
+
+def explode_bulk(envelopes: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """``(lines, docs, rejects)`` of bulk envelopes ``batch_seq, value, ingested_at`` of the form ``{logs: [..], events: [..]}``.
+
+    Text that is no JSON object (or repeats a key) is ``bad_json``; ``logs`` or ``events`` that are no array are
+    ``bad_field``; such an envelope gives its own row as reject and nothing else.
 
     ``event_seq`` keeps the order of submission: a batch's lines come before its events. It leaves room for 2**24 entries
-    in a batch and 2**39 batches.
+    in a batch and 2**39 batches; what doesn't fit is an error, as its numbers would repeat.
     """
-    parsed = envelopes.withColumn("_e", F.from_json("value", "logs array<string>, events array<string>"))
-    n_logs = F.coalesce(F.size("_e.logs"), F.lit(0))
-    n_logs = F.when(n_logs < 0, 0).otherwise(n_logs)
-    base = F.shiftleft(F.col("batch_seq"), 24)
-    kept = parsed.withColumns({"_base": base, "_n": n_logs})
+    judged = envelopes.selectExpr(
+        "*",
+        "try_parse_json(value) AS _v",
+    ).selectExpr(
+        "*",
+        "schema_of_variant(_v) AS _type",
+        *[f"schema_of_variant(try_variant_get(_v, '$.{name}', 'variant')) AS _{name}" for name in ("logs", "events")],
+    ).selectExpr(
+        "batch_seq",
+        "value",
+        "ingested_at",
+        """CASE WHEN _type IS NULL OR NOT startswith(_type, 'OBJECT') THEN 'bad_json'
+            WHEN NOT startswith(_logs, 'ARRAY') OR NOT startswith(_events, 'ARRAY') THEN 'bad_field' END AS reject_reason""",
+    )
+    parsed = judged.selectExpr(
+        "*",
+        "if(reject_reason IS NULL, from_json(value, 'logs array<string>, events array<string>'), null) AS _e",
+    ).selectExpr("*", "coalesce(array_size(_e.logs), 0) AS _n")
+    entries = "_n + coalesce(array_size(_e.events), 0)"
+    kept = parsed.selectExpr(
+        "*",
+        f"""CASE WHEN batch_seq NOT BETWEEN 0 AND {2 ** (63 - _ENTRY_BITS) - 1} OR {entries} > {2**_ENTRY_BITS}
+            THEN raise_error('no room for the numbers of batch ' || batch_seq)
+            ELSE shiftleft(batch_seq, {_ENTRY_BITS}) END AS _base""",
+    )
     lines = kept.select("_base", "ingested_at", F.posexplode("_e.logs").alias("_p", "line")).select(
         (F.col("_base") + F.col("_p")).alias("event_seq"), "line", "ingested_at"
     )
     docs = kept.select("_base", "_n", "ingested_at", F.posexplode("_e.events").alias("_p", "value")).select(
         (F.col("_base") + F.col("_n") + F.col("_p")).alias("event_seq"), "value", "ingested_at"
     )
-    return lines, docs
+    rejects = kept.where("reject_reason IS NOT NULL").selectExpr(
+        "_base AS event_seq", "value AS raw", "reject_reason", "ingested_at"
+    )
+    return lines, docs, rejects

@@ -58,11 +58,12 @@ def read_json_events(spark: SparkSession, path: str, year: int | None = None) ->
 
 
 def normalize_bulk(envelopes: DataFrame, year: int | None = None) -> tuple[DataFrame, DataFrame]:
-    """``(events, rejects)`` of bulk envelopes; their documents are never rerouted to the line parser."""
-    lines, docs = explode_bulk(envelopes)
+    """``(events, rejects)`` of bulk envelopes; their documents are never rerouted to the line parser. A broken envelope is
+    a reject too."""
+    lines, docs, bad_envelopes = explode_bulk(envelopes)
     from_lines, bad_lines = normalize_lines(lines, year)
     from_docs, bad_docs = normalize_docs(docs, year, reroute_raw=False)
-    return from_lines.unionByName(from_docs), bad_lines.unionByName(bad_docs)
+    return from_lines.unionByName(from_docs), bad_lines.unionByName(bad_docs).unionByName(bad_envelopes)
 
 
 def stream_events(

@@ -136,3 +136,21 @@ def test_raw_document_and_bulk_order(spark):
     assert sorted((r.event_seq, r.action) for r in events.collect()) == [
         (base, "FAILED_LOGIN"), (base + 2, "CONNECTION"), (base + 3, "OTHER")]
     assert [(r.event_seq, r.reject_reason) for r in rejects.collect()] == [(base + 1, "no_header")]
+
+
+def test_broken_envelopes_are_rejects(spark):
+    texts = ["not json", '{"logs": ["a"', "[1]", '{"logs": "x"}', '{"events": {}}', '{"events": null}', None, "{}", '{"logs": []}']
+    rows = [(i, x) for i, x in enumerate(texts)]
+    bulk = spark.createDataFrame(rows, "batch_seq bigint, value string").withColumn("ingested_at", F.timestamp_seconds(F.lit(0)))
+    events, rejects = readers.normalize_bulk(bulk)
+    assert events.count() == 0
+    assert {r.event_seq >> 24: r.reject_reason for r in rejects.collect()} == (
+        dict.fromkeys((0, 1, 2, 6), "bad_json") | dict.fromkeys((3, 4, 5), "bad_field"))
+
+
+def test_bulk_numbers_never_repeat_silently(spark):
+    for number in (1 << 39, -1):
+        bulk = spark.createDataFrame([(number, '{"logs": ["a"]}')], "batch_seq bigint, value string").withColumn(
+            "ingested_at", F.timestamp_seconds(F.lit(0)))
+        with pytest.raises(Exception, match="no room"):
+            readers.normalize_bulk(bulk)[1].collect()
