@@ -15,6 +15,7 @@ their own. An empty table gives no row.
 
 from __future__ import annotations
 
+import os
 from bisect import bisect_left, insort
 from collections import defaultdict
 from collections.abc import Iterator
@@ -25,6 +26,8 @@ import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
+from sparkwarden.llm.common import give_back
+
 WINDOWS = (256, 512, 1024, 2048)
 END_ID = 1
 #: Tokens that a task holds before it packs them.
@@ -53,6 +56,8 @@ class Encoder:
     """
 
     def __init__(self, path: str):
+        # a task has one core; the library's own threads would each keep caches and memory of their own
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -216,6 +221,7 @@ def pack(
         raise ValueError("windows must be rising powers of two")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
         base = TaskContext.get().partitionId() << 36
         encoder = Encoder(tokenizer_file)
         tiers, texts = _Tiers(windows), {}
