@@ -7,8 +7,22 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkwarden.llm import bpe_pieces, chat, html_extract, line_dedup, metric_join, packing, quality, simhash, toxicity, vp_search
-from sparkwarden.llm.common import held_out, table
+from sparkwarden.llm import (
+    bpe_pieces,
+    chat,
+    html_extract,
+    kd_search,
+    line_dedup,
+    metric_join,
+    packing,
+    prefix_trie,
+    quality,
+    simhash,
+    toxicity,
+    turn_repair,
+    vp_search,
+)
+from sparkwarden.llm.common import cut, held_out, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -116,3 +130,32 @@ def op9_metric_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return done.select("doc_id", "text", "n_lines", "n_removed", "removed")
+
+
+@query
+def op11_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = cut(turn_repair.damage(table(spark, sf_dir, "conversations")))
+    found = cut(turn_repair.repairs(rows, left_out="dropped"))
+    digests = turn_repair.digests(turn_repair.repaired(rows, found, left_out="dropped"))
+    told = found.join(digests.withColumnRenamed("conv_id", "of"), F.col("conv_id").eqNullSafe(F.col("of")), "left").drop("of")
+    return told.withColumn("repaired_sha256", F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)))
+
+
+ORACLES["op11_turn_repair"] = turn_repair.sql()
+
+
+@query
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(prefix_trie.spliced(table(spark, sf_dir, "conversations")))
+
+
+ORACLES["op12_prefix_trie"] = prefix_trie.sql(turn_repair.CRC_TABLE, turn_repair.CRC)
+
+
+@query
+def op13_kd_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return kd_search.search(vectors, vectors.where("vec_id % 100 = 0"), k=10, scale=1024.0)
+
+
+ORACLES["op13_kd_search"] = kd_search.SQL
