@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkwarden.operators.joins import BROADCAST_ROWS, lookup_join
+from sparkwarden.plans.materialize import materialize
 from sparkwarden.schema import INTEL_TYPE
 
 # The sample reputation feed and the provider name written to enriched events.
@@ -28,7 +29,8 @@ def enrich(events: DataFrame, intel: DataFrame, max_rows: int = BROADCAST_ROWS)
     that no event is doubled. See :func:`lookup_join` for how the feed's size picks the join.
     """
     worst = intel.where("ip IS NOT NULL").groupBy("ip").agg(F.max(F.struct("reputation_score", "tags")).alias("row"))
-    dim = worst.selectExpr("ip AS source_ip", "row.reputation_score", "row.tags")
+    # stored once: the feed is counted and joined, and the events' side needs no exchange for it
+    dim = materialize(worst.selectExpr("ip AS source_ip", "row.reputation_score", "row.tags"))
     joined = lookup_join(events, dim, "source_ip", max_rows=max_rows)
     return joined.selectExpr(
         *events.columns,

@@ -170,6 +170,36 @@ def normalize_json(rows: DataFrame) -> DataFrame:
     )
 
 
+def _parsed_envelopes(envelopes: DataFrame) -> DataFrame:
+    """Envelopes ``value`` with ``reject_reason``, or else their arrays ``_e.logs`` and ``_e.events``; other columns stay."""
+    typed = envelopes.selectExpr("*", "try_parse_json(value) AS _v").selectExpr(
+        "*",
+        "schema_of_variant(_v) AS _type",
+        *[f"schema_of_variant(try_variant_get(_v, '$.{name}', 'variant')) AS _{name}" for name in ("logs", "events")],
+    )
+    return typed.selectExpr(
+        *envelopes.columns,
+        """CASE WHEN _type IS NULL OR NOT startswith(_type, 'OBJECT') THEN 'bad_json'
+            WHEN NOT startswith(_logs, 'ARRAY') OR NOT startswith(_events, 'ARRAY') THEN 'bad_field' END AS reject_reason""",
+    ).selectExpr("*", "if(reject_reason IS NULL, from_json(value, 'logs array<string>, events array<string>'), null) AS _e")
+
+
+def bulk_entries(envelopes: DataFrame) -> DataFrame:
+    """The entries of bulk envelopes ``value`` in order, lines before documents: ``kind`` (``line``, ``entry``, ``reject``), ``value``
+    and ``reject_reason`` beside the other columns. A broken envelope is one ``reject``."""
+    passed = [c for c in envelopes.columns if c != "value"]
+    row = "struct('{kind}' AS kind, {value} AS value, {reason} AS reject_reason)"
+    none = "CAST(null AS string)"
+    one = row.format(kind="reject", value="value", reason="reject_reason")
+    parts = [
+        f"transform(coalesce(_e.{name}, array()), x -> {row.format(kind=kind, value='x', reason=none)})"
+        for name, kind in (("logs", "line"), ("events", "entry"))
+    ]
+    return _parsed_envelopes(envelopes).selectExpr(
+        *passed, f"inline(if(reject_reason IS NULL, concat({', '.join(parts)}), array({one})))"
+    )
+
+
 #: Room for the entries of one batch in ``event_seq``, in bits; the rest is the batch's number.
 _ENTRY_BITS = 24
 
@@ -183,24 +213,7 @@ def explode_bulk(envelopes: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]
     ``event_seq`` keeps the order of submission: a batch's lines come before its events. It leaves room for 2**24 entries
     in a batch and 2**39 batches; what doesn't fit is an error, as its numbers would repeat.
     """
-    judged = envelopes.selectExpr(
-        "*",
-        "try_parse_json(value) AS _v",
-    ).selectExpr(
-        "*",
-        "schema_of_variant(_v) AS _type",
-        *[f"schema_of_variant(try_variant_get(_v, '$.{name}', 'variant')) AS _{name}" for name in ("logs", "events")],
-    ).selectExpr(
-        "batch_seq",
-        "value",
-        "ingested_at",
-        """CASE WHEN _type IS NULL OR NOT startswith(_type, 'OBJECT') THEN 'bad_json'
-            WHEN NOT startswith(_logs, 'ARRAY') OR NOT startswith(_events, 'ARRAY') THEN 'bad_field' END AS reject_reason""",
-    )
-    parsed = judged.selectExpr(
-        "*",
-        "if(reject_reason IS NULL, from_json(value, 'logs array<string>, events array<string>'), null) AS _e",
-    ).selectExpr("*", "coalesce(array_size(_e.logs), 0) AS _n")
+    parsed = _parsed_envelopes(envelopes).selectExpr("*", "coalesce(array_size(_e.logs), 0) AS _n")
     entries = "_n + coalesce(array_size(_e.events), 0)"
     kept = parsed.selectExpr(
         "*",

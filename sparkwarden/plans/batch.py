@@ -59,28 +59,35 @@ def block_points(
     model: DataFrame | None = None,
     routes=ROUTES_INTENDED,
     prior: DataFrame | None = None,
+    before: dict[str, DataFrame] | None = None,
+    since_us: int | None = None,
 ) -> DataFrame:
     """First block of each source over unfiltered events, ``source_ip, block_ts, block_seq``.
 
     A source's first block depends on its own earlier events only, and the first firing of a windowed rule is its
-    first candidate, so no re-arming is needed here. ``prior`` holds blocks from before (same columns).
+    first candidate, so no re-arming is needed here. ``prior`` holds blocks from before (same columns); ``before`` the
+    earlier events that still stand in a rule's window, by rule. These, all before ``since_us``, block nothing themselves.
     """
     blocking = {rule for rule, playbook in routes if playbook == BLOCK_PLAYBOOK}
     points = [] if prior is None else [prior.select("source_ip", "block_ts", "block_seq")]
 
     def add(df, key, ts, seq):
-        points.append(df.select(key.alias("source_ip"), ts.alias("block_ts"), seq.alias("block_seq")))
+        new = df if since_us is None else df.where(ts >= since_us)
+        points.append(new.select(key.alias("source_ip"), ts.alias("block_ts"), seq.alias("block_seq")))
+
+    def seen(rule):
+        return events if before is None or rule not in before else events.unionByName(before[rule])
 
     by_event = (F.col("source_ip"), F.unix_micros("event_ts"), F.col("event_seq"))
     by_key = (F.col("key"), F.col("ts_us"), F.col("event_seq"))
     if INTEL_RULE in blocking:
         add(rules.intel_hits(events, cfg), *by_event)
     if BRUTE_RULE in blocking:
-        add(brute_force_candidates(events, cfg), *by_key)
+        add(brute_force_candidates(seen(BRUTE_RULE), cfg), *by_key)
     if SCAN_RULE in blocking:
-        add(port_scan_candidates(events, cfg), *by_key)
+        add(port_scan_candidates(seen(SCAN_RULE), cfg), *by_key)
     if ANOMALY_RULE in blocking and model is not None:
-        add(anomaly_hits(events, model, cfg, ("source_ip", "event_ts")), *by_event)
+        add(anomaly_hits(seen(ANOMALY_RULE), model, cfg, ("source_ip", "event_ts")), *by_event)
     if not points:
         empty = events.select("source_ip", F.unix_micros("event_ts").alias("block_ts"), F.col("event_seq").alias("block_seq"))
         return empty.filter("false")

@@ -60,13 +60,17 @@ def write_mitigations(mitigations: DataFrame, path: str) -> None:
     append_new(keyed, path, "mitigation_id")
 
 
-def write_outbox(alerts: DataFrame, path: str, destinations, min_severity: str = "high") -> None:
-    """Append notification rows for a sender to deliver: one per alert and destination, once."""
-    rows = webhook_payload(dispatch(alerts, destinations, min_severity)).select(
+def outbox_rows(alerts: DataFrame, destinations, min_severity: str = "high") -> DataFrame:
+    """Notification rows for a sender to deliver: one per alert and destination."""
+    return webhook_payload(dispatch(alerts, destinations, min_severity)).select(
         F.sha2(F.concat_ws("|", "alert_id", "destination"), 256).alias("message_id"),
         "alert_id",
         "destination",
         "payload",
         "created_at",
     )
-    append_new(rows, path, "message_id")
+
+
+def write_outbox(alerts: DataFrame, path: str, destinations, min_severity: str = "high") -> None:
+    """Append notification rows, each once."""
+    append_new(outbox_rows(alerts, destinations, min_severity), path, "message_id")

@@ -20,7 +20,8 @@ def with_lateness(events: DataFrame, delay: str) -> DataFrame:
 
 
 def stream_enrich(events: DataFrame, intel: DataFrame) -> DataFrame:
-    """Reputation of each streamed event from a static feed, which is read anew for every micro-batch."""
+    """Reputation of each streamed event from a static feed as it is when the stream is defined. A feed that changes is joined
+    in the sink: see :func:`sparkwarden.streaming.alerts.alert_sink`."""
     return enrich(events, intel)
 
 
