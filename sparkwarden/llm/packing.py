@@ -15,6 +15,8 @@ their own. An empty table gives no row.
 
 from __future__ import annotations
 
+import functools
+import json
 import os
 from bisect import bisect_left, insort
 from collections import defaultdict
@@ -32,27 +34,50 @@ WINDOWS = (256, 512, 1024, 2048)
 END_ID = 1
 #: Tokens that a task holds before it packs them.
 BUFFER_TOKENS = 1 << 21
-#: Tokenized words that a task remembers.
-CACHE_WORDS = 250_000
-#: Length of the words that stay when there are too many; short ones come again soonest.
-SHORT = 9
-#: Characters whose words are looked up together.
-GROUP_CHARS = 1 << 19
 SCHEMA = (
     "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long, "
     "window_tokens long, step_group long"
 )
-#: White space beside white space: there a text can't be tokenized word by word.
-_SPACE = r"[\s\v\p{Z}\x{85}\x{1c}-\x{1f}]"
-_LINE_ID = 198  # the line break, which no merge joins with a word
+# How a byte-level tokenizer file splits a text before it merges, and white space beside white space.
+_SPLIT = r"'(?:s|t|re|ve|m|ll|d)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+_WIDE = r"[\s\v\p{Z}\x{85}\x{1c}-\x{1f}]{2}"
+#: The same split for texts where no white space stands beside another: it never looks ahead.
+_NARROW_SPLIT = _SPLIT.replace(r"\s+(?!\S)|\s+", r"\s")
+#: Characters of a run without white space from which a text is left to the file's own library.
+LONG_RUN = 1_000
+
+
+def _byte_of() -> dict[str, int]:
+    """The byte that each character of a byte-level vocabulary stands for: printable ones themselves, the others from 256 on."""
+    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in printable]
+    return {chr(b): b for b in printable} | {chr(256 + i): b for i, b in enumerate(others)}
+
+
+def merge_ranks(path: str) -> dict[bytes, int] | None:
+    """The vocabulary of a byte-level BPE file as bytes with their ids, if ids are in the order of the merges; else none."""
+    with open(path, encoding="utf-8") as f:
+        file = json.load(f)
+    model, split = file["model"], file.get("pre_tokenizer") or {}
+    known = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}
+    if model["type"] != "BPE" or file.get("normalizer") or {k: split.get(k) for k in known} != known:
+        return None
+    if model.get("dropout") or model.get("ignore_merges") or model.get("continuing_subword_prefix") or model.get("end_of_word_suffix"):
+        return None
+    vocab, byte_of = model["vocab"], _byte_of()
+    made = ["".join(m if isinstance(m, list) else m.split(" ")) for m in model["merges"]]
+    first = len(vocab) - len(made)
+    if first != 256 or any(vocab.get(x) != first + i for i, x in enumerate(made)):
+        return None
+    return {bytes(byte_of[c] for c in x): i for x, i in vocab.items()}
 
 
 class Encoder:
     """Ids of whole texts, as little-endian 32-bit bytes, from a byte-level BPE file of the ``tokenizers`` library.
 
-    Its pre-tokenizer always starts a new piece at a single space, and around a single line break, so that a text is the
-    concatenation of such words. Each distinct word is encoded once and remembered. Texts with wider white space, and
-    words that hold other white space or the special token, go through the library as they are.
+    If the file's ids are in the order of its merges, they are also ranks, and ``tiktoken`` merges by them several times as
+    fast. Texts that hold strings of added tokens or a very long run without white space, and other files, go through the
+    file's own library.
     """
 
     def __init__(self, path: str):
@@ -61,56 +86,34 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.words: dict[str, bytes] = {}
-
-    def _plain(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def _learn(self, missing: set[str]) -> None:
-        """``missing`` are words with their leading space, or such as start a line."""
-        simple = []
-        for w in missing:
-            bare = w.removeprefix(" ")
-            if bare.split() == [bare] and "<|" not in w:
-                simple.append(w)
-            else:
-                self.words[w] = self._plain(w)
-        # some words in a call, told apart by line breaks
-        groups = [simple[i : i + 64] for i in range(0, len(simple), 64)]
-        done = self.tokenizer.encode_batch_fast(["\n".join(g) for g in groups], add_special_tokens=False)
-        for group, encoding in zip(groups, done, strict=True):
-            ids = np.array(encoding.ids, "<u4")
-            cuts = np.flatnonzero(ids == _LINE_ID)
-            if len(cuts) != len(group) - 1:
-                self.words |= {w: self._plain(w) for w in group}
-                continue
-            raw, ends = ids.tobytes(), [*(4 * cuts).tolist(), 4 * len(ids)]
-            self.words |= {w: raw[i:j] for w, i, j in zip(group, [0, *(4 * cuts + 4).tolist()], ends, strict=True)}
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.by_rank = None
+        if ranks := merge_ranks(path):
+            from tiktoken import Encoding
+
+            self.by_rank = [Encoding("ranks", pat_str=p, mergeable_ranks=ranks, special_tokens={}) for p in (_NARROW_SPLIT, _SPLIT)]
+
+    def _plain(self, text: str) -> list[int]:
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
 
     def encode(self, texts: pa.Array) -> Iterator[bytes]:
-        wide = pc.match_substring_regex(texts, _SPACE + _SPACE).to_pylist()
-        group: list[str | list[str]] = []
-        size = 0
-        for i, odd in enumerate(wide):
-            text = texts[i].as_py()
-            whole = odd or "<|" in text or "\0" in text
-            group.append(text if whole else text.replace("\n", "\0\n\0").replace(" ", "\0 ").split("\0"))
-            size += len(text)
-            if size > GROUP_CHARS:
-                yield from self._group(group)
-                group, size = [], 0
-        yield from self._group(group)
-
-    def _group(self, group: list[str | list[str]]) -> Iterator[bytes]:
-        """Texts that go whole, or as lists of words."""
-        if len(self.words) > CACHE_WORDS:
-            self.words = {w: raw for w, raw in self.words.items() if len(w) <= SHORT}
-            if len(self.words) > CACHE_WORDS // 2:
-                self.words.clear()
-        known = self.words
-        self._learn({w for x in group if isinstance(x, list) for w in x if w not in known})
-        for x in group:
-            yield self._plain(x) if isinstance(x, str) else b"".join(map(known.__getitem__, x))
+        if self.by_rank is None:
+            ways = [self._plain] * len(texts)
+        else:
+            narrow, wide = (e.encode_ordinary for e in self.by_rank)
+            odd = pc.match_substring_regex(texts, rf"\S{{{LONG_RUN}}}")
+            for t in self.added:
+                odd = pc.or_(odd, pc.match_substring(texts, t))
+            has_wide = pc.match_substring_regex(texts, _WIDE)
+            ways = [self._plain if o else wide if w else narrow for o, w in zip(odd.to_pylist(), has_wide.to_pylist(), strict=True)]
+        for way, text in zip(ways, texts, strict=True):
+            yield np.array(way(text.as_py()), "<u4").tobytes()
+
+
+@functools.lru_cache(2)
+def encoder(path: str) -> Encoder:
+    """One per worker, which lives on from task to task."""
+    return Encoder(path)
 
 
 class _Tiers:
@@ -223,7 +226,7 @@ def pack(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         give_back()
         base = TaskContext.get().partitionId() << 36
-        encoder = Encoder(tokenizer_file)
+        words = encoder(tokenizer_file)
         tiers, texts = _Tiers(windows), {}
         end = np.array([end_id], "<u4").tobytes()
         made = 0
@@ -253,7 +256,7 @@ def pack(
         names = [x.split()[0] for x in SCHEMA.split(", ")]
         seen = 0
         for batch in batches:
-            ids_of = encoder.encode(pc.fill_null(batch.column("text"), ""))
+            ids_of = words.encode(pc.fill_null(batch.column("text"), ""))
             for doc_id, ids in zip(batch.column("doc_id").to_pylist(), ids_of, strict=True):
                 ids += end
                 start, left = 0, len(ids) // 4

@@ -88,6 +88,14 @@ def test_words_equal_the_library():
     assert [ids(x) for x in encoder.encode(pa.array(texts))] == want
 
 
+def test_files_whose_ids_are_no_ranks_go_through_their_library(tmp_path):
+    assert len(packing.merge_ranks(WORD_FILE)) == 50_256
+    other = packing.Encoder(queries.tokenizer_file("word_bpe_49k.json"))
+    assert other.by_rank is None
+    want = other.tokenizer.encode("Some words, here", add_special_tokens=False).ids
+    assert [ids(x) for x in other.encode(pa.array(["Some words, here"]))] == [want]
+
+
 def check_packing(rows, docs, windows):
     """Every id in one piece, sequences gapless and of a power of two."""
     encoder = packing.Encoder(WORD_FILE)
