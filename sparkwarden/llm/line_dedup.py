@@ -5,11 +5,14 @@ characters, or the whole line if it is shorter. Two different lines link if the
 least ``similarity``. Lines that are equal after that folding are one line from the start.
 
 1. One pass makes ``(row, line, hash, bands)``; bands stand only where a line appears first in a batch.
-2. Band keys are sorted; lines that share a key are candidates. A key with few lines gives its pairs. A key with many
-   gives blocks of lines, and each pair of blocks becomes a group of its own, so that no group exceeds two blocks.
-3. Candidates' texts are read again, and Jaccard similarity is computed exactly. Within a group, lines that are already
-   connected need no further check, which changes no component.
-4. Components of the links keep the line that stands first by ``(doc_id, row, line)``; all others are removed.
+2. Band keys are sorted; lines that share a key are candidates. Each line is first paired with the first line of its key, so
+   that there are fewer pairs than band keys, however many lines a key has.
+3. Candidates' texts are read again, and Jaccard similarity is computed exactly, from arrays of shingle hashes. The links
+   give components; a near-copy group usually is one already.
+4. What is left are pairs inside a key whose lines are in different components. Keys with few lines give these pairs. In a key
+   with many, lines lie in blocks ordered by component, bounded in lines and characters; blocks of one and the same component
+   need no comparison, and each other pair of blocks is a group of its own.
+5. Components of all links keep the line that stands first by ``(doc_id, row, line)``; all others are removed.
 
 Only hashes are shuffled for all lines; texts only for candidates. To find them again, the second pass uses a bit map of
 fixed size; when it fills up, more lines are joined, with the same result.
@@ -27,23 +30,24 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkwarden.llm.common import cut, free_name
+from sparkwarden.llm.common import cut, free_name, lookup
 from sparkwarden.llm.components import components
 from sparkwarden.llm.textfeat import mix
 
 SHINGLE = 6
 SIMILARITY = 0.8
 BANDS, ROWS = 12, 5  # at similarity 0.8 a pair shares a band with probability 0.99
-#: Lines of one key that give pairs; more give blocks of ``BLOCK`` lines.
+#: Lines of one key that give pairs; more give blocks of at most so many lines and, beyond the first line, characters.
 FEW = 32
-BLOCK = 256
+BLOCK, BLOCK_CHARS = 256, 1 << 18
 MAP_BITS = 1 << 26
-#: Lines up to this length keep their shingles while a batch of pairs is checked.
-KEPT_CHARS = 2_000
 SLICE_CHARS = 1 << 18
+#: Characters of pairs that are checked together, and shingles that are compared together.
+CHECK_CHARS, CHECK_SHINGLES = 1 << 20, 1 << 20
 _RNG = np.random.default_rng(11)
 _TERMS = _RNG.integers(1, 2**63, 64, dtype=np.uint64) | np.uint64(1)
 _TIMES = (_RNG.integers(1, 2**31, 1024, dtype=np.uint32) << np.uint32(1)) | np.uint32(1)
@@ -68,6 +72,20 @@ def jaccard(a: set[str], b: set[str]) -> float:
     return both / (len(a) + len(b) - both)
 
 
+def shingle_hashes(lines: list[str], size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of all shingles of folded, non-empty lines, one line after the other, and their number per line."""
+    padded = [x.ljust(size, "\0") for x in lines]
+    codes = np.frombuffer("".join(padded).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+    lengths = np.fromiter(map(len, padded), np.int64, len(padded))
+    counts = lengths - size + 1
+    first = np.cumsum(counts) - counts
+    at = np.arange(counts.sum()) + np.repeat(np.cumsum(lengths) - lengths - first, counts)
+    h = np.zeros(len(at), np.uint64)
+    for j in range(size):
+        h += codes[at + j] * _TERMS[j % 64]
+    return mix(h), counts
+
+
 def band_keys(lines: list[str], size: int, bands: int, rows: int) -> np.ndarray:
     """``(len(lines), bands)`` keys of the MinHash signatures of folded, non-empty lines."""
     out = np.empty((len(lines), bands), np.int64)
@@ -75,17 +93,11 @@ def band_keys(lines: list[str], size: int, bands: int, rows: int) -> np.ndarray:
     while k < len(lines):
         part, chars = [], 0
         while k + len(part) < len(lines) and (not part or chars < SLICE_CHARS):
-            part.append(lines[k + len(part)].ljust(size, "\0"))
+            part.append(lines[k + len(part)])
             chars += len(part[-1])
-        codes = np.frombuffer("".join(part).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
-        lengths = np.fromiter(map(len, part), np.int64, len(part))
-        counts = lengths - size + 1
+        h, counts = shingle_hashes(part, size)
         first = np.cumsum(counts) - counts
-        at = np.arange(counts.sum()) + np.repeat(np.cumsum(lengths) - lengths - first, counts)
-        h = np.zeros(len(at), np.uint64)
-        for j in range(size):
-            h += codes[at + j] * _TERMS[j % 64]
-        h32 = (mix(h) >> np.uint64(32)).astype(np.uint32)
+        h32 = (h >> np.uint64(32)).astype(np.uint32)
         for b in range(bands):
             key = np.full(len(part), b + 1, np.uint64)
             for r in range(b * rows, b * rows + rows):
@@ -96,6 +108,39 @@ def band_keys(lines: list[str], size: int, bands: int, rows: int) -> np.ndarray:
     return out
 
 
+class ShingleSets:
+    """The distinct shingles of some lines, as sorted small numbers."""
+
+    def __init__(self, lines: list[str], size: int):
+        h, counts = shingle_hashes(lines, size)
+        known, number = np.unique(h, return_inverse=True)
+        self.base = len(known) + 1
+        kept = np.unique(np.repeat(np.arange(len(lines)), counts) * self.base + number)
+        self.numbers = kept % self.base
+        self.counts = np.bincount(kept // self.base, minlength=len(lines))
+        self.starts = np.cumsum(self.counts) - self.counts
+
+    def alike(self, a: np.ndarray, b: np.ndarray, similarity: float) -> np.ndarray:
+        """Which pairs of lines have a Jaccard similarity of at least ``similarity``."""
+        out = np.zeros(len(a), bool)
+        few, many = np.minimum(self.counts[a], self.counts[b]), np.maximum(self.counts[a], self.counts[b])
+        near = np.flatnonzero(few >= similarity * many)  # others differ too much in size alone
+        ends = np.cumsum((few + many)[near])
+        k = 0
+        while k < len(near):
+            n = max(k + 1, int(np.searchsorted(ends, (ends[k - 1] if k else 0) + CHECK_SHINGLES, "right")))
+            x, y = a[near[k:n]], b[near[k:n]]
+            both = np.concatenate([x, y])
+            sizes = self.counts[both]
+            at = np.arange(sizes.sum()) + np.repeat(self.starts[both] - (np.cumsum(sizes) - sizes), sizes)
+            pair = np.repeat(np.tile(np.arange(n - k), 2), sizes)
+            seen = np.sort(pair * self.base + self.numbers[at])
+            common = np.bincount(seen[1:][seen[1:] == seen[:-1]] // self.base, minlength=n - k)
+            out[near[k:n]] = common / (self.counts[x] + self.counts[y] - common) >= similarity
+            k = n
+        return out
+
+
 def _lines(size: int, bands: int, rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -137,71 +182,38 @@ def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(h)], names=["key", "h"])
 
 
-def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by key and hash: pairs ``(a, b)`` of small keys, members ``(key, block, a)`` of large ones."""
-    key, h = np.empty(0, np.int64), np.empty(0, np.int64)
-    large: list = [None, 0, None]  # key, members so far, last member
-
-    def result(keys, blocks, a, b) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays(
-            [pa.array(keys, pa.int64()), pa.array(blocks, pa.int32()), pa.array(a, pa.int64()), pa.array(b, pa.int64())],
-            names=["key", "block", "a", "b"],
-        )
-
-    def members(k: int, rows: np.ndarray) -> Iterator[pa.RecordBatch]:
-        if large[0] != k:
-            large[:] = [k, 0, None]
-        rows = rows[rows != large[2]] if large[2] is not None else rows
-        if len(rows):
-            index = large[1] + np.arange(len(rows))
-            large[1:] = [large[1] + len(rows), rows[-1]]
-            yield result(np.full(len(rows), k), index // BLOCK, rows, pa.nulls(len(rows), pa.int64()))
-
-    def flush(k: np.ndarray, x: np.ndarray) -> Iterator[pa.RecordBatch]:
-        """Whole runs."""
-        if not len(k):
-            return
-        fresh = np.append(True, (k[1:] != k[:-1]) | (x[1:] != x[:-1]))
-        k, x = k[fresh], x[fresh]
-        starts = np.flatnonzero(np.append(True, k[1:] != k[:-1]))
-        sizes = np.diff(np.append(starts, len(k)))
-        for s, n in zip(starts[sizes > FEW], sizes[sizes > FEW], strict=True):
-            yield from members(int(k[s]), x[s : s + n])
-        few = np.repeat((sizes > 1) & (sizes <= FEW), sizes)
-        k, x = k[few], x[few]
-        a, b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-        for d in range(1, FEW):
-            same = k[d:] == k[:-d]
-            if not same.any():
-                break
-            a.append(x[:-d][same])
-            b.append(x[d:][same])
-        a, b = np.concatenate(a), np.concatenate(b)
-        if len(a):
-            yield result(pa.nulls(len(a), pa.int64()), pa.nulls(len(a), pa.int32()), a, b)
-
+def _with_first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows sorted by key and hash: ``(key, a, b)``, each further line of a key with the first one."""
+    key, first, last = None, 0, 0
     for batch in batches:
-        key = np.concatenate([key, batch.column("key").to_numpy()])
-        h = np.concatenate([h, batch.column("h").to_numpy()])
-        if not len(key):
+        k, h = batch.column("key").to_numpy(), batch.column("h").to_numpy()
+        if not len(k):
             continue
-        tail = int(np.searchsorted(key, key[-1]))  # sorted: the last run may go on
-        done = key[:tail] == large[0] if large[0] is not None else np.zeros(tail, bool)
-        if done.any():
-            yield from members(large[0], h[:tail][done])
-        yield from flush(key[:tail][~done], h[:tail][~done])
-        key, h = key[tail:], h[tail:]
-        if len(key) > 4 * FEW or large[0] == key[0]:
-            distinct = h[np.append(True, h[1:] != h[:-1])]
-            if len(distinct) > FEW or large[0] == key[0]:
-                yield from members(int(key[0]), distinct)
-                key, h = key[:0], h[:0]
-            else:
-                key, h = key[: len(distinct)], distinct
-    if len(key) and large[0] == key[0]:
-        yield from members(int(key[0]), h)
-    else:
-        yield from flush(key, h)
+        starts = np.append(True, k[1:] != k[:-1])
+        starts[0] = key is None or k[0] != key
+        run = np.cumsum(starts)  # 0: the run of the batch before
+        firsts = np.append(first, h[starts])[run]
+        before = np.append(last, h[:-1])
+        more = ~starts & (h != before) & (h != firsts)
+        yield pa.RecordBatch.from_arrays([pa.array(k[more]), pa.array(firsts[more]), pa.array(h[more])], names=["key", "a", "b"])
+        key, first, last = k[-1], firsts[-1], h[-1]
+
+
+def _in_blocks(most: int, most_chars: int):
+    """A number for the block of each row, of rows sorted by key and component with the lines' ``size``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, key, rows, chars = TaskContext.get().partitionId() << 40, None, 0, 0
+        for batch in batches:
+            out = []
+            for k, size in zip(batch.column("key").to_pylist(), batch.column("size").to_pylist(), strict=True):
+                if k != key or rows == most or (rows and chars + size > most_chars):
+                    number, key, rows, chars = number + 1, k, 0, 0
+                rows, chars = rows + 1, chars + size
+                out.append(number)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.int64())], names=[*batch.schema.names, "block"])
+
+    return run
 
 
 def _bit(h: np.ndarray) -> np.ndarray:
@@ -241,89 +253,109 @@ def _texts(docs: DataFrame, hashes: DataFrame) -> DataFrame:
 
 
 def _check_pairs(size: int, similarity: float):
-    """Pairs come sorted by ``b``, so that a batch often holds a line several times; its shingles are made once."""
+    """Pairs ``(a, b)`` with their texts ``x`` and ``y``; a line that a batch holds several times is taken apart once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made: dict[str, set[str]] = {}
-            good = []
-            for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True):
-                a, b = made.get(x), made.get(y)
-                if a is None:
-                    a = shingles(x, size)
-                    if len(x) < KEPT_CHARS:
-                        made[x] = a
-                if b is None:
-                    b = shingles(y, size)
-                    if len(y) < KEPT_CHARS:
-                        made[y] = b
-                few, many = sorted((len(a), len(b)))
-                good.append(few >= similarity * many and jaccard(a, b) >= similarity)
-            yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
+            x, y = batch.column("x"), batch.column("y")
+            ends = np.cumsum(pc.add(pc.utf8_length(x), pc.utf8_length(y)).to_numpy().astype(np.int64))
+            k = 0
+            while k < batch.num_rows:
+                n = max(k + 1, int(np.searchsorted(ends, (ends[k - 1] if k else 0) + CHECK_CHARS, "right")))
+                texts = pa.concat_arrays([x.slice(k, n - k), y.slice(k, n - k)]).dictionary_encode()
+                code = texts.indices.to_numpy()
+                good = ShingleSets(texts.dictionary.to_pylist(), size).alike(code[: n - k], code[n - k :], similarity)
+                yield batch.select(["a", "b"]).slice(k, n - k).filter(pa.array(good))
+                k = n
 
     return run
 
 
 def _check_blocks(size: int, similarity: float):
-    """Links of groups of at most two blocks, rows sorted by group."""
-
-    def links(hashes: list[int], texts: list[str]) -> tuple[list[int], list[int]]:
-        clusters: list[list[tuple[int, set[str]]]] = []
-        a, b = [], []
-        for h, text in zip(hashes, texts, strict=True):
-            own, mine = shingles(text, size), None
-            kept = []
-            for cluster in clusters:
-                link = next((g for g, other in cluster if jaccard(own, other) >= similarity), None)
-                if link is None:
-                    kept.append(cluster)
-                else:
-                    a.append(link)
-                    b.append(h)
-                    mine = cluster if mine is None else mine + cluster
-            clusters = [*kept, [*(mine or []), (h, own)]]
-        return a, b
+    """Links between lines of different components, in groups of at most two blocks; rows are sorted by group."""
+
+    def links(rows: list[tuple[int, int, int, str]], two: bool) -> pa.RecordBatch:
+        block, h, component = (np.array([r[i] for r in rows], np.int64) for i in range(3))
+        sets = ShingleSets([r[3] for r in rows], size)
+        found: tuple[list[int], list[int]] = [], []
+        for i in range(len(rows)):
+            # one line against those before it, if two blocks meet then of the other block
+            others = np.flatnonzero((component[:i] != component[i]) & ((block[:i] != block[i]) | (not two)))
+            hit = others[sets.alike(np.full(len(others), i), others, similarity)]
+            for j in hit[np.unique(component[hit], return_index=True)[1]]:
+                found[0].append(int(h[j]))
+                found[1].append(int(h[i]))
+                component[component == component[j]] = component[i]
+        return pa.RecordBatch.from_arrays([pa.array(f, pa.int64()) for f in found], names=["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, hashes, texts = None, [], []
-
-        def result() -> pa.RecordBatch:
-            a, b = links(hashes, texts)
-            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
-
+        group, rows = None, []
         for batch in batches:
-            for k, i, j, h, t in zip(*(batch.column(c).to_pylist() for c in ("key", "i", "j", "a", "folded")), strict=True):
-                if (k, i, j) != group:
-                    if hashes:
-                        yield result()
-                    group, hashes, texts = (k, i, j), [], []
-                hashes.append(h)
-                texts.append(t)
-        if hashes:
-            yield result()
+            columns = ("key", "i", "j", "block", "h", "component", "folded")
+            for key, i, j, *row in zip(*(batch.column(c).to_pylist() for c in columns), strict=True):
+                if (key, i, j) != group:
+                    if rows:
+                        yield links(rows, group[1] != group[2])
+                    group, rows = (key, i, j), []
+                rows.append(row)
+        if rows:
+            yield links(rows, group[1] != group[2])
 
     return run
 
 
+def _checked(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """The links among ``pairs(a, b)``, a written table."""
+    other = texts.select(F.col("h").alias("b"), F.col("folded").alias("y"))
+    both = cut(pairs.join(other, "b"))
+    both = lookup(both, texts.select(F.col("h").alias("a"), F.col("folded").alias("x")), "a")
+    return both.select("a", "b", "x", "y").mapInArrow(_check_pairs(shingle, similarity), "a long, b long")
+
+
+def _block_tasks(large: DataFrame) -> DataFrame:
+    """``(key, i, j, block, h, component, size)``: each pair of blocks of a key that may hold a new link, with the lines of both."""
+    order = ["key", "component", "h"]
+    ranged = large.repartitionByRange(*order).sortWithinPartitions(*order).select("key", "h", "component", "size")
+    placed = cut(ranged.mapInArrow(_in_blocks(BLOCK, BLOCK_CHARS), "key long, h long, component long, size int, block long"))
+    # a block's component, if it has but one; the one that most blocks of a key have is compared with the others only
+    blocks = placed.groupBy("key", "block").agg(F.min("component").alias("low"), F.max("component").alias("high"))
+    blocks = cut(blocks.withColumn("pure", F.when(F.col("low") == F.col("high"), F.col("low"))))
+    common = blocks.where("pure IS NOT NULL").groupBy("key", "pure").agg(F.count("*").alias("n"))
+    common = common.groupBy("key").agg(F.max_by("pure", F.struct("n", "pure")).alias("main"))
+    rare = blocks.join(common, "key", "left").where("main IS NULL OR NOT (pure <=> main)")
+    rare = rare.select("key", F.col("block").alias("one"), F.col("pure").alias("own"))
+    meet = rare.join(blocks.select("key", F.col("block").alias("two"), "pure"), "key")
+    # a pair of two rare blocks comes twice; a block of several components also meets itself
+    meet = meet.where("CASE WHEN one = two THEN own IS NULL ELSE NOT coalesce(own = pure, false) END")
+    meet = meet.select("key", F.least("one", "two").alias("i"), F.greatest("one", "two").alias("j")).distinct()
+    ends = meet.withColumn("block", F.explode(F.array_distinct(F.array("i", "j"))))
+    return ends.join(placed, ["key", "block"])
+
+
 def line_links(docs: DataFrame, lines: DataFrame, shingle: int, similarity: float) -> DataFrame:
     """Links ``(a, b)`` of line hashes that connect what similar lines connect."""
     postings = lines.where("bands IS NOT NULL").select("h", "bands").mapInArrow(_postings, "key long, h long")
     ordered = postings.repartition("key").sortWithinPartitions("key", "h")
-    found = cut(ordered.mapInArrow(_candidates, "key long, block int, a long, b long"))
-    pairs = found.where("b IS NOT NULL").select("a", "b").distinct()
-    members = found.where("b IS NULL").select("key", "block", "a")
-    hashes = found.select(F.explode(F.array("a", "b")).alias("h")).where("h IS NOT NULL").distinct()
-    texts = cut(_texts(docs, cut(hashes)))
-    side = texts.select(F.col("h").alias("a"), F.col("folded").alias("x"))
-    other = texts.select(F.col("h").alias("b"), F.col("folded").alias("y"))
-    checked = pairs.join(side, "a").join(other, "b").select("a", "b", "x", "y")
-    checked = checked.mapInArrow(_check_pairs(shingle, similarity), "a long, b long")
-    blocks = cut(members.groupBy("key").agg(F.max("block").alias("most")))
-    tasks = members.join(blocks, "key").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("most"))))
-    tasks = tasks.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "a")
-    tasks = tasks.join(texts.withColumnRenamed("h", "a"), "a").repartition("key", "i", "j")
-    tasks = tasks.sortWithinPartitions("key", "i", "j", "a").select("key", "i", "j", "a", "folded")
-    return checked.unionByName(tasks.mapInArrow(_check_blocks(shingle, similarity), "a long, b long"))
+    found = cut(ordered.mapInArrow(_with_first, "key long, a long, b long"))
+    pairs = cut(found.select("a", "b").distinct())
+    hashes = cut(pairs.select(F.explode(F.array("a", "b")).alias("h")).distinct())
+    texts = cut(_texts(docs, hashes))
+    links = cut(_checked(pairs, texts, shingle, similarity))
+
+    # pairs of further lines of a key that these links don't connect
+    named = found.select("key", F.col("b").alias("h")).join(components(links).withColumnRenamed("node", "h"), "h", "left")
+    named = cut(named.withColumn("component", F.coalesce("component", "h")))
+    spread = (F.min("component") != F.max("component")).alias("open")
+    rest = lookup(named, named.groupBy("key").agg(spread, F.count("*").alias("n")).where("open"), "key").where("open")
+    rest = cut(rest.join(texts.select("h", F.length("folded").alias("size")), "h").select("key", "h", "component", "size", "n"))
+    one, two = (rest.where(F.col("n") <= FEW).select("key", F.col("h").alias(c), F.col("component").alias(f"of_{c}")) for c in "ab")
+    more = one.join(two, "key").where("a < b AND of_a <> of_b").select("a", "b").distinct()
+    more = _checked(cut(more.join(pairs, ["a", "b"], "left_anti")), texts, shingle, similarity)
+    tasks = _block_tasks(rest.where(F.col("n") > FEW)).join(texts, "h")
+    tasks = tasks.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "block", "h")
+    tasks = tasks.select("key", "i", "j", "block", "h", "component", "folded")
+    blocks = tasks.mapInArrow(_check_blocks(shingle, similarity), "a long, b long")
+    return links.unionByName(more).unionByName(blocks)
 
 
 def _removed(plain: DataFrame, shingle: int, similarity: float, bands: int, rows: int) -> DataFrame:

@@ -30,15 +30,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparkwarden.llm.common import cut
+from sparkwarden.llm.common import cut, lookup
 
 BLOCK = 4
 #: Bytes of a digest, and the key of the textless root.
 WIDTH = 16
 ROOT = b"\0" * WIDTH
 HEAD = 64
-#: A key with more than this share of the rows is looked up by broadcast; there are at most as many such keys.
-HEAVY_SHARE = 256
 #: Characters of a part of a list.
 PART_CHARS = 1 << 16
 EMPTY = hashlib.sha256(b"").hexdigest()
@@ -162,19 +160,6 @@ def blocks(ordered: DataFrame, block: int = BLOCK) -> DataFrame:
     return ordered.mapInArrow(run, _BLOCKS)
 
 
-def lookup(rows: DataFrame, found: DataFrame, key: str) -> DataFrame:
-    """``rows`` left joined with ``found``, in which ``key`` is unique; a key that very many rows hold is broadcast.
-
-    ``rows`` is read several times, so it is to be a written table.
-    """
-    counts = rows.groupBy(key).agg(F.count("*").alias("rows_of_key"))
-    # by the counts themselves there are fewer such keys than HEAVY_SHARE
-    heavy = cut(counts.where(F.col("rows_of_key") * HEAVY_SHARE > max(rows.count(), HEAVY_SHARE)).select(key).where(F.col(key).isNotNull()))
-    some = F.broadcast(found.join(F.broadcast(heavy), key, "left_semi"))
-    rest = rows.join(F.broadcast(heavy), key, "left_anti").join(found, key, "left")
-    return rows.join(F.broadcast(heavy), key, "left_semi").join(some, key, "left").unionByName(rest)
-
-
 def groups(blocks: DataFrame) -> DataFrame:
     """One row per different block of a beginning: its members, those that end in it, and whether it has siblings."""
     # all other keys follow from ``to``; as keys they need no buffer

@@ -9,7 +9,7 @@ from functools import lru_cache
 import duckdb
 import pytest
 
-from sparkwarden.llm import prefix_trie, turn_repair
+from sparkwarden.llm import common, prefix_trie, turn_repair
 from sparkwarden.llm.queries import ORACLES, QUERIES
 
 SCHEMA = "conv_id long, turn long, role string, text string, audit string, digest int, out string"
@@ -178,7 +178,7 @@ def trie_rows(seed, convs=150):
 
 @pytest.mark.parametrize("block, share, part", [(4, 256, 1 << 16), (1, 4, 40), (3, 2, 5)])
 def test_trie_equals_the_plain_version(spark, monkeypatch, block, share, part):
-    monkeypatch.setattr(prefix_trie, "HEAVY_SHARE", share)
+    monkeypatch.setattr(common, "HEAVY_SHARE", share)
     monkeypatch.setattr(prefix_trie, "PART_CHARS", part)
     rows = trie_rows(block)
     df = spark.createDataFrame([(*r, "extra", 1, "x") for r in rows], SCHEMA)

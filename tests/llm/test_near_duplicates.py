@@ -6,6 +6,7 @@ import random
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from sparkwarden.llm import line_dedup, metric_join, queries, simhash
 from sparkwarden.llm.components import components
@@ -145,6 +146,33 @@ def test_line_dedup(spark, monkeypatch, few, block):
         assert r.n_chars == len(r.text)
 
 
+def test_shingle_sets_equal_python_sets(monkeypatch):
+    monkeypatch.setattr(line_dedup, "CHECK_SHINGLES", 500)
+    rng = random.Random(9)
+    lines = ["".join(rng.choice("ab ") for _ in range(rng.randrange(1, 60))) for _ in range(120)] + ["é漢🙂" * 20, "x", "abcdef", "y" * 3000]
+    lines += [x[:-1] + "z" for x in lines[:60]]
+    sets = [line_dedup.shingles(x, 6) for x in lines]
+    a, b = (np.array(x) for x in zip(*itertools.combinations(range(len(lines)), 2), strict=True))
+    got = line_dedup.ShingleSets(lines, 6).alike(a, b, 0.8)
+    assert got.tolist() == [line_dedup.jaccard(sets[i], sets[j]) >= 0.8 for i, j in zip(a.tolist(), b.tolist(), strict=True)]
+    assert got.sum() > 20
+
+
+def test_a_large_family_gives_no_blocks(spark):
+    """The rows that go on grow with the lines of a near-copy group, not with their square; very long lines do, too."""
+    rng = random.Random(13)
+    copies = family(rng, 4000)
+    long_lines = [(" ".join(str(rng.randrange(10**6)) for _ in range(17_000)))[:118_000] for _ in range(2)]
+    long_lines += [x + f" end{k}" for k, x in enumerate(long_lines)]
+    docs = [(k, x) for k, x in enumerate([*copies, *long_lines])]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(8).withColumn("row", F.xxhash64("doc_id", "text"))
+    lines = df.mapInArrow(line_dedup._lines(6, 12, 5), "doc_id long, row long, line int, h long, bands binary").persist()
+    links = line_dedup.line_links(df, lines, 6, 0.8).distinct().collect()
+    assert len(links) < 12 * len(docs)
+    assert len(set(reach([line_dedup.line_hash(x) for _, x in docs], [(r.a, r.b) for r in links]).values())) == 3
+    lines.unpersist()
+
+
 def test_line_dedup_of_nothing(spark):
     df = spark.createDataFrame([], "doc_id long, text string, removed int")
     assert line_dedup.dedup_lines(df).count() == 0
