@@ -47,7 +47,7 @@ BLOCK, BLOCK_CHARS = 256, 1 << 18
 MAP_BITS = 1 << 26
 SLICE_CHARS = 1 << 18
 #: Characters of pairs that are checked together, and shingles that are compared together.
-CHECK_CHARS, CHECK_SHINGLES = 1 << 20, 1 << 20
+CHECK_CHARS, CHECK_SHINGLES = 1 << 18, 1 << 18
 _RNG = np.random.default_rng(11)
 _TERMS = _RNG.integers(1, 2**63, 64, dtype=np.uint64) | np.uint64(1)
 _TIMES = (_RNG.integers(1, 2**31, 1024, dtype=np.uint32) << np.uint32(1)) | np.uint32(1)
@@ -80,10 +80,11 @@ def shingle_hashes(lines: list[str], size: int) -> tuple[np.ndarray, np.ndarray]
     counts = lengths - size + 1
     first = np.cumsum(counts) - counts
     at = np.arange(counts.sum()) + np.repeat(np.cumsum(lengths) - lengths - first, counts)
-    h = np.zeros(len(at), np.uint64)
+    whole = max(0, len(codes) - size + 1)
+    h = np.zeros(whole, np.uint64)
     for j in range(size):
-        h += codes[at + j] * _TERMS[j % 64]
-    return mix(h), counts
+        h += codes[j : j + whole] * _TERMS[j % 64]
+    return mix(h[at]), counts  # without those that reach into the next line
 
 
 def band_keys(lines: list[str], size: int, bands: int, rows: int) -> np.ndarray:
@@ -109,15 +110,20 @@ def band_keys(lines: list[str], size: int, bands: int, rows: int) -> np.ndarray:
 
 
 class ShingleSets:
-    """The distinct shingles of some lines, as sorted small numbers."""
+    """The distinct shingles of some lines, as sorted hashes.
+
+    A line's number stands in the upper bits of what is sorted, and that of a pair when two lines are compared, so that one
+    sort serves all; the hashes give up as many of their 64 bits, some ten to fifteen.
+    """
 
     def __init__(self, lines: list[str], size: int):
         h, counts = shingle_hashes(lines, size)
-        known, number = np.unique(h, return_inverse=True)
-        self.base = len(known) + 1
-        kept = np.unique(np.repeat(np.arange(len(lines)), counts) * self.base + number)
-        self.numbers = kept % self.base
-        self.counts = np.bincount(kept // self.base, minlength=len(lines))
+        marked = _marked(np.repeat(np.arange(len(lines)), counts), h, len(lines))
+        marked.sort()
+        marked = marked[np.append(True, marked[1:] != marked[:-1])]
+        bits = np.uint64(len(lines).bit_length())
+        self.hashes = marked << bits
+        self.counts = np.bincount((marked >> (np.uint64(64) - bits)).astype(np.int64), minlength=len(lines))
         self.starts = np.cumsum(self.counts) - self.counts
 
     def alike(self, a: np.ndarray, b: np.ndarray, similarity: float) -> np.ndarray:
@@ -133,14 +139,21 @@ class ShingleSets:
             both = np.concatenate([x, y])
             sizes = self.counts[both]
             at = np.arange(sizes.sum()) + np.repeat(self.starts[both] - (np.cumsum(sizes) - sizes), sizes)
-            pair = np.repeat(np.tile(np.arange(n - k), 2), sizes)
-            seen = np.sort(pair * self.base + self.numbers[at])
-            common = np.bincount(seen[1:][seen[1:] == seen[:-1]] // self.base, minlength=n - k)
+            seen = _marked(np.repeat(np.tile(np.arange(n - k), 2), sizes), self.hashes[at], n - k)
+            seen.sort()
+            twice = seen[1:][seen[1:] == seen[:-1]] >> np.uint64(64 - (n - k).bit_length())
+            common = np.bincount(twice.astype(np.int64), minlength=n - k)
             out[near[k:n]] = common / (self.counts[x] + self.counts[y] - common) >= similarity
             k = n
         return out
 
 
+def _marked(number: np.ndarray, h: np.ndarray, most: int) -> np.ndarray:
+    """``h`` with ``number``, which is below ``most``, in place of its lowest bits, but on top."""
+    bits = np.uint64(most.bit_length())
+    return (number.astype(np.uint64) << (np.uint64(64) - bits)) | (h >> bits)
+
+
 def _lines(size: int, bands: int, rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
