@@ -3,11 +3,14 @@
 A page becomes a sequence of text chunks and tags. A chunk scores its number of words; a tag scores below zero, by a prior
 for its kind and by what labelled pages show: tags that stand outside the content more often than inside cost more, by
 the logarithm of the ratio. Pages label themselves where they mark their content once (``article``, ``main`` or
-``itemprop=articleBody``); at most ``sample`` pages, taken by hash, are learned from. One linear scan finds the best run.
+``itemprop=articleBody``); all such pages are counted. Where a page's one mark holds a fair share of its words, tags inside
+cost nothing and words outside score nothing. One linear scan finds the best run.
 
-Elements that never are content (menus, side bars, forms, adverts, comments, ... by name, class or id) score nothing
-and are left out of the text. Such an element that is never closed counts as ordinary, so that a broken page isn't lost.
-Scripts, styles, comments and the head are no text at all.
+Elements that usually are no content (menus, side bars, forms, adverts, comments, ... by tag, class or id) score nothing and are
+left out of the text, unless they hold the page's mark or most of its words, as a form around a whole page does. A class or id
+is such a name as a whole, or if its other parts say nothing (``site-footer``, but not ``has-sidebar`` or ``related-work``). Such
+an element that is never closed counts as ordinary, so that a broken page isn't lost. Scripts, styles, comments and the head
+are no text; a head without an end ends at the first element of a body.
 
 Character references are decoded; white space is one space inside a block; blocks are joined by one space. Null and
 empty pages, and such without any word, give an empty text. Repeated rows are treated alike.
@@ -28,7 +31,12 @@ from pyspark.sql import types as T
 
 from sparkwarden.llm.common import with_columns
 
-SAMPLE = 2_000
+#: Most frequent tags and names that have weights.
+MOST_NAMES = 20_000
+#: Names that a task counts before it hands them on.
+HELD_NAMES = 200_000
+#: Share of a page's words from which an element is no side matter, and from which a page's one mark is no teaser.
+MOST, TEASER = 0.8, 0.2
 #: Words that a tag costs for each factor e by which it is more frequent outside than inside.
 STEP = 4.0
 #: Class and id names are learned from this number of occurrences on.
@@ -37,13 +45,13 @@ LEAST = 20
 CUT = "#cut"
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(script|style|noscript|template|textarea|svg|iframe|head)\b(?:\"[^\"]*+\"|'[^']*+'|[^>\"'])*+>.*?(?:</\1\s*>|\Z)"
+    r"|<(script|style|textarea|iframe)(?=[\s/>])(?:\"[^\"]*+\"|'[^']*+'|[^>\"'])*+>.*?(?:</\1\s*>|\Z)"
     r"|<[!?][^>]*+>"
     r"|<(/?)([a-z][a-z0-9:-]*+)((?:\"[^\"]*+\"|'[^']*+'|[^>\"'])*+)>"
     r"|<(/?)([a-z][a-z0-9:-]*+)([^>]*+)>",
     re.S | re.I,
 )
-_NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
+_NAMES = re.compile(r"""(?<![\w:-])(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
 _MARKED = re.compile(r"""\bitemprop\s*=\s*["']?articleBody""", re.I)
 
 # --- fixed values: HTML element names by their part in a page, and usual names of what is no content
@@ -54,18 +62,30 @@ INLINE = frozenset(
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 CONTENT = frozenset("p h1 h2 h3 h4 h5 h6 header blockquote pre ul ol li dl dd dt table tbody thead tr td th figure figcaption br hr".split())
 FRAME = frozenset("article main body html footer nav aside".split())
-NEVER = frozenset("nav aside footer form button select menu dialog".split())
+NEVER = frozenset("nav aside footer form button select menu dialog svg noscript template".split())
+HEAD = frozenset("title meta link base script style noscript template".split())
 NEVER_NAMED = frozenset(
     "ad ads adv advert advertisement advertising sponsor sponsored promo promoted share sharing social comment comments "
     "disqus respond related recommended sidebar menu nav navbar navigation breadcrumb breadcrumbs cookie cookies consent "
     "notice banner newsletter subscribe subscription popup modal footer masthead toolbar pagination pager login signup "
     "search complementary contentinfo".split()
 )
+NEUTRAL = frozenset(
+    "site page main top bottom left right box list area section wrapper container widget block inner outer bar item items links link "
+    "primary secondary global header wrap group panel container content text js".split()
+)
 MARKS = ("article", "main")
 CLOSES_ITSELF = frozenset("p li dt dd tr td th option".split())
 # --- end of fixed values
 
 
+def _is_side(name: str) -> bool:
+    """Whether a class, id or role names what is no content."""
+    parts = [x for x in re.split(r"[_-]+", name) if x]
+    side = [x in NEVER_NAMED for x in parts]
+    return any(side) and all(s or x in NEUTRAL for s, x in zip(side, parts, strict=True))
+
+
 def _prior(name: str) -> float:
     if name == "a":
         return 1.0
@@ -92,6 +112,10 @@ class Page:
                     self.items.append((stack[-1][1], CUT, (), None))
                 continue
             name, end, rest = name.lower(), m[2] or m[5], m[4] or m[7] or ""
+            if not end and name not in HEAD and name != "head" and any(n == "head" for n, _ in stack):
+                k = next(k for k, (n, _) in enumerate(stack) if n == "head")  # a body begins
+                self.closed[stack[k][1]] = True
+                del stack[k:]
             if end:
                 k = next((k for k in range(len(stack) - 1, 0, -1) if stack[k][0] == name), 0)
                 self.items.append((stack[k or -1][1], "/" + name, (), None))
@@ -100,7 +124,7 @@ class Page:
                         self.closed[e] = True
                     del stack[k:]
                 continue
-            names = tuple(n for x in _NAMES.findall(rest) for n in re.split(r"[\s_-]+", x.strip("\"'").lower()) if n) if rest else ()
+            names = tuple(n for x in _NAMES.findall(rest) for n in x.strip("\"'").lower().split()) if rest else ()
             if name in CLOSES_ITSELF and stack[-1][0] == name:
                 self.closed[stack.pop()[1]] = True
             if name in VOID or rest.endswith("/"):
@@ -108,17 +132,32 @@ class Page:
                 continue
             frame = name in ("html", "body", *MARKS)
             self.parent.append(stack[-1][1])
-            self.never.append(name in NEVER or (name == "header" and not self._marked(stack)) or (not frame and not NEVER_NAMED.isdisjoint(names)))
+            in_head = name == "head" or (name in HEAD and stack[-1][0] == "head")
+            self.never.append(
+                name in NEVER or in_head or (name == "header" and not self._marked(stack)) or (not frame and any(map(_is_side, names)))
+            )
             self.mark.append(name in MARKS or (bool(rest) and bool(_MARKED.search(rest))))
             self.closed.append(False)
             stack.append((name, len(self.parent) - 1))
             self.items.append((stack[-1][1], name, names, None))
         if at < len(source):
             self.items.append((stack[-1][1], None, (), source[at:]))
-        # parents come before their children
-        for e in range(1, len(self.parent)):
+        self._settle()
+
+    def _settle(self) -> None:
+        """What is left out: side matter that is closed and holds neither the mark nor most of the words."""
+        n = len(self.parent)
+        words, holds = [0] * n, list(self.mark)
+        for e, tag, _, text in self.items:
+            if tag is None:
+                words[e] += len(text.split())
+        for e in range(n - 1, 0, -1):  # children come after their parents
             up = self.parent[e]
-            self.never[e] = self.never[up] or (self.never[e] and self.closed[e])
+            words[up] += words[e]
+            holds[up] = holds[up] or holds[e]
+        for e in range(1, n):
+            side = self.never[e] and self.closed[e] and not holds[e] and words[e] < MOST * max(1, words[0])
+            self.never[e] = self.never[self.parent[e]] or side
 
     def _marked(self, stack: list[tuple[str, int]]) -> bool:
         return any(self.mark[e] for _, e in stack)
@@ -135,6 +174,14 @@ class Page:
                 inside.add(e)
         return inside
 
+    def scored(self) -> set[int]:
+        """The elements that alone score: those in the page's one mark, if it holds enough words; else none is preferred."""
+        inside = self.content()
+        if inside is None:
+            return set()
+        words = [(e in inside, len(text.split())) for e, tag, _, text in self.items if tag is None and not self.never[e]]
+        return inside if sum(n for i, n in words if i) >= TEASER * sum(n for _, n in words) else set()
+
     def _under(self, e: int, roots: list[int]) -> bool:
         while (e := self.parent[e]) > 0:
             if e in roots:
@@ -151,7 +198,7 @@ def counts(source: str) -> Counter:
         for e, tag, names, _ in page.items:
             if tag and tag != CUT and not page.never[e]:
                 for key in (tag, *("." + n for n in names)):
-                    found[key, page.parent[e] in inside] += 1
+                    found[key, page.parent[e] in inside] += 1  # the mark itself stands outside
     return found
 
 
@@ -178,11 +225,12 @@ def main_text(source: str | None, weights: Weights) -> str:
     page = Page(source or "")
     best, best_from, best_to = 0.0, 0, 0
     total, start = 0.0, 0
+    inside = page.scored()
     for i, (e, tag, names, text) in enumerate(page.items):
         if tag:
-            total -= 0.0 if page.never[e] else weights.cost(tag, names)
+            total -= 0.0 if page.never[e] or e in inside else weights.cost(tag, names)
         elif not page.never[e]:
-            total += len(text.split())
+            total += len(text.split()) if not inside or e in inside else 0
         if total <= 0:
             total, start = 0.0, i + 1
         elif total > best:
@@ -197,27 +245,29 @@ def main_text(source: str | None, weights: Weights) -> str:
     return " ".join("".join(out).split())
 
 
-def fit(pages: DataFrame, sample: int = SAMPLE) -> Weights:
-    """Weights from at most ``sample`` of ``pages(page_id, url, html)``."""
-    turn = F.xxhash64("page_id", "url")
-    chosen = pages.select(turn.alias("turn")).distinct().orderBy("turn").limit(sample)
-    taken = pages.select("html", turn.alias("turn")).join(F.broadcast(chosen), "turn").where("html IS NOT NULL").select("html")
+def fit(pages: DataFrame, most: int = MOST_NAMES) -> Weights:
+    """Weights from all ``pages(html)`` that label themselves, of the ``most`` frequent tags and names."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def result() -> pa.RecordBatch:
+            columns = [[k for k, _ in found], [i for _, i in found], list(found.values())]
+            kinds = (pa.string(), pa.bool_(), pa.int64())
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["tag", "inside", "n"])
+
         found: Counter = Counter()
         for batch in batches:
             for source in batch.column("html").to_pylist():
                 found.update(counts(source))
-        keys = sorted(found)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([k for k, _ in keys], pa.string()), pa.array([i for _, i in keys], pa.bool_()), pa.array([found[k] for k in keys], pa.int64())],
-            names=["tag", "inside", "n"],
-        )
-
-    n = F.sum("n").alias("n")
-    rows = taken.mapInArrow(run, "tag string, inside boolean, n long").groupBy("tag", "inside").agg(n).where("n > 1").collect()
-    found = {(r["tag"], r["inside"]): r["n"] for r in rows}
-    return Weights({k: (found.get((k, True), 0), found.get((k, False), 0)) for k, _ in found})
+            if len(found) > HELD_NAMES:
+                yield result()
+                found.clear()
+        yield result()
+
+    counted = pages.select("html").where("html IS NOT NULL").mapInArrow(run, "tag string, inside boolean, n long")
+    sides = [F.sum(F.when(F.col("inside") == side, F.col("n")).otherwise(0)).alias(name) for name, side in (("into", True), ("out", False))]
+    names = counted.groupBy("tag").agg(*sides).where("into + out > 1")
+    rows = names.orderBy(F.desc(F.col("into") + F.col("out")), "tag").limit(most).collect()
+    return Weights({r["tag"]: (r["into"], r["out"]) for r in rows})
 
 
 def extract(pages: DataFrame, weights: Weights, source: str = "html", into: str = "text") -> DataFrame:

@@ -82,6 +82,50 @@ def test_small_pages(source, want):
     assert main_text(source, Weights()) == want
 
 
+ARTICLE = " ".join(f"word{k}" for k in range(120))
+HALF = " ".join(f"more{k}" for k in range(120))
+BODY = f"<article><p>{ARTICLE}</p></article>"
+
+
+@pytest.mark.parametrize(
+    "source",
+    [
+        f'<div class="content has-sidebar">{BODY}</div>',
+        f'<body class="layout no-sidebar">{BODY}</body>',
+        f'<div class="layout no-sidebar">{BODY}</div>',
+        f'<div class="page search-results">{BODY}</div>',
+        f'<div data-id="search">{BODY}</div>',
+        f'<div class="search">{BODY}</div>',
+        f"<html><body><form action=x>{BODY}</form></body></html>",
+        f"<form><div><p>{ARTICLE}</p></div></form>",
+        f"<html><head><title>t t</title><body>{BODY}</body></html>",
+        f"<html><head><title>t t</title><script>var a = '<div>';</script><div>{BODY}</div></html>",
+        f"<html><head><title>t t</title></head><body>{BODY}</body></html>",
+        f'<svg width="3" />{BODY}',
+        f"<svg/>{BODY}",
+        f"<svg><title>chart</title><text>label</text></svg>{BODY}",
+        f"<head-line>{BODY}</head-line>",
+        f"<style-guide></style-guide>{BODY}",
+        f"<div>{'menu ' * 150}</div><ul><li>a</li></ul><div><h2>x</h2></div>{BODY}",
+        f"{BODY}<div class='comment-list'>{'so true ' * 200}</div>",
+        f"<nav><ul><li>Home</li></ul></nav>{BODY}<footer class='site-footer'>{'legal ' * 90}</footer>",
+    ],
+)
+def test_ordinary_pages_keep_their_text(source):
+    assert main_text(source, Weights()) == ARTICLE
+
+
+@pytest.mark.parametrize("between", ['<section id="related-work"><p>{}</p></section>', '<p id="social-history">{}</p>', "<table><tr><td><table><tr><td>x</td></tr></table></td></tr></table>" * 60 + "<p>{}</p>"])
+def test_parts_of_an_article_stay(between):
+    text = main_text(f"<article><p>{ARTICLE}</p>{between.format(HALF)}</article>", Weights())
+    assert text.startswith(ARTICLE) and text.endswith(HALF)
+
+
+def test_names_of_side_matter():
+    assert all(map(html_extract._is_side, ("ad", "site-footer", "ad-banner", "comments", "social_share", "sidebar-left")))
+    assert not any(map(html_extract._is_side, ("has-sidebar", "related-work", "search-results", "content", "page", "", "-", "header")))
+
+
 def test_scan_finds_the_best_run():
     """Against all contiguous runs of the page's items."""
     source = "<div>a b</div><ul><li>x</li><li>y</li></ul><div><p>one two three four five six seven</p><h2>t</h2><p>eight nine</p></div><div>z</div>"
