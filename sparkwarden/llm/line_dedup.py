@@ -5,7 +5,7 @@ characters, or the whole line if it is shorter. Two different lines link if the
 least ``similarity``. Lines that are equal after that folding are one line from the start.
 
 1. One pass makes ``(row, line, hash, bands)``; bands stand only where a line appears first in a batch.
-2. Band keys are sorted; lines that share a key are candidates. Each line is first paired with the first line of its key, so
+2. Band keys are sorted; lines that share a key are candidates. Each line is first paired with one line of its key, so
    that there are fewer pairs than band keys, however many lines a key has.
 3. Candidates' texts are read again, and Jaccard similarity is computed exactly, from arrays of shingle hashes. The links
    give components; a near-copy group usually is one already.
@@ -196,8 +196,8 @@ def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _with_first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by key and hash: ``(key, a, b)``, each further line of a key with the first one."""
-    key, first, last = None, 0, 0
+    """Of rows sorted by key: ``(key, a, b)``, each further line of a key with the one that comes first."""
+    key, first = None, 0
     for batch in batches:
         k, h = batch.column("key").to_numpy(), batch.column("h").to_numpy()
         if not len(k):
@@ -206,10 +206,9 @@ def _with_first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         starts[0] = key is None or k[0] != key
         run = np.cumsum(starts)  # 0: the run of the batch before
         firsts = np.append(first, h[starts])[run]
-        before = np.append(last, h[:-1])
-        more = ~starts & (h != before) & (h != firsts)
+        more = ~starts & (h != firsts)
         yield pa.RecordBatch.from_arrays([pa.array(k[more]), pa.array(firsts[more]), pa.array(h[more])], names=["key", "a", "b"])
-        key, first, last = k[-1], firsts[-1], h[-1]
+        key, first = k[-1], firsts[-1]
 
 
 def _in_blocks(most: int, most_chars: int):
@@ -348,7 +347,8 @@ def _block_tasks(large: DataFrame) -> DataFrame:
 def line_links(docs: DataFrame, lines: DataFrame, shingle: int, similarity: float) -> DataFrame:
     """Links ``(a, b)`` of line hashes that connect what similar lines connect."""
     postings = lines.where("bands IS NOT NULL").select("h", "bands").mapInArrow(_postings, "key long, h long")
-    ordered = postings.repartition("key").sortWithinPartitions("key", "h")
+    # by one number, which Spark sorts by its digits; which line of a key comes first changes no component
+    ordered = postings.repartition("key").sortWithinPartitions("key")
     found = cut(ordered.mapInArrow(_with_first, "key long, a long, b long"))
     pairs = cut(found.select("a", "b").distinct())
     hashes = cut(pairs.select(F.explode(F.array("a", "b")).alias("h")).distinct())
@@ -356,7 +356,7 @@ def line_links(docs: DataFrame, lines: DataFrame, shingle: int, similarity: floa
     links = cut(_checked(pairs, texts, shingle, similarity))
 
     # pairs of further lines of a key that these links don't connect
-    named = found.select("key", F.col("b").alias("h")).join(components(links).withColumnRenamed("node", "h"), "h", "left")
+    named = found.select("key", F.col("b").alias("h")).distinct().join(components(links).withColumnRenamed("node", "h"), "h", "left")
     named = cut(named.withColumn("component", F.coalesce("component", "h")))
     spread = (F.min("component") != F.max("component")).alias("open")
     rest = lookup(named, named.groupBy("key").agg(spread, F.count("*").alias("n")).where("open"), "key").where("open")
