@@ -170,7 +170,9 @@ def _lines(size: int, bands: int, rows: int):
             keys = band_keys([x for _, x in new.values()], size, bands, rows)
             where = np.full(len(at), -1)
             where[[k for k, _ in new.values()]] = np.arange(len(new))
-            column = [keys[w].tobytes() if w >= 0 else None for w in where.tolist()]
+            told = where >= 0
+            ends = np.concatenate([[0], np.cumsum(told * bands)]).astype(np.int32)
+            column = pa.ListArray.from_arrays(pa.array(ends), pa.array(keys[where[told]].ravel()), mask=pa.array(~told))
             rows_of = pa.array(at, pa.int64())
             yield pa.RecordBatch.from_arrays(
                 [
@@ -178,7 +180,7 @@ def _lines(size: int, bands: int, rows: int):
                     batch.column("row").take(rows_of),
                     pa.array(no, pa.int32()),
                     pa.array(hashes, pa.int64()),
-                    pa.array(column, pa.binary()),
+                    column,
                 ],
                 names=["doc_id", "row", "line", "h", "bands"],
             )
@@ -186,15 +188,6 @@ def _lines(size: int, bands: int, rows: int):
     return run
 
 
-def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        bands = batch.column("bands").to_pylist()
-        if bands:
-            keys = np.frombuffer(b"".join(bands), np.int64)
-            h = np.repeat(batch.column("h").to_numpy(), len(keys) // len(bands))
-            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(h)], names=["key", "h"])
-
-
 def _with_first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of rows sorted by key: ``(key, a, b)``, each further line of a key with the one that comes first."""
     key, first = None, 0
@@ -318,9 +311,8 @@ def _check_blocks(size: int, similarity: float):
 
 def _checked(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
     """The links among ``pairs(a, b)``, a written table."""
-    other = texts.select(F.col("h").alias("b"), F.col("folded").alias("y"))
-    both = cut(pairs.join(other, "b"))
-    both = lookup(both, texts.select(F.col("h").alias("a"), F.col("folded").alias("x")), "a")
+    side, other = (texts.select(F.col("h").alias(h), F.col("folded").alias(t)) for h, t in (("a", "x"), ("b", "y")))
+    both = lookup(pairs, side, "a").join(other, "b")
     return both.select("a", "b", "x", "y").mapInArrow(_check_pairs(shingle, similarity), "a long, b long")
 
 
@@ -346,7 +338,7 @@ def _block_tasks(large: DataFrame) -> DataFrame:
 
 def line_links(docs: DataFrame, lines: DataFrame, shingle: int, similarity: float) -> DataFrame:
     """Links ``(a, b)`` of line hashes that connect what similar lines connect."""
-    postings = lines.where("bands IS NOT NULL").select("h", "bands").mapInArrow(_postings, "key long, h long")
+    postings = lines.select(F.explode("bands").alias("key"), "h")
     # by one number, which Spark sorts by its digits; which line of a key comes first changes no component
     ordered = postings.repartition("key").sortWithinPartitions("key")
     found = cut(ordered.mapInArrow(_with_first, "key long, a long, b long"))
@@ -356,7 +348,7 @@ def line_links(docs: DataFrame, lines: DataFrame, shingle: int, similarity: floa
     links = cut(_checked(pairs, texts, shingle, similarity))
 
     # pairs of further lines of a key that these links don't connect
-    named = found.select("key", F.col("b").alias("h")).distinct().join(components(links).withColumnRenamed("node", "h"), "h", "left")
+    named = found.select("key", F.col("b").alias("h")).join(components(links).withColumnRenamed("node", "h"), "h", "left")
     named = cut(named.withColumn("component", F.coalesce("component", "h")))
     spread = (F.min("component") != F.max("component")).alias("open")
     rest = lookup(named, named.groupBy("key").agg(spread, F.count("*").alias("n")).where("open"), "key").where("open")
@@ -373,7 +365,7 @@ def line_links(docs: DataFrame, lines: DataFrame, shingle: int, similarity: floa
 
 def _removed(plain: DataFrame, shingle: int, similarity: float, bands: int, rows: int) -> DataFrame:
     """``(row, removed)``: the line numbers to remove, for the rows of ``plain(doc_id, text, row)`` that lose any."""
-    lines = cut(plain.mapInArrow(_lines(shingle, bands, rows), "doc_id long, row long, line int, h long, bands binary"))
+    lines = cut(plain.mapInArrow(_lines(shingle, bands, rows), "doc_id long, row long, line int, h long, bands array<long>"))
     group = components(line_links(plain, lines, shingle, similarity)).select(F.col("node").alias("h"), "component")
     place = F.struct("doc_id", "row", "line")
     firsts = lines.groupBy("h").agg(F.min(place).alias("first"), F.count("*").alias("n"))

@@ -166,7 +166,7 @@ def test_a_large_family_gives_no_blocks(spark):
     long_lines += [x + f" end{k}" for k, x in enumerate(long_lines)]
     docs = [(k, x) for k, x in enumerate([*copies, *long_lines])]
     df = spark.createDataFrame(docs, "doc_id long, text string").repartition(8).withColumn("row", F.xxhash64("doc_id", "text"))
-    lines = df.mapInArrow(line_dedup._lines(6, 12, 5), "doc_id long, row long, line int, h long, bands binary").persist()
+    lines = df.mapInArrow(line_dedup._lines(6, 12, 5), "doc_id long, row long, line int, h long, bands array<long>").persist()
     links = line_dedup.line_links(df, lines, 6, 0.8).distinct().collect()
     assert len(links) < 12 * len(docs)
     assert len(set(reach([line_dedup.line_hash(x) for _, x in docs], [(r.a, r.b) for r in links]).values())) == 3
