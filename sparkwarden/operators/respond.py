@@ -27,6 +27,7 @@ def webhook_payload(alerts: DataFrame, headline: str = "SECURITY ALERT") -> Data
     def field(title: str, value: Column, short: bool) -> Column:
         return F.struct(F.lit(title).alias("title"), value.alias("value"), F.lit(short).alias("short"))
 
+    # Titles and default texts of the payload's fields.
     fields = F.array(
         field("Severity", F.upper(F.coalesce("severity", F.lit("unknown"))), True),
         field("Source IP", F.coalesce("source_ip", F.lit("unknown")), True),
@@ -89,7 +90,7 @@ def _mitigation(routed: DataFrame, action: str, target: Column, reason: Column)
 def block_ip(routed: DataFrame) -> DataFrame:
     """BLOCK_IP mitigations of routed alerts that name a source."""
     rows = routed.filter((F.col("playbook") == BLOCK_PLAYBOOK) & F.col("source_ip").isNotNull())
-    reason = F.concat(F.lit("Auto-mitigation due to "), "rule_name", F.lit(" alert."))
+    reason = F.concat(F.lit("Auto-mitigation due to "), "rule_name", F.lit(" alert."))  # fixed text
     return _mitigation(rows, "BLOCK_IP", F.col("source_ip"), reason)
 
 
@@ -115,7 +116,7 @@ def user_from_evidence() -> Column:
 def disable_user(routed: DataFrame, target: Callable[[], Column] = user_from_metadata) -> DataFrame:
     """DISABLE_USER mitigations of routed alerts that carry evidence."""
     rows = routed.filter((F.col("playbook") == DISABLE_PLAYBOOK) & (F.col("evidence_count") > 0))
-    reason = F.concat(F.lit("Auto-mitigation due to "), "rule_name", F.lit(" (Compromised Credentials)."))
+    reason = F.concat(F.lit("Auto-mitigation due to "), "rule_name", F.lit(" (Compromised Credentials)."))  # fixed text
     return _mitigation(rows, "DISABLE_USER", target(), reason)
 
 
