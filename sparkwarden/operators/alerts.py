@@ -24,22 +24,30 @@ from sparkwarden.schema import (
 )
 
 
-def make_alerts(df: DataFrame, rule: str, fields: dict[str, str], metadata: dict[str, str]) -> DataFrame:
-    """Alert rows of ``rule``. ``df`` has ``key, trigger_seq, trigger_ts, evidence, evidence_count``; ``fields`` gives
-    SQL texts of ``source_ip, user, description, context`` (null if absent), ``metadata`` those of the rule's details.
+def alert_rows(df: DataFrame, forms: dict[str, tuple[dict[str, str], dict[str, str]]]) -> DataFrame:
+    """Alert rows of several rules in one pass. ``df`` has ``rule_name, key, trigger_seq, trigger_ts, evidence,
+    evidence_count``; ``forms`` gives by rule SQL texts of ``source_ip, user, description, context`` (null if absent) and
+    those of the rule's details.
 
     The id is a hash of rule, key, trigger time and triggering event, so a rerun gives the same ids, and events of another
     load that carry the same number give others; times are event time.
     """
-    details = ", ".join(
-        f"'{name}', CAST({metadata.get(name, 'null')} AS {kind})" for name, kind in ALERT_METADATA.items()
-    )
+
+    def by_rule(value):
+        return "CASE rule_name " + " ".join(f"WHEN '{rule}' THEN {value(rule)}" for rule in forms) + " END"
+
+    def text(part, name, kind):
+        if not any(name in form[part] for form in forms.values()):
+            return f"CAST(null AS {kind})"
+        return by_rule(lambda rule: f"CAST({forms[rule][part].get(name, 'null')} AS {kind})")
+
+    details = ", ".join(f"'{name}', {text(1, name, kind)}" for name, kind in ALERT_METADATA.items())
     return df.selectExpr(
-        f"sha2(concat_ws('|', '{rule}', key, trigger_ts, trigger_seq), 256) AS alert_id",
-        f"'{rule}' AS rule_name",
-        f"{RULE_ORDER.index(rule)} AS rule_order",
-        f"'{RULE_SEVERITY[rule]}' AS severity",
-        *[f"CAST({fields.get(n, 'null')} AS string) AS {n}" for n in ("source_ip", "user", "description", "context")],
+        "sha2(concat_ws('|', rule_name, key, trigger_ts, trigger_seq), 256) AS alert_id",
+        "rule_name",
+        f"{by_rule(RULE_ORDER.index)} AS rule_order",
+        f"{by_rule(lambda rule: repr(RULE_SEVERITY[rule]))} AS severity",
+        *[f"{text(0, n, 'string')} AS {n}" for n in ("source_ip", "user", "description", "context")],
         f"CAST(evidence AS {EVIDENCE_TYPE}) AS evidence",
         "CAST(evidence_count AS bigint) AS evidence_count",
         f"named_struct({details}) AS metadata",
@@ -50,6 +58,11 @@ def make_alerts(df: DataFrame, rule: str, fields: dict[str, str], metadata: dict
     )
 
 
+def make_alerts(df: DataFrame, rule: str, fields: dict[str, str], metadata: dict[str, str]) -> DataFrame:
+    """Alert rows of one ``rule``, as :func:`alert_rows` gives them."""
+    return alert_rows(df.withColumn("rule_name", F.lit(rule)), {rule: (fields, metadata)})
+
+
 def single_event(events: DataFrame) -> DataFrame:
     """Events as firings that are their own evidence."""
     return events.selectExpr(
@@ -73,6 +86,11 @@ def brute_force_alerts(events: DataFrame, cfg: DetectConfig = DEFAULT_CONFIG) ->
         cfg.evidence_cap,
         cfg.stored_firings,
     )
+    return make_alerts(fired, BRUTE_RULE, *brute_force_form(cfg))
+
+
+def brute_force_form(cfg: DetectConfig) -> tuple[dict[str, str], dict[str, str]]:
+    """Fields and details of a brute-force alert."""
     text = (
         "format_string('Brute force attack detected: %d failed login attempts from %s within %d seconds. "
         f"Targeted user(s): %s', evidence_count, key, {cfg.brute_window_s}, array_join(users, ', '))"
@@ -82,7 +100,7 @@ def brute_force_alerts(events: DataFrame, cfg: DetectConfig = DEFAULT_CONFIG) ->
         "window_seconds": str(cfg.brute_window_s),
         "targeted_users": "users",
     }
-    return make_alerts(fired, BRUTE_RULE, {"source_ip": "key", "description": text}, details)
+    return {"source_ip": "key", "description": text}, details
 
 
 def port_scan_alerts(events: DataFrame, cfg: DetectConfig = DEFAULT_CONFIG) -> DataFrame:
@@ -96,6 +114,11 @@ def port_scan_alerts(events: DataFrame, cfg: DetectConfig = DEFAULT_CONFIG) -> D
         cfg.evidence_cap,
         cfg.stored_firings,
     )
+    return make_alerts(fired, SCAN_RULE, *port_scan_form(cfg))
+
+
+def port_scan_form(cfg: DetectConfig) -> tuple[dict[str, str], dict[str, str]]:
+    """Fields and details of a port-scan alert."""
     text = (
         "format_string('Port scan detected: %s connected to %d unique ports within %d seconds. Ports: [%s]', "
         f"key, size(ports), {cfg.scan_window_s}, array_join(CAST(ports AS array<string>), ', '))"
@@ -105,7 +128,7 @@ def port_scan_alerts(events: DataFrame, cfg: DetectConfig = DEFAULT_CONFIG) -> D
         "ports_scanned": "ports",
         "window_seconds": str(cfg.scan_window_s),
     }
-    return make_alerts(fired, SCAN_RULE, {"source_ip": "key", "description": text}, details)
+    return {"source_ip": "key", "description": text}, details
 
 
 def escalation_alerts(events: DataFrame, cfg: DetectConfig = DEFAULT_CONFIG) -> DataFrame:
@@ -130,8 +153,13 @@ def escalation_alerts(events: DataFrame, cfg: DetectConfig = DEFAULT_CONFIG) ->
     if cfg.evidence_cap is not None:
         cap = cfg.evidence_cap
         fired = fired.withColumn(
-            "evidence", F.expr(f"if(size(evidence) > {cap}, slice(evidence, -{cap}, {cap}), evidence)")
+            "evidence", F.expr(f"slice(evidence, greatest(size(evidence) - {cap} + 1, 1), {cap})")
         )
+    return make_alerts(fired, ESCALATION_RULE, *escalation_form(cfg))
+
+
+def escalation_form(cfg: DetectConfig) -> tuple[dict[str, str], dict[str, str]]:
+    """Fields and details of an escalation alert; needs ``command`` and ``source`` of the sudo row."""
     text = (
         "format_string('Potential privilege escalation: User \\'%s\\' executed sudo command after %d failed "
         "authentication attempt(s) within %ds. Command: %s', "
@@ -143,7 +171,7 @@ def escalation_alerts(events: DataFrame, cfg: DetectConfig = DEFAULT_CONFIG) ->
         "sudo_command": "command",
         "lookback_seconds": str(cfg.escalation_lookback_s),
     }
-    return make_alerts(fired, ESCALATION_RULE, {"source_ip": "source", "user": "key", "description": text}, details)
+    return {"source_ip": "source", "user": "key", "description": text}, details
 
 
 def intel_hits(events: DataFrame, cfg: DetectConfig = DEFAULT_CONFIG) -> DataFrame:

@@ -7,7 +7,7 @@ greedy choice of disjoint intervals by right end.
 
 The greedy choice is sequential per key, but a long attack must not sit in one task. Buckets are folded in
 parallel: each one reports which last firing it would hand on for every last firing it might receive
-(``_handover``); those small maps are chained per key (``_chain``), and a second fold then emits the firings.
+(``handover_rows``); those small maps are chained per key (``chain_rows``), and a second fold then emits the firings.
 Every fold streams over sorted rows with constant or window-bounded state.
 """
 
@@ -62,11 +62,11 @@ _FIRE_DDL = "key string, ts_us bigint, event_seq bigint, prev_ts bigint, prev_se
 _CAND_COLS = ("key", "bucket", "kind", "ts_us", "event_seq", "q_ts", "q_seq")
 
 
-def _handover(window_us: int, bucket_us: int):
-    """Fold of one bucket for all last firings it might receive.
+def handover_rows(rows, limits):
+    """Fold of each bucket for all last firings it might receive; ``limits(key)`` gives its window and bucket width.
 
-    ``live`` holds the possible last firings in order, each with the labels (received firings) that lead to it. At a
-    candidate every last firing before ``q`` is replaced by the candidate, so states merge and ``live`` stays as
+    ``rows`` are ``(key, bucket, kind, ts, seq, q_ts, q_seq)`` in order, with anything as key. ``live`` holds the possible
+    last firings in order, each with the labels (received firings) that lead to it. At a candidate every last firing before ``q`` is replaced by the candidate, so states merge and ``live`` stays as
     short as the number of candidates inside one window.
     """
 
@@ -74,6 +74,7 @@ def _handover(window_us: int, bucket_us: int):
         if start is None:
             # no own candidates: nothing is handed on
             return
+        window_us, bucket_us = limits(key)
         floor_ts = (bucket + 1) * bucket_us - window_us
         outs = [(labels, pos if pos[0] >= floor_ts else _NONE) for pos, labels in live]
         exits = {pos for _, pos in outs}
@@ -86,60 +87,65 @@ def _handover(window_us: int, bucket_us: int):
             for label in labels:
                 yield (key, bucket, *label, *pos)
 
-    def label_states(live, bucket):
+    def label_states(live, key, bucket):
         """Start of the own part: every possible state becomes a label of itself; stale ones count as none."""
+        window_us, bucket_us = limits(key)
         floor_ts = bucket * bucket_us - window_us
         fresh = deque([(_NONE, [_NONE])])
         fresh.extend((pos, [pos]) for pos, _ in live if pos != _NONE and pos[0] >= floor_ts)
         return fresh
 
-    def fold(rows):
-        group, live, start, warm = None, None, None, False
-        for key, bucket, kind, ts, seq, q_ts, q_seq in rows:
-            if group != (key, bucket):
-                if group is not None:
-                    yield from close(*group, live, start)
-                group, live, start, warm = (key, bucket), deque([(_NONE, [])]), None, False
-            if kind == _OWN and start is None:
-                live, start = label_states(live, bucket), True
-            elif kind == _HALO and not warm:
-                # a firing older than the warm-up is still possible here, and counts as none from now on
-                warm = True
-                if live[0][0] != _NONE:
-                    live.appendleft((_NONE, []))
-            pos, q = (ts, seq), (q_ts, q_seq)
-            moved, hit = [], False
-            while live and live[0][0] < q:
-                moved.extend(live.popleft()[1])
-                hit = True
-            if hit or kind == _ENTRY:
-                live.append((pos, moved))
-        if group is not None:
-            yield from close(*group, live, start)
-
-    return lambda batches: _emit(fold(_rows(batches, _CAND_COLS)), _HANDOVER_ARROW)
+    group, live, start, warm = None, None, None, False
+    for key, bucket, kind, ts, seq, q_ts, q_seq in rows:
+        if group != (key, bucket):
+            if group is not None:
+                yield from close(*group, live, start)
+            group, live, start, warm = (key, bucket), deque([(_NONE, [])]), None, False
+        if kind == _OWN and start is None:
+            live, start = label_states(live, key, bucket), True
+        elif kind == _HALO and not warm:
+            # a firing older than the warm-up is still possible here, and counts as none from now on
+            warm = True
+            if live[0][0] != _NONE:
+                live.appendleft((_NONE, []))
+        pos, q = (ts, seq), (q_ts, q_seq)
+        moved, hit = [], False
+        while live and live[0][0] < q:
+            moved.extend(live.popleft()[1])
+            hit = True
+        if hit or kind == _ENTRY:
+            live.append((pos, moved))
+    if group is not None:
+        yield from close(*group, live, start)
 
 
-def _chain():
-    """Follow the handover maps of one key bucket by bucket; constant state."""
+def _handover(window_us: int, bucket_us: int):
+    return lambda batches: _emit(
+        handover_rows(_rows(batches, _CAND_COLS), lambda key: (window_us, bucket_us)), _HANDOVER_ARROW
+    )
 
-    def fold(rows):
-        key = bucket = None
-        state, nxt = _NONE, None
-        for k, b, in_ts, in_seq, out_ts, out_seq in rows:
-            if (k, b) != (key, bucket):
-                if nxt is not None and nxt != _NONE:
-                    yield (key, bucket + 1, *nxt)
-                follows = k == key and b == bucket + 1
-                state = nxt if follows and nxt is not None else _NONE
-                key, bucket, nxt = k, b, None
-            if (in_ts, in_seq) == _ANY or (in_ts, in_seq) == state:
-                nxt = (out_ts, out_seq)
-        if nxt is not None and nxt != _NONE:
-            yield (key, bucket + 1, *nxt)
 
+def chain_rows(rows):
+    """Follow the handover maps of one key bucket by bucket; constant state. ``rows`` are ``(key, bucket, in_ts, in_seq,
+    out_ts, out_seq)`` in order."""
+    key = bucket = None
+    state, nxt = _NONE, None
+    for k, b, in_ts, in_seq, out_ts, out_seq in rows:
+        if (k, b) != (key, bucket):
+            if nxt is not None and nxt != _NONE:
+                yield (key, bucket + 1, *nxt)
+            follows = k == key and b == bucket + 1
+            state = nxt if follows and nxt is not None else _NONE
+            key, bucket, nxt = k, b, None
+        if (in_ts, in_seq) == _ANY or (in_ts, in_seq) == state:
+            nxt = (out_ts, out_seq)
+    if nxt is not None and nxt != _NONE:
+        yield (key, bucket + 1, *nxt)
+
+
+def _chain():
     names = ("key", "bucket", "in_ts", "in_seq", "out_ts", "out_seq")
-    return lambda batches: _emit(fold(_rows(batches, names)), _CHAIN_ARROW)
+    return lambda batches: _emit(chain_rows(_rows(batches, names)), _CHAIN_ARROW)
 
 
 def _fire():

@@ -27,7 +27,7 @@ from sparkwarden.operators.iforest import fit_iforest, fit_model, predict, score
 from sparkwarden.operators.timebuckets import SECOND_US
 from sparkwarden.plans import sql
 from sparkwarden.plans.materialize import materialize, shared_dir
-from sparkwarden.plans.batch import block_points, detect, rule_set, run_batch
+from sparkwarden.plans.batch import block_points, detect, rule_set, run_batch, run_rules
 from sparkwarden.schema import ROUTES_AS_CODED
 from sparkwarden.sources import readers, tables
 from sparkwarden.sources.adapter import document_lines, sec_events, sec_intel, sec_lines
@@ -719,6 +719,38 @@ def o26b(spark, sf):
     return alert_view(detect(enriched(spark, sf), CFG))
 
 
+def _broken_rule(events, cfg):
+    """A rule that fails while it runs, not when it is defined."""
+    return rules.intel_alerts(events, cfg).withColumn("context", F.raise_error(F.lit("broken rule")).cast("string"))
+
+
+def _isolated(spark, sf):
+    path = new_path(spark, "events")
+    ev = enriched(spark, sf)
+    tables.write_events(ev, path)
+    return run_rules(tables.read_events(spark, path).select(*ev.columns), CFG, extra={"broken": _broken_rule})
+
+
+@query("o26b_isolated_rules", sql.with_ctes(_ALERT_SQL, *_ALERTS))
+def o26b_isolated(spark, sf):
+    """Rules as jobs of their own over a stored table; one that raises leaves the alerts of the others."""
+    return alert_view(_isolated(spark, sf).alerts)
+
+
+@query(
+    "o26b_rule_status",
+    sql.with_ctes(
+        """SELECT r.job, CASE WHEN r.job = 'broken' THEN 'failed' ELSE 'done' END AS state, count(a.rule_name) AS alerts
+FROM (VALUES ('intel', 'threat_intel_match'), ('brute', 'brute_force_ssh'), ('scan', 'port_scan'),
+  ('escalation', 'privilege_escalation'), ('broken', NULL)) r(job, rule_name)
+LEFT JOIN alerts a ON a.rule_name = r.rule_name GROUP BY r.job""",
+        *_ALERTS,
+    ),
+)
+def o26b_status(spark, sf):
+    return _isolated(spark, sf).status.drop("error")
+
+
 @query("batch_alerts_after_blocks", sql.with_ctes(_ALERT_SQL, *_KEPT_ALERTS))
 def batch_alerts(spark, sf):
     """The two-pass job: sources are blocked at their first alert, and the rules run on what is left."""
