@@ -2,8 +2,8 @@
 
 Each event gives one narrow row per rule that looks at it, keyed by ``(rule, key, bucket)`` with the rule's own window and bucket
 width. Rows of the three windows before a bucket are copied into it: the last two hold the candidates that warm up the re-arming,
-the first one what those candidates look back at. So candidates, handover maps and firings all come from this one exchange,
-which both folds read; besides it only the handover maps, at most a few per bucket, are shuffled.
+the first one what those candidates look back at. So the candidates of all rules come from this one exchange. They are stored, as
+two folds read them: one gives the handover maps, the other the firings.
 
 Before Python sees a row, window functions have decided most: brute-force and escalation candidates are whole, and of the port
 scan's rows only bursts (no gap above the window) that hold enough distinct ports are left.
@@ -196,15 +196,16 @@ def shared_firings(events: DataFrame, cfg: DetectConfig = DEFAULT_CONFIG, only=W
 
         return _emit(fold(), _FIRED_ARROW)
 
-    rows = _candidate_rows(events, cfg, only)
     in_order = (*_GROUP, "ts_us", "event_seq")
+    # few and narrow beside the rows they come from, whose sorts are not to be done twice
+    rows = materialize(_candidate_rows(events, cfg, only)).repartition(*_GROUP)
     maps = rows.sortWithinPartitions(*in_order).select(*_FOLD_COLS).mapInArrow(handover, _MAP_DDL)
     received = (
         maps.repartition("rule_name", "key")
         .sortWithinPartitions(*_GROUP, "in_ts", "in_seq")
         .mapInArrow(chain, _STATE_DDL)
     )
-    # the rows stay where they are: only the received firings are moved
+    # this exchange of the candidates is that of the first fold; the named repartitioning keeps groups whole in the join
     return (
         rows.join(received, list(_GROUP), "left")
         .sortWithinPartitions(*in_order)

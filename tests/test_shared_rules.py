@@ -5,7 +5,7 @@ import pytest
 from sparkwarden.config import DetectConfig
 from sparkwarden.operators import alerts as rules
 from sparkwarden.operators.enrich import enrich, sample_intel
-from sparkwarden.operators.shared import _candidate_rows, shared_alerts, shared_firings
+from sparkwarden.operators.shared import WINDOWED, _candidate_rows, shared_alerts, shared_firings
 from sparkwarden.plans import batch
 from sparkwarden.plans import catalog as c
 from sparkwarden.schema import BRUTE_RULE, ESCALATION_RULE, SCAN_RULE
@@ -67,14 +67,13 @@ def test_a_busy_source_with_few_ports_sends_nothing_to_python(spark):
 
 
 def test_rows_of_all_rules_are_shuffled_once(spark, sf_dir):
-    df = shared_firings(sec_events(spark, sf_dir), c.CFG)
-    df.collect()
-    plan = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
-    assert "Reused" in plan
-    spread = [x for x in plan.split("\n") if "Exchange hashpartitioning(rule_name" in x and "bucket" in x and "Reused" not in x]
-    # the rows of the rules, and the received firings
-    assert len(spread) <= 2
-    assert "raw" not in plan and "Cartesian" not in plan
+    rows = _candidate_rows(sec_events(spark, sf_dir), c.CFG, WINDOWED)
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and plan.count("events.parquet") == 1 and "value:double" not in plan
+    fired = shared_firings(sec_events(spark, sf_dir), c.CFG)
+    fired.collect()
+    plan = fired._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert "events.parquet" not in plan and "ReusedExchange" in plan and "Cartesian" not in plan
 
 
 def test_detect_shuffles_events_of_hit_buckets_only(spark, sf_dir):
