@@ -1,11 +1,12 @@
 """SimHash near-duplicates: a byte-position inverted index with count filtering.
 
 Fingerprints of eight bytes that differ in at most ``d`` bits differ in at most ``d`` bytes, so they share at least
-``8 - d`` bytes at equal positions. A posting list of single bytes would hold one 256th of all fingerprints; the index
-therefore has a list for each choice of ``8 - d`` positions together, where a pair's tally of shared positional bytes
-reaches that guaranteed minimum. A list can hold ``256**d`` fingerprints at most, whatever the input. Pairs of a list
-are tallied over all eight positions, kept from the minimum on, and verified by their differing bits, all inside the
-join, so that only links leave it. Only different fingerprints enter the index; copies meet in their fingerprint.
+``8 - d`` bytes at equal positions, the guaranteed minimum. A posting list of single bytes would hold one 256th of all
+fingerprints, so a list stands for ``7 - d`` positions together, one byte short of the minimum. Not all such choices are
+listed, only so many that any ``d`` positions are left out together by one of them (``choices``; for two bits about a
+dozen of 56): the pair agrees in the positions of that list. Pairs that meet are tallied over all eight positions;
+those below the minimum, which share the list's bytes only, go, and the rest is verified by the differing bits, all
+inside the join, so that only links leave it. Only different fingerprints enter the index; copies meet in their fingerprint.
 
 Words are runs of anything but space and the controls 9 to 13, after lower-casing A-Z. Null texts are empty; a text
 without words has fingerprint zero and links like any other. A null id takes part but never names a component. Repeated
@@ -23,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sparkwarden.llm.common import cut, with_columns
+from sparkwarden.llm.common import cut, lookup, with_columns
 from sparkwarden.llm.components import components
 
 SEED = 42
@@ -70,24 +71,44 @@ def _tally(a: Column, b: Column) -> Column:
     return sum(parts[1:], parts[0])
 
 
-def links(prints: DataFrame, most_bits: int = 2) -> DataFrame:
-    """``(a, b)`` with ``a < b``: different values of ``prints.fp`` that differ in at most ``most_bits`` bits.
+def choices(most_bits: int) -> list[tuple[int, ...]]:
+    """Sets of positions such that two fingerprints within ``most_bits`` bits agree in all positions of at least one.
 
-    A pair may come from several lists. ``most_bits`` is 0 to 7; at 8 no shared byte would be guaranteed.
+    Each set leaves out one position more than can differ; sets are added until any ``most_bits`` positions are left out
+    together, each time the one that leaves out most choices not met so far.
     """
-    if not 0 <= most_bits < 8:
-        raise ValueError("most_bits must be 0 to 7")
-    shared = 8 - most_bits
+    width = max(1, 7 - most_bits)
+    open_ = [frozenset(c) for c in combinations(range(8), most_bits)]
+    out = []
+    while open_:
+        best = max(combinations(range(8), 8 - width), key=lambda left_out: sum(c <= set(left_out) for c in open_))
+        open_ = [c for c in open_ if not c <= set(best)]
+        out.append(tuple(p for p in range(8) if p not in best))
+    return out
+
+
+def candidates(prints: DataFrame, most_bits: int) -> DataFrame:
+    """``(a, b)`` with ``a < b``, once for each list of the index in which the two fingerprints meet."""
     lists = [
         F.struct(F.lit(i).cast("byte").alias("list"), F.col("fp").bitwiseAND(F.lit(_mask(p))).alias("key"))
-        for i, p in enumerate(combinations(range(8), shared))
+        for i, p in enumerate(choices(most_bits))
     ]
     index = prints.select("fp", F.explode(F.array(*lists)).alias("x")).select("fp", "x.list", "x.key")
     a, b = index.withColumnRenamed("fp", "a"), index.withColumnRenamed("fp", "b")
-    counted = _tally(F.col("a"), F.col("b")) >= shared
-    verified = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= most_bits
     same = (a["list"] == b["list"]) & (a["key"] == b["key"])
-    return a.join(b, same & (F.col("a") < F.col("b")) & counted & verified).select("a", "b")
+    return a.join(b, same & (F.col("a") < F.col("b"))).select("a", "b")
+
+
+def links(prints: DataFrame, most_bits: int = 2) -> DataFrame:
+    """``(a, b)`` with ``a < b``: different values of ``prints.fp`` that differ in at most ``most_bits`` bits.
+
+    A pair may come from several lists. ``most_bits`` is 0 to 7; at 8 no shared byte would be guaranteed.
+    """
+    if not 0 <= most_bits < 8:
+        raise ValueError("most_bits must be 0 to 7")
+    counted = _tally(F.col("a"), F.col("b")) >= 8 - most_bits
+    verified = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= most_bits
+    return candidates(prints, most_bits).where(counted & verified)
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 3, most_bits: int = 2) -> DataFrame:
@@ -99,7 +120,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, most_bits: int = 2) -> Da
     rooted = cut(rooted)
     named = cut(rooted.groupBy("component").agg(F.min("least_id").alias("component_id")))
     named = cut(rooted.join(named, "component").select("fp", "component_id"))
-    return marked.join(named, "fp").select("doc_id", "fp", "component_id")
+    return lookup(marked, named, "fp").select("doc_id", "fp", "component_id")
 
 
 def keep_one(docs: DataFrame, shingle: int = 3, most_bits: int = 2) -> DataFrame:

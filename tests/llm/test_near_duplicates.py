@@ -73,6 +73,27 @@ def test_simhash_links(spark):
         simhash.links(df, 8)
 
 
+@pytest.mark.parametrize("bits", range(8))
+def test_some_list_holds_each_pair_within_the_distance(bits):
+    lists = [set(c) for c in simhash.choices(bits)]
+    for differing in itertools.combinations(range(8), bits):
+        assert any(not c & set(differing) for c in lists)
+    assert bits != 2 or (len(lists) < 16 and all(len(c) == 5 for c in lists))
+
+
+def test_the_tally_removes_pairs_below_the_minimum(spark):
+    three_bytes, two_bytes, two_bits = 0x010101, 0x0303, 0x0101
+    df = spark.createDataFrame([(0,), (three_bytes,), (two_bytes,), (two_bits,)], "fp long")
+    met = {(r.a, r.b) for r in simhash.candidates(df, 2).collect()}
+    assert {(0, two_bytes), (0, two_bits)} <= met
+    assert {(r.a, r.b) for r in simhash.links(df, 2).collect()} == {(0, two_bits), (two_bits, two_bytes), (two_bits, three_bytes)}
+    # pairs of three differing bytes meet in lists as well, and share fewer bytes than the minimum
+    apart = [(1 << 8 * i) | (1 << 8 * j) | (1 << 8 * k) for i, j, k in itertools.combinations(range(7), 3)]
+    met = simhash.candidates(spark.createDataFrame([(p,) for p in [0, *apart]], "fp long"), 2)
+    assert met.where("a = 0").count() > 0
+    assert met.where((F.col("a") == 0) & (simhash._tally(F.col("a"), F.col("b")) >= 6)).count() == 0
+
+
 def test_simhash_groups(spark, sf_dir):
     docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
     docs += [(9001, None), (9002, ""), (9003, " "), (None, "x y z"), (9004, "x y z"), (9004, "x y z"), (9005, docs[0][1] + " end")]
