@@ -168,19 +168,23 @@ def score_threshold(scores: DataFrame, contamination: float = CONTAMINATION) ->
     return counted.agg(F.expr(f"percentile(score, {1 - contamination!r}, n)").alias("threshold"))
 
 
+def with_threshold(nodes: DataFrame, features: DataFrame, contamination: float = CONTAMINATION) -> DataFrame:
+    """``nodes`` plus one row ``tree_id = -1`` whose ``threshold`` is the outlier score, found from scores of ``features``."""
+    offset = score_threshold(score(features, nodes), contamination).selectExpr(
+        "-1 as tree_id", "-1 as node_id", "-1 as feature", "threshold", "-1 as left", "-1 as right",
+        "cast(0 as bigint) as size", "0 as depth",
+    )
+    return nodes.unionByName(offset)
+
+
 def fit_model(features: DataFrame, contamination: float = CONTAMINATION, **forest) -> DataFrame:
-    """Node table plus one row ``tree_id = -1`` whose ``threshold`` is the outlier score; write it with parquet.
+    """The fitted node table with its threshold row; write it with parquet.
 
     The nodes are materialized once, as fitting and training scores both need them.
     """
     from sparkwarden.plans.materialize import materialize
 
-    nodes = materialize(fit_iforest(features, **forest))
-    offset = score_threshold(score(features, nodes), contamination).selectExpr(
-        "-1 as tree_id", "-1 as node_id", "-1 as feature", "threshold", "-1 as left", "-1 as right",
-        "cast(0 as bigint) as size", "0 as depth",
-    )
-    return nodes.unionByName(offset)
+    return with_threshold(materialize(fit_iforest(features, **forest)), features, contamination)
 
 
 def predict(features: DataFrame, model: DataFrame) -> DataFrame:
