@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import UTC, datetime, timedelta
+
 from pyspark.sql import functions as F
 
 from sparkwarden.operators.enrich import enrich
@@ -9,7 +11,7 @@ from sparkwarden.plans import catalog as c
 from sparkwarden.plans import sql
 from sparkwarden.plans.catalog import CFG, YEAR, query, us
 from sparkwarden.plans.incremental import detect_load, detect_store, finish, load_summary
-from sparkwarden.sources import landing, readers
+from sparkwarden.sources import landing, layout, readers
 from sparkwarden.sources.adapter import as_sec_events, document_lines, sec_events, sec_intel
 from sparkwarden.streaming import flows
 from sparkwarden.streaming.alerts import alert_sink, feed_sink, stream_texts
@@ -145,3 +147,31 @@ def t12(spark, sf):
     return landed.join(F.broadcast(arrived)).join(F.broadcast(reasons))
 
 
+@query(
+    "s09_layout_lookups",
+    sql.with_ctes(
+        """SELECT 'source' AS lookup, event_seq FROM ev WHERE source_ip = (
+  SELECT source_ip FROM ev WHERE source_ip IS NOT NULL GROUP BY source_ip ORDER BY count(*) DESC, source_ip LIMIT 1)
+UNION ALL SELECT 'action', event_seq FROM ev WHERE action = 'FAILED_LOGIN'
+UNION ALL SELECT 'time', event_seq FROM ev, (SELECT min(ts_us) AS low, max(ts_us) AS high FROM ev)
+WHERE ts_us BETWEEN low + (high - low) * 9 // 20 AND low + (high - low) * 11 // 20"""
+    ),
+)
+def s09_layout(spark, sf):
+    """Files along a curve over time, source and action: the busiest source, one action, and the middle tenth of the time."""
+    events, path = sec_events(spark, sf), c.new_path(spark, "layout")
+    layout.write_layout(events, path, "feed", 64)
+    busy = events.where("source_ip IS NOT NULL").groupBy("source_ip").agg(F.count("*").alias("n"))
+    busiest = busy.orderBy(F.desc("n"), "source_ip").first()
+    low, high = (x or 0 for x in events.agg(F.min(F.unix_micros("event_ts")), F.max(F.unix_micros("event_ts"))).first())
+    since, until = (datetime(1970, 1, 1, tzinfo=UTC) + timedelta(microseconds=low + (high - low) * k // 20) for k in (9, 11))
+    wanted = {
+        "source": {"source_ip": busiest.source_ip if busiest else ""},
+        "action": {"action": "FAILED_LOGIN"},
+        "time": {"since": since, "until": until},
+    }
+    found = [
+        layout.find_events(spark, path, events.schema, **w).select(F.lit(name).alias("lookup"), "event_seq")
+        for name, w in wanted.items()
+    ]
+    return found[0].unionByName(found[1]).unionByName(found[2])
