@@ -2,8 +2,8 @@
 
 Each event gives one narrow row per rule that looks at it, keyed by ``(rule, key, bucket)`` with the rule's own window and bucket
 width. Rows of the three windows before a bucket are copied into it: the last two hold the candidates that warm up the re-arming,
-the first one what those candidates look back at. So the candidates of all rules come from this one exchange. They are stored, as
-two folds read them: one gives the handover maps, the other the firings.
+the first one what those candidates look back at. So the candidates of all rules come from this one exchange. A port scan's are
+found in Python, once. Candidates are stored, as two folds read them: one gives the handover maps, the other the firings.
 
 Before Python sees a row, window functions have decided most: brute-force and escalation candidates are whole, and of the port
 scan's rows only bursts (no gap above the window) that hold enough distinct ports are left.
@@ -31,6 +31,9 @@ from sparkwarden.schema import BRUTE_RULE, ESCALATION_RULE, SCAN_RULE
 
 WINDOWED = (BRUTE_RULE, SCAN_RULE, ESCALATION_RULE)
 
+# Events whose narrow rows one task sorts; some 3 rows an event and three sorts at once take about 1.5 kB an event.
+EVENTS_A_TASK = 100_000
+
 # Zone of a row that only candidates look back at; it comes before all others.
 _BEFORE = -1
 _GROUP = ("rule_name", "key", "bucket")
@@ -45,6 +48,9 @@ def _schema(**fields):
 _MAP_ARROW, _MAP_DDL = _schema(
     rule_name="string", key="string", bucket="bigint", in_ts="bigint", in_seq="bigint", out_ts="bigint", out_seq="bigint"
 )
+_CANDIDATE_ARROW, _CANDIDATE_DDL = _schema(
+    rule_name="string", key="string", bucket="bigint", zone="bigint", ts_us="bigint", event_seq="bigint", q_ts="bigint", q_seq="bigint"
+)
 _STATE_ARROW, _STATE_DDL = _schema(rule_name="string", key="string", bucket="bigint", last_ts="bigint", last_seq="bigint")
 _FIRED_ARROW, _FIRED_DDL = _schema(rule_name="string", key="string", ts_us="bigint", event_seq="bigint")
 
@@ -91,21 +97,32 @@ def _rule_rows(events: DataFrame, cfg: DetectConfig, only, carried: dict[str, st
     )
 
 
+def task_count(events: DataFrame) -> int | None:
+    """Tasks for the exchanges of ``events``, so that what one task sorts does not grow with the feed; none if Spark may choose, as
+    a single task would do."""
+    n = -(-events.count() // EVENTS_A_TASK)
+    return max(n, events.sparkSession.sparkContext.defaultParallelism) if n > 1 else None
+
+
+def _deal(df: DataFrame, tasks: int | None) -> DataFrame:
+    return df.repartition(*_GROUP) if tasks is None else df.repartition(tasks, *_GROUP)
+
+
 def _home(ts: str) -> str:
     return f"(({ts} - pmod({ts}, bucket_us)) div bucket_us)"
 
 
-def _candidate_rows(events: DataFrame, cfg: DetectConfig, only) -> DataFrame:
+def _candidate_rows(events: DataFrame, cfg: DetectConfig, only, tasks: int | None = None) -> DataFrame:
     """Rows for the folds: candidates with ``q_*``, and for port scans the rows of bursts with enough ports, with ``port``."""
-    spread = (
+    spread = _deal(
         _rule_rows(events, cfg, only, {})
         .selectExpr("*", f"explode(sequence({_home('ts_us')}, {_home('(ts_us + 3L * window_us)')})) AS bucket")
         .selectExpr(
             *_GROUP, "part", "ts_us", "event_seq", "window_us",
             f"""CASE WHEN ts_us >= bucket * bucket_us THEN {_OWN} WHEN ts_us + window_us >= bucket * bucket_us THEN {_HALO}
               WHEN ts_us + 2L * window_us >= bucket * bucket_us THEN {_ENTRY} ELSE {_BEFORE} END AS zone""",
-        )
-        .repartition(*_GROUP)
+        ),
+        tasks,
     )
     group = ", ".join(_GROUP)
     of_part = f"(PARTITION BY {group}, part ORDER BY ts_us, event_seq)"
@@ -145,10 +162,10 @@ def _candidate_rows(events: DataFrame, cfg: DetectConfig, only) -> DataFrame:
 
 
 def _candidates(rows, ports: int, scan_us: int):
-    """``((rule, key), bucket, zone, ts, seq, q_ts, q_seq, *rest)`` of candidates. A port scan's ``q`` is the last use of the N-th
-    latest distinct port; only the N latest ports are kept."""
+    """``(rule, key, bucket, zone, ts, seq, q_ts, q_seq)`` of candidates. A port scan's ``q`` is the last use of the N-th latest
+    distinct port; only the N latest ports are kept."""
     group, latest = None, OrderedDict()
-    for rule, key, bucket, zone, ts, seq, q_ts, q_seq, port, *rest in rows:
+    for rule, key, bucket, zone, ts, seq, q_ts, q_seq, port in rows:
         if port is not None:
             if group != (key, bucket):
                 group, latest = (key, bucket), OrderedDict()
@@ -161,21 +178,32 @@ def _candidates(rows, ports: int, scan_us: int):
             q_ts, q_seq = next(iter(latest.values()))
             if q_ts < ts - scan_us:
                 continue
-        yield ((rule, key), bucket, zone, ts, seq, q_ts, q_seq, *rest)
+        yield (rule, key, bucket, zone, ts, seq, q_ts, q_seq)
 
 
-def shared_firings(events: DataFrame, cfg: DetectConfig = DEFAULT_CONFIG, only=WINDOWED) -> DataFrame:
-    """Firings ``rule_name, key, ts_us, event_seq`` of the windowed rules in ``only``, equal to those of each rule alone."""
+def shared_firings(
+    events: DataFrame, cfg: DetectConfig = DEFAULT_CONFIG, only=WINDOWED, tasks: int | None = None
+) -> DataFrame:
+    """Firings ``rule_name, key, ts_us, event_seq`` of the windowed rules in ``only``, equal to those of each rule alone. ``tasks`` is
+    that of :func:`task_count`."""
     if cfg.bucket_factor < 2:
         raise ValueError("a bucket must be at least two windows wide")
     windows, factor = _windows_us(cfg), cfg.bucket_factor
     ports, scan_us = cfg.scan_threshold, windows[SCAN_RULE]
+    names = [f.name for f in _CANDIDATE_ARROW]
 
     def limits(key):
         return windows[key[0]], factor * windows[key[0]]
 
+    def candidates(batches):
+        return _emit(_candidates(_rows(batches, _FOLD_COLS), ports, scan_us), _CANDIDATE_ARROW)
+
+    def keyed(batches, *more):
+        for rule, key, *rest in _rows(batches, (*names, *more)):
+            yield ((rule, key), *rest)
+
     def handover(batches):
-        found = handover_rows(_candidates(_rows(batches, _FOLD_COLS), ports, scan_us), limits)
+        found = handover_rows(keyed(batches), limits)
         return _emit(((*key, *rest) for key, *rest in found), _MAP_ARROW)
 
     def chain(batches):
@@ -186,8 +214,7 @@ def shared_firings(events: DataFrame, cfg: DetectConfig = DEFAULT_CONFIG, only=W
     def fire(batches):
         def fold():
             group, last = None, _NONE
-            rows = _candidates(_rows(batches, (*_FOLD_COLS, "last_ts", "last_seq")), ports, scan_us)
-            for key, bucket, zone, ts, seq, q_ts, q_seq, last_ts, last_seq in rows:
+            for key, bucket, zone, ts, seq, q_ts, q_seq, last_ts, last_seq in keyed(batches, "last_ts", "last_seq"):
                 if group != (key, bucket):
                     group, last = (key, bucket), _NONE if last_ts is None else (last_ts, last_seq)
                 if zone == _OWN and last < (q_ts, q_seq):
@@ -197,9 +224,10 @@ def shared_firings(events: DataFrame, cfg: DetectConfig = DEFAULT_CONFIG, only=W
         return _emit(fold(), _FIRED_ARROW)
 
     in_order = (*_GROUP, "ts_us", "event_seq")
-    # few and narrow beside the rows they come from, whose sorts are not to be done twice
-    rows = materialize(_candidate_rows(events, cfg, only)).repartition(*_GROUP)
-    maps = rows.sortWithinPartitions(*in_order).select(*_FOLD_COLS).mapInArrow(handover, _MAP_DDL)
+    # few and narrow beside the rows they come from, whose sorts and port fold are not to be done twice
+    dealt = _candidate_rows(events, cfg, only, tasks).sortWithinPartitions(*in_order).select(*_FOLD_COLS)
+    rows = _deal(materialize(dealt.mapInArrow(candidates, _CANDIDATE_DDL)), tasks)
+    maps = rows.sortWithinPartitions(*in_order).mapInArrow(handover, _MAP_DDL)
     received = (
         maps.repartition("rule_name", "key")
         .sortWithinPartitions(*_GROUP, "in_ts", "in_seq")
@@ -207,14 +235,16 @@ def shared_firings(events: DataFrame, cfg: DetectConfig = DEFAULT_CONFIG, only=W
     )
     # this exchange of the candidates is that of the first fold; the named repartitioning keeps groups whole in the join
     return (
-        rows.join(received, list(_GROUP), "left")
+        rows.join(_deal(received, tasks), list(_GROUP), "left")
         .sortWithinPartitions(*in_order)
-        .select(*_FOLD_COLS, "last_ts", "last_seq")
+        .select(*names, "last_ts", "last_seq")
         .mapInArrow(fire, _FIRED_DDL)
     )
 
 
-def shared_evidence(events: DataFrame, fired: DataFrame, cfg: DetectConfig = DEFAULT_CONFIG, only=WINDOWED) -> DataFrame:
+def shared_evidence(
+    events: DataFrame, fired: DataFrame, cfg: DetectConfig = DEFAULT_CONFIG, only=WINDOWED, tasks: int | None = None
+) -> DataFrame:
     """Flat evidence: one row per event of a firing's window, with ``rule_name, key, bucket, trigger_ts, trigger_seq``, partitioned by
     ``(rule_name, key, bucket)``. ``fired`` should be stored, as it is read twice.
 
@@ -240,8 +270,7 @@ def shared_evidence(events: DataFrame, fired: DataFrame, cfg: DetectConfig = DEF
     if hit.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
         rows = rows.join(F.broadcast(hit), list(_GROUP), "left_semi")
     return (
-        rows.unionByName(marks, allowMissingColumns=True)
-        .repartition(*_GROUP)
+        _deal(rows.unionByName(marks, allowMissingColumns=True), tasks)
         .selectExpr(
             "*",
             f"last(fire, true) OVER (PARTITION BY {', '.join(_GROUP)} ORDER BY ts_us DESC, seq DESC, kind DESC "
@@ -262,8 +291,9 @@ def shared_alerts(events: DataFrame, cfg: DetectConfig = DEFAULT_CONFIG, only=WI
 
     Firings are stored first; they are narrow. ``cfg.evidence_cap`` shortens the shown array to the latest events; counts, users and
     ports stay whole."""
-    fired = materialize(shared_firings(events, cfg, only))
-    flat = shared_evidence(events, fired, cfg, only)
+    tasks = task_count(events)
+    fired = materialize(shared_firings(events, cfg, only, tasks))
+    flat = shared_evidence(events, fired, cfg, only, tasks)
     group = (*_GROUP, "trigger_ts", "trigger_seq")
     # time first, so that sorting the structs sorts by time
     ordered = ", ".join(("event_ts", "event_seq", *(f for f in EVIDENCE_FIELDS if f not in ("event_ts", "event_seq"))))

@@ -4,6 +4,7 @@ import pytest
 
 from sparkwarden.config import DetectConfig
 from sparkwarden.operators import alerts as rules
+from sparkwarden.operators import shared
 from sparkwarden.operators.enrich import enrich, sample_intel
 from sparkwarden.operators.shared import WINDOWED, _candidate_rows, shared_alerts, shared_firings
 from sparkwarden.plans import batch
@@ -134,3 +135,30 @@ def test_all_rules_may_fail(spark, stored):
 
     run = batch.run_rules(stored, RUN_CFG, extra=dict.fromkeys(("intel", "brute", "scan", "escalation"), broken))
     assert run.alerts.count() == 0 and {s for s, _ in status(run).values()} == {"failed"}
+
+
+def test_tasks_follow_the_feed(spark, monkeypatch):
+    """The exchanges are dealt by the number of events, so that no task sorts a share that grows with the feed."""
+    ev = events_df(spark, random_events(4, 25, 200, 150, ports=9))
+    cfg = DetectConfig(brute_threshold=3, brute_window_s=5, scan_threshold=4, scan_window_s=6, escalation_lookback_s=8, bucket_factor=3)
+    want = shown(shared_alerts(ev, cfg))
+    assert shared.task_count(ev) is None
+    monkeypatch.setattr(shared, "EVENTS_A_TASK", ev.count() // 30)
+    tasks = shared.task_count(ev)
+    assert tasks > 30
+    assert _candidate_rows(ev, cfg, WINDOWED, tasks).rdd.getNumPartitions() == tasks
+    fired = shared_firings(ev, cfg, WINDOWED, tasks)
+    assert fired.rdd.getNumPartitions() == tasks
+    assert shared.shared_evidence(ev, fired, cfg, WINDOWED, tasks).rdd.getNumPartitions() == tasks
+    assert shown(shared_alerts(ev, cfg)) == want != []
+
+
+def test_the_folds_read_candidates_only(spark, monkeypatch):
+    """The port fold runs once: what is stored for the two folds are candidates, not all rows of a burst."""
+    rows = [dict(seq=i, ts=i // 2, ip="10.0.0.1", user=None, action="CONNECTION", port=i % 4 if i < 900 else i) for i in range(1000)]
+    stored, store = [], shared.materialize
+    monkeypatch.setattr(shared, "materialize", lambda df: stored.append(store(df)) or stored[-1])
+    cfg = DetectConfig(scan_threshold=10, scan_window_s=30)
+    fired = shared_firings(events_df(spark, rows), cfg, (SCAN_RULE,)).count()
+    # the first tenth port comes at 905
+    assert fired == len(naive.port_scan(rows, 10, 30)) > 0 and stored[0].where(f"zone = {shared._OWN}").count() == 95
