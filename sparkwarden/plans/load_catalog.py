@@ -89,16 +89,21 @@ def incremental_alerts(spark, sf):
     return c.alert_view(incremental_store(spark, sf).read("alerts"))
 
 
+#: Rows of a file of the streamed feed, so that a large micro-batch is read by many tasks.
+_FILE_ROWS = 100_000
+
+
 def streamed_store(spark, sf):
-    """The feed as a stream of several files, one to a micro-batch, into alerts and what follows from them."""
+    """The feed as a stream in two deliveries of files, each one micro-batch, into alerts and what follows from them."""
     source, path = c.new_path(spark, "event-files"), c.new_path(spark, "detect")
     raw = spark.read.parquet(f"{sf}/events.parquet")
-    for part in range(2):  # a stream takes files in the order of their times
-        raw.where(F.floor(_third(spark, sf, "event_id") * 2 / _LOADS) == part).coalesce(1).write.mode("append").parquet(source)
-    stream = as_sec_events(readers.stream_events(spark, source, raw.schema, max_files=1))
+    half = F.floor(_third(spark, sf, "event_id") * 2 / _LOADS)
     settings = {"cfg": CFG, "delay_s": c.HOUR, "destinations": ("pager", "mail")}
     sink = alert_sink(path, lambda s: sec_intel(s, sf), **settings)
-    flows.run_available(stream, f"{path}-checkpoint", sink=sink)
+    for part in range(2):  # a stream takes all files there are, and goes on with those that come later
+        raw.where(half == part).write.option("maxRecordsPerFile", _FILE_ROWS).mode("append").parquet(source)
+        stream = as_sec_events(readers.stream_events(spark, source, raw.schema, max_files=2**31 - 1))
+        flows.run_available(stream, f"{path}-checkpoint", sink=sink)
     store = detect_store(spark, path)
     finish(store, **settings)
     return store
