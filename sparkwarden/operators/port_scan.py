@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkwarden.config import DEFAULT_CONFIG, DetectConfig
-from sparkwarden.operators.rearm import _emit, _rows, firings
+from sparkwarden.operators.rearm import _emit, _grouped, firings
 from sparkwarden.operators.timebuckets import SECOND_US, with_halo
 
 _LATEST_ARROW = pa.schema(
@@ -32,9 +32,9 @@ def _latest_ports(threshold: int, window_us: int):
 
     def fold(rows):
         group, latest = None, OrderedDict()
-        for key, bucket, ts, seq, port, is_halo in rows:
-            if group != (key, bucket):
-                group, latest = (key, bucket), OrderedDict()
+        for found, ts, seq, port, is_halo in rows:
+            if group != found:
+                group, latest = found, OrderedDict()
             latest.pop(port, None)
             latest[port] = (ts, seq)
             if len(latest) > threshold:
@@ -42,10 +42,10 @@ def _latest_ports(threshold: int, window_us: int):
             if not is_halo and len(latest) == threshold:
                 q = next(iter(latest.values()))
                 if q[0] >= ts - window_us:
-                    yield (key, ts, seq, *q)
+                    yield (found[0], ts, seq, *q)
 
-    names = ("key", "bucket", "ts_us", "event_seq", "destination_port", "is_halo")
-    return lambda batches: _emit(fold(_rows(batches, names)), _LATEST_ARROW)
+    names = ("ts_us", "event_seq", "destination_port", "is_halo")
+    return lambda batches: _emit(fold(_grouped(batches, ("key", "bucket"), names)), _LATEST_ARROW)
 
 
 def port_scan_candidates(events: DataFrame, cfg: DetectConfig = DEFAULT_CONFIG) -> DataFrame:

@@ -15,7 +15,9 @@ from __future__ import annotations
 
 from collections import deque
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from sparkwarden.operators.timebuckets import bucket_sql
@@ -34,6 +36,26 @@ def _rows(batches, names):
         yield from zip(*(batch.column(n).to_pylist() for n in names))
 
 
+def _values(column):
+    return column.to_pylist() if column.null_count or not pa.types.is_integer(column.type) else column.to_numpy().tolist()
+
+
+def _grouped(batches, group, names):
+    """Rows as ``_rows`` gives them, but with the columns of ``group`` as one tuple in front, which is made once for each run of rows
+    that agree in them."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = [batch.column(n) for n in group]
+        starts = np.ones(batch.num_rows, bool)
+        starts[1:] = np.logical_or.reduce(
+            [pc.fill_null(pc.not_equal(k.slice(1), k.slice(0, len(k) - 1)), True).to_numpy(zero_copy_only=False) for k in keys]
+        )
+        firsts = pa.array(np.flatnonzero(starts))
+        heads = [*zip(*(k.take(firsts).to_pylist() for k in keys))]
+        yield from zip(map(heads.__getitem__, (np.cumsum(starts) - 1).tolist()), *(_values(batch.column(n)) for n in names))
+
+
 def _emit(rows, schema, size=8192):
     """Arrow batches of at most ``size`` rows from an iterator of tuples."""
     chunk = []
@@ -119,9 +141,14 @@ def handover_rows(rows, limits):
         yield from close(*group, live, start)
 
 
+def _keyed(batches):
+    for (key,), *rest in _grouped(batches, _CAND_COLS[:1], _CAND_COLS[1:]):
+        yield (key, *rest)
+
+
 def _handover(window_us: int, bucket_us: int):
     return lambda batches: _emit(
-        handover_rows(_rows(batches, _CAND_COLS), lambda key: (window_us, bucket_us)), _HANDOVER_ARROW
+        handover_rows(_keyed(batches), lambda key: (window_us, bucket_us)), _HANDOVER_ARROW
     )
 
 
@@ -163,7 +190,7 @@ def _fire():
                 yield (key, ts, seq, *prev)
                 last = (ts, seq)
 
-    return lambda batches: _emit(fold(_rows(batches, _CAND_COLS)), _FIRE_ARROW)
+    return lambda batches: _emit(fold(_keyed(batches)), _FIRE_ARROW)
 
 
 def firings(candidates: DataFrame, window_us: int, bucket_us: int) -> DataFrame:

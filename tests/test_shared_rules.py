@@ -1,11 +1,13 @@
 """The windowed rules over one exchange: equal to the sequential restatement and to each rule alone, and the plan."""
 
+import pyarrow as pa
 import pytest
 
 from sparkwarden.config import DetectConfig
 from sparkwarden.operators import alerts as rules
 from sparkwarden.operators import shared
 from sparkwarden.operators.enrich import enrich, sample_intel
+from sparkwarden.operators.rearm import _grouped
 from sparkwarden.operators.shared import WINDOWED, _candidate_rows, shared_alerts, shared_firings
 from sparkwarden.plans import batch
 from sparkwarden.plans import catalog as c
@@ -102,8 +104,7 @@ def test_a_failing_rule_leaves_the_others(spark, stored, tmp_path):
         raise ValueError("no such column")
 
     def fails_when_run(events, cfg):
-        from pyspark.sql import functions as F
-
+        
         return rules.brute_force_alerts(events, cfg).withColumn("context", F.raise_error(F.lit("bad row")).cast("string"))
 
     run = batch.run_rules(
@@ -162,3 +163,16 @@ def test_the_folds_read_candidates_only(spark, monkeypatch):
     fired = shared_firings(events_df(spark, rows), cfg, (SCAN_RULE,)).count()
     # the first tenth port comes at 905
     assert fired == len(naive.port_scan(rows, 10, 30)) > 0 and stored[0].where(f"zone = {shared._OWN}").count() == 95
+
+
+def test_folds_read_the_strings_of_a_group_once():
+    """Rows with their group in front are those of the columns, over batches, nulls and groups that go on in the next batch."""
+    columns = {
+        "key": ["a", "a", "a", "b", None, None, "b", "b"], "bucket": [1, 1, 2, 2, 2, 2, None, 3],
+        "ts_us": [1, 2, 3, 4, 5, 6, 7, 8], "port": [None, 5, 5, 6, 7, None, 9, 2], "is_halo": [True, False] * 4,
+    }
+    whole = pa.record_batch(columns)
+    batches = [whole.slice(0, 2), whole.slice(2, 0), whole.slice(2, 1), whole.slice(3, 5)]
+    got = [*_grouped(batches, ("key", "bucket"), ("ts_us", "port", "is_halo"))]
+    assert got == [((k, b), *rest) for k, b, *rest in zip(*columns.values())]
+    assert got[0][0] is got[1][0] and all(type(row[1]) is int for row in got)
