@@ -24,7 +24,7 @@ from sparkwarden.config import DEFAULT_CONFIG, DetectConfig
 from sparkwarden.operators import alerts as rules
 from sparkwarden.operators.evidence import EVIDENCE_FIELDS
 from sparkwarden.operators.joins import BROADCAST_ROWS
-from sparkwarden.operators.rearm import _ENTRY, _HALO, _NONE, _OWN, _emit, _rows, chain_rows, handover_rows
+from sparkwarden.operators.rearm import _ENTRY, _HALO, _NONE, _OWN, _emit, _grouped, _rows, chain_rows, handover_rows
 from sparkwarden.operators.timebuckets import SECOND_US
 from sparkwarden.plans.materialize import materialize
 from sparkwarden.schema import BRUTE_RULE, ESCALATION_RULE, SCAN_RULE
@@ -36,7 +36,8 @@ EVENTS_A_TASK = 100_000
 
 # Zone of a row that only candidates look back at; it comes before all others.
 _BEFORE = -1
-_GROUP = ("rule_name", "key", "bucket")
+# The key first: sorts compare by it, and most rows differ there.
+_GROUP = ("key", "rule_name", "bucket")
 _FOLD_COLS = (*_GROUP, "zone", "ts_us", "event_seq", "q_ts", "q_seq", "port")
 
 
@@ -161,24 +162,33 @@ def _candidate_rows(events: DataFrame, cfg: DetectConfig, only, tasks: int | Non
     )
 
 
-def _candidates(rows, ports: int, scan_us: int):
-    """``(rule, key, bucket, zone, ts, seq, q_ts, q_seq)`` of candidates. A port scan's ``q`` is the last use of the N-th latest
-    distinct port; only the N latest ports are kept."""
+def _candidates(batches, ports: int, scan_us: int):
+    """Of rows for the folds, the candidates. A port scan's ``q`` is the last use of the N-th latest distinct port; only the N latest
+    ports are kept."""
     group, latest = None, OrderedDict()
-    for rule, key, bucket, zone, ts, seq, q_ts, q_seq, port in rows:
-        if port is not None:
-            if group != (key, bucket):
-                group, latest = (key, bucket), OrderedDict()
-            latest.pop(port, None)
-            latest[port] = (ts, seq)
-            if len(latest) > ports:
-                latest.popitem(last=False)
-            if zone == _BEFORE or len(latest) < ports:
-                continue
-            q_ts, q_seq = next(iter(latest.values()))
-            if q_ts < ts - scan_us:
-                continue
-        yield (rule, key, bucket, zone, ts, seq, q_ts, q_seq)
+    for batch in batches:
+        kept, q_times, q_seqs = [], [], []
+        rows = _grouped((batch,), _GROUP, ("zone", "ts_us", "event_seq", "q_ts", "q_seq", "port"))
+        for i, (found, zone, ts, seq, q_ts, q_seq, port) in enumerate(rows):
+            if port is not None:
+                if group != found:
+                    group, latest = found, OrderedDict()
+                latest.pop(port, None)
+                latest[port] = (ts, seq)
+                if len(latest) > ports:
+                    latest.popitem(last=False)
+                if zone == _BEFORE or len(latest) < ports:
+                    continue
+                q_ts, q_seq = next(iter(latest.values()))
+                if q_ts < ts - scan_us:
+                    continue
+            kept.append(i)
+            q_times.append(q_ts)
+            q_seqs.append(q_seq)
+        at = pa.array(kept, pa.int64())
+        of = {"q_ts": pa.array(q_times, pa.int64()), "q_seq": pa.array(q_seqs, pa.int64())}
+        columns = [of[f.name] if f.name in of else batch.column(f.name).take(at).cast(f.type) for f in _CANDIDATE_ARROW]
+        yield pa.RecordBatch.from_arrays(columns, schema=_CANDIDATE_ARROW)
 
 
 def shared_firings(
@@ -196,11 +206,10 @@ def shared_firings(
         return windows[key[0]], factor * windows[key[0]]
 
     def candidates(batches):
-        return _emit(_candidates(_rows(batches, _FOLD_COLS), ports, scan_us), _CANDIDATE_ARROW)
+        return _candidates(batches, ports, scan_us)
 
     def keyed(batches, *more):
-        for rule, key, *rest in _rows(batches, (*names, *more)):
-            yield ((rule, key), *rest)
+        return _grouped(batches, names[:2], (*names[2:], *more))
 
     def handover(batches):
         found = handover_rows(keyed(batches), limits)
@@ -256,7 +265,9 @@ def shared_evidence(
 
     carried = {f"event_{name}": name for name in (*EVIDENCE_FIELDS, "message")}
     rows = copied(_rule_rows(events, cfg, only, carried)).selectExpr(
-        *_GROUP, "ts_us", "event_seq AS seq", "0 AS kind", "window_us", *carried
+        *_GROUP, "ts_us", "event_seq AS seq", "0 AS kind", "window_us",
+        # only an escalation shows the message, that of its sudo
+        *[f"if(rule_name = '{ESCALATION_RULE}', {c}, null) AS {c}" if n == "message" else c for c, n in carried.items()],
     )
     sized = fired.selectExpr(
         "*", f"{_by_rule(windows)} AS window_us", f"{_by_rule({r: cfg.bucket_factor * w for r, w in windows.items()})} AS bucket_us"

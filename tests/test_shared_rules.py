@@ -2,13 +2,14 @@
 
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from sparkwarden.config import DetectConfig
 from sparkwarden.operators import alerts as rules
 from sparkwarden.operators import shared
 from sparkwarden.operators.enrich import enrich, sample_intel
 from sparkwarden.operators.rearm import _grouped
-from sparkwarden.operators.shared import WINDOWED, _candidate_rows, shared_alerts, shared_firings
+from sparkwarden.operators.shared import WINDOWED, _candidate_rows, shared_alerts, shared_evidence, shared_firings
 from sparkwarden.plans import batch
 from sparkwarden.plans import catalog as c
 from sparkwarden.schema import BRUTE_RULE, ESCALATION_RULE, SCAN_RULE
@@ -104,7 +105,8 @@ def test_a_failing_rule_leaves_the_others(spark, stored, tmp_path):
         raise ValueError("no such column")
 
     def fails_when_run(events, cfg):
-        
+        from pyspark.sql import functions as F
+
         return rules.brute_force_alerts(events, cfg).withColumn("context", F.raise_error(F.lit("bad row")).cast("string"))
 
     run = batch.run_rules(
@@ -176,3 +178,11 @@ def test_folds_read_the_strings_of_a_group_once():
     got = [*_grouped(batches, ("key", "bucket"), ("ts_us", "port", "is_halo"))]
     assert got == [((k, b), *rest) for k, b, *rest in zip(*columns.values())]
     assert got[0][0] is got[1][0] and all(type(row[1]) is int for row in got)
+
+
+def test_evidence_carries_the_message_for_escalations_only(spark):
+    ev = events_df(spark, random_events(4, 25, 200, 150, ports=9)).withColumn("message", F.lit("text"))
+    cfg = DetectConfig(brute_threshold=3, brute_window_s=5, scan_threshold=4, scan_window_s=6, escalation_lookback_s=8, bucket_factor=3)
+    flat = shared_evidence(ev, shared_firings(ev, cfg).cache(), cfg)
+    told = {r.rule_name: r.told for r in flat.groupBy("rule_name").agg(F.count("message").alias("told")).collect()}
+    assert set(told) == set(WINDOWED) and [rule for rule, n in told.items() if n] == [ESCALATION_RULE]
