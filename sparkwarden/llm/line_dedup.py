@@ -45,7 +45,8 @@ BANDS, ROWS = 12, 5  # at similarity 0.8 a pair shares a band with probability 0
 FEW = 32
 BLOCK, BLOCK_CHARS = 256, 1 << 18
 MAP_BITS = 1 << 26
-SLICE_CHARS = 1 << 18
+#: Characters whose signatures are made together, so that they stay in a core's cache; it changes no signature.
+SLICE_CHARS = 1 << 17
 #: Characters of pairs that are checked together, and shingles that are compared together.
 CHECK_CHARS, CHECK_SHINGLES = 1 << 18, 1 << 18
 _RNG = np.random.default_rng(11)
@@ -77,14 +78,14 @@ def shingle_hashes(lines: list[str], size: int) -> tuple[np.ndarray, np.ndarray]
     padded = [x.ljust(size, "\0") for x in lines]
     codes = np.frombuffer("".join(padded).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
     lengths = np.fromiter(map(len, padded), np.int64, len(padded))
-    counts = lengths - size + 1
-    first = np.cumsum(counts) - counts
-    at = np.arange(counts.sum()) + np.repeat(np.cumsum(lengths) - lengths - first, counts)
     whole = max(0, len(codes) - size + 1)
-    h = np.zeros(whole, np.uint64)
-    for j in range(size):
-        h += codes[j : j + whole] * _TERMS[j % 64]
-    return mix(h[at]), counts  # without those that reach into the next line
+    h = codes[:whole] * _TERMS[0]
+    term = np.empty_like(h)
+    for j in range(1, size):
+        h += np.multiply(codes[j : j + whole], _TERMS[j % 64], out=term)
+    inside = np.ones(whole, bool)  # but for those that reach into the next line
+    inside[(np.cumsum(lengths)[:-1, None] - np.arange(1, size)).ravel()] = False
+    return mix(h[inside]), lengths - size + 1
 
 
 def band_keys(lines: list[str], size: int, bands: int, rows: int) -> np.ndarray:
@@ -99,12 +100,15 @@ def band_keys(lines: list[str], size: int, bands: int, rows: int) -> np.ndarray:
         h, counts = shingle_hashes(part, size)
         first = np.cumsum(counts) - counts
         h32 = (h >> np.uint64(32)).astype(np.uint32)
-        for b in range(bands):
-            key = np.full(len(part), b + 1, np.uint64)
-            for r in range(b * rows, b * rows + rows):
-                least = np.minimum.reduceat((h32 * _TIMES[r]) ^ _FLIPS[r], first)
-                key = mix(key * np.uint64(31) + least)
-            out[k : k + len(part), b] = key.view(np.int64)
+        turned, least = np.empty_like(h32), np.empty((bands * rows, len(part)), np.uint64)
+        for r in range(bands * rows):
+            np.multiply(h32, _TIMES[r], out=turned)
+            np.bitwise_xor(turned, _FLIPS[r], out=turned)
+            least[r] = np.minimum.reduceat(turned, first)
+        key = np.repeat(np.arange(1, bands + 1, dtype=np.uint64)[:, None], len(part), axis=1)
+        for r in range(rows):  # of all bands at once
+            key = mix(key * np.uint64(31) + least[r::rows])
+        out[k : k + len(part)] = key.view(np.int64).T
         k += len(part)
     return out
 
