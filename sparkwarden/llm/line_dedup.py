@@ -5,13 +5,14 @@ characters, or the whole line if it is shorter. Two different lines link if the
 least ``similarity``. Lines that are equal after that folding are one line from the start.
 
 1. One pass makes ``(row, line, hash, bands)``; bands stand only where a line appears first in a batch.
-2. Band keys are sorted; lines that share a key are candidates. Each line is first paired with one line of its key, so
-   that there are fewer pairs than band keys, however many lines a key has.
+2. Lines that share a band key are candidates. Keys and hashes travel in arrays, one row for those of many lines that go to one
+   bucket of keys, and a task sorts its buckets' arrays. Each line is first paired with one line of its key, so that there are
+   fewer pairs than band keys, however many lines a key has.
 3. Candidates' texts are read again, and Jaccard similarity is computed exactly, from arrays of shingle hashes. The links
    give components; a near-copy group usually is one already.
 4. What is left are pairs inside a key whose lines are in different components. Keys with few lines give these pairs. In a key
    with many, lines lie in blocks ordered by component, bounded in lines and characters; blocks of one and the same component
-   need no comparison, and each other pair of blocks is a group of its own.
+   need no comparison, and each other pair of blocks is a group of its own, whose common shingles are a matrix product.
 5. Components of all links keep the line that stands first by ``(doc_id, row, line)``; all others are removed.
 
 Only hashes are shuffled for all lines; texts only for candidates. To find them again, the second pass uses a bit map of
@@ -46,9 +47,13 @@ FEW = 32
 BLOCK, BLOCK_CHARS = 256, 1 << 18
 MAP_BITS = 1 << 26
 #: Characters whose signatures are made together, so that they stay in a core's cache; it changes no signature.
-SLICE_CHARS = 1 << 17
+SLICE_CHARS = 1 << 16
 #: Characters of pairs that are checked together, and shingles that are compared together.
 CHECK_CHARS, CHECK_SHINGLES = 1 << 18, 1 << 18
+#: Columns of the matrix that compares blocks.
+COLUMNS = 2048
+#: Band keys that are dealt to buckets together, and band keys that one task is to sort; it has some buckets, so that tasks are even.
+DEAL_KEYS, TASK_KEYS, TASK_BUCKETS = 1 << 18, 1 << 21, 8
 _RNG = np.random.default_rng(11)
 _TERMS = _RNG.integers(1, 2**63, 64, dtype=np.uint64) | np.uint64(1)
 _TIMES = (_RNG.integers(1, 2**31, 1024, dtype=np.uint32) << np.uint32(1)) | np.uint32(1)
@@ -56,7 +61,11 @@ _FLIPS = _RNG.integers(0, 2**32, 1024, dtype=np.uint32)
 
 
 def fold(line: str) -> str:
-    return " ".join(line.lower().split())
+    low = line.lower()
+    # the only white space that is printable is the space
+    if low.isprintable() and "  " not in low and not low.startswith(" ") and not low.endswith(" "):
+        return low
+    return " ".join(low.split())
 
 
 def line_hash(folded: str) -> int:
@@ -130,6 +139,24 @@ class ShingleSets:
         self.counts = np.bincount((marked >> (np.uint64(64) - bits)).astype(np.int64), minlength=len(lines))
         self.starts = np.cumsum(self.counts) - self.counts
 
+    def alike_blocks(self, a: slice, b: slice, similarity: float) -> np.ndarray:
+        """Which lines of ``a`` have a Jaccard similarity of at least ``similarity`` with which lines of ``b``, as a matrix; it says
+        nothing of a line and itself."""
+        order = np.argsort(self.hashes)
+        line, h = np.repeat(np.arange(len(self.counts)), self.counts)[order], self.hashes[order]
+        number = np.cumsum(np.append(True, h[1:] != h[:-1])) - 1
+        shared = np.bincount(number) > 1  # others are common to no two lines
+        line, number = line[shared[number]], (np.cumsum(shared) - 1)[number[shared[number]]]
+        cuts = np.searchsorted(number, np.arange(0, np.count_nonzero(shared) + COLUMNS, COLUMNS))
+        sizes, others = self.counts[a][:, None], self.counts[b][None, :]
+        common = np.zeros((sizes.shape[0], others.shape[1]))
+        for k in range(len(cuts) - 1):
+            has = np.zeros((len(self.counts), COLUMNS), np.float32)
+            has[line[cuts[k] : cuts[k + 1]], number[cuts[k] : cuts[k + 1]] - k * COLUMNS] = 1
+            common += has[a] @ has[b].T
+        fits = np.minimum(sizes, others) >= similarity * np.maximum(sizes, others)
+        return fits & (common / (sizes + others - common) >= similarity)
+
     def alike(self, a: np.ndarray, b: np.ndarray, similarity: float) -> np.ndarray:
         """Which pairs of lines have a Jaccard similarity of at least ``similarity``."""
         out = np.zeros(len(a), bool)
@@ -192,20 +219,66 @@ def _lines(size: int, bands: int, rows: int):
     return run
 
 
-def _with_first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by key: ``(key, a, b)``, each further line of a key with the one that comes first."""
-    key, first = None, 0
-    for batch in batches:
-        k, h = batch.column("key").to_numpy(), batch.column("h").to_numpy()
-        if not len(k):
-            continue
+def _dealt(buckets: int):
+    """Band keys and their lines in arrays, one row for each bucket of keys."""
+
+    def deal(held: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        keys, h = np.concatenate([k for k, _ in held]), np.concatenate([h for _, h in held])
+        # numpy sorts numbers of 16 bits by their digits
+        bucket = (keys.view(np.uint64) % np.uint64(buckets)).astype(np.uint16 if buckets <= 1 << 16 else np.int32)
+        order = np.argsort(bucket, kind="stable")
+        sizes = np.bincount(bucket, minlength=buckets)
+        some = np.flatnonzero(sizes)
+        bounds = pa.array(np.append(0, np.cumsum(sizes[some])).astype(np.int32))
+        lists = [pa.ListArray.from_arrays(bounds, pa.array(x[order])) for x in (keys, h)]
+        return pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), *lists], names=["bucket", "keys", "hs"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        for batch in batches:
+            bands = batch.column("bands")
+            keys = bands.flatten().to_numpy()
+            each = pc.fill_null(pc.list_value_length(bands), 0).to_numpy()
+            held.append((keys, np.repeat(batch.column("h").to_numpy(), each)))
+            if sum(len(k) for k, _ in held) >= DEAL_KEYS:
+                yield deal(held)
+                held = []
+        if sum(len(k) for k, _ in held):
+            yield deal(held)
+
+    return run
+
+
+def _with_first(most: int):
+    """Of band keys in arrays: ``(key, a, b)``, each further line of a key with the one that comes first.
+
+    Whenever more than ``most`` keys have come in, all but the first line of each key are given out, so that a task never holds all
+    lines of a frequent key."""
+
+    def paired(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[tuple[np.ndarray, np.ndarray], pa.RecordBatch]:
+        k, h = np.concatenate([k for k, _ in held]), np.concatenate([h for _, h in held])
+        order = np.argsort(k)
+        k = k[order]
         starts = np.append(True, k[1:] != k[:-1])
-        starts[0] = key is None or k[0] != key
-        run = np.cumsum(starts)  # 0: the run of the batch before
-        firsts = np.append(first, h[starts])[run]
-        more = ~starts & (h != firsts)
-        yield pa.RecordBatch.from_arrays([pa.array(k[more]), pa.array(firsts[more]), pa.array(h[more])], names=["key", "a", "b"])
-        key, first = k[-1], firsts[-1]
+        first = h[np.minimum.reduceat(order, np.flatnonzero(starts))]  # a line that was kept stands before the new ones
+        firsts, others = first[np.cumsum(starts) - 1], h[order]
+        more = others != firsts
+        out = [pa.array(x[more]) for x in (k, firsts, others)]
+        return (k[starts], first), pa.RecordBatch.from_arrays(out, names=["key", "a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, new = [], 0
+        for batch in batches:
+            held.append((batch.column("keys").flatten().to_numpy(), batch.column("hs").flatten().to_numpy()))
+            new += len(held[-1][0])
+            if new > most:
+                kept, out = paired(held)
+                held, new = [kept], 0
+                yield out
+        if new:
+            yield paired(held)[1]
+
+    return run
 
 
 def _in_blocks(most: int, most_chars: int):
@@ -285,12 +358,14 @@ def _check_blocks(size: int, similarity: float):
 
     def links(rows: list[tuple[int, int, int, str]], two: bool) -> pa.RecordBatch:
         block, h, component = (np.array([r[i] for r in rows], np.int64) for i in range(3))
-        sets = ShingleSets([r[3] for r in rows], size)
+        # if two blocks meet, each line of the second against those of the first, else against those before it
+        second = int(np.searchsorted(block, block[-1])) if two else 0
+        others = slice(0, second or len(rows))
+        good = ShingleSets([r[3] for r in rows], size).alike_blocks(slice(second, len(rows)), others, similarity)
         found: tuple[list[int], list[int]] = [], []
-        for i in range(len(rows)):
-            # one line against those before it, if two blocks meet then of the other block
-            others = np.flatnonzero((component[:i] != component[i]) & ((block[:i] != block[i]) | (not two)))
-            hit = others[sets.alike(np.full(len(others), i), others, similarity)]
+        for i in range(second, len(rows)):
+            before = second or i
+            hit = np.flatnonzero(good[i - second, :before] & (component[:before] != component[i]))
             for j in hit[np.unique(component[hit], return_index=True)[1]]:
                 found[0].append(int(h[j]))
                 found[1].append(int(h[i]))
@@ -340,12 +415,13 @@ def _block_tasks(large: DataFrame) -> DataFrame:
     return ends.join(placed, ["key", "block"])
 
 
-def line_links(docs: DataFrame, lines: DataFrame, shingle: int, similarity: float) -> DataFrame:
+def line_links(docs: DataFrame, lines: DataFrame, shingle: int, similarity: float, bands: int = BANDS) -> DataFrame:
     """Links ``(a, b)`` of line hashes that connect what similar lines connect."""
-    postings = lines.select(F.explode("bands").alias("key"), "h")
-    # by one number, which Spark sorts by its digits; which line of a key comes first changes no component
-    ordered = postings.repartition("key").sortWithinPartitions("key")
-    found = cut(ordered.mapInArrow(_with_first, "key long, a long, b long"))
+    firsts = lines.where("bands IS NOT NULL").select("h", "bands")
+    tasks = max(lines.sparkSession.sparkContext.defaultParallelism, -(-lines.count() * bands // TASK_KEYS))
+    dealt = firsts.mapInArrow(_dealt(tasks * TASK_BUCKETS), "bucket int, keys array<long>, hs array<long>")
+    # which line of a key comes first changes no component
+    found = cut(dealt.repartition(tasks, "bucket").mapInArrow(_with_first(TASK_KEYS), "key long, a long, b long"))
     pairs = cut(found.select("a", "b").distinct())
     hashes = cut(pairs.select(F.explode(F.array("a", "b")).alias("h")).distinct())
     texts = cut(_texts(docs, hashes))
@@ -370,7 +446,7 @@ def line_links(docs: DataFrame, lines: DataFrame, shingle: int, similarity: floa
 def _removed(plain: DataFrame, shingle: int, similarity: float, bands: int, rows: int) -> DataFrame:
     """``(row, removed)``: the line numbers to remove, for the rows of ``plain(doc_id, text, row)`` that lose any."""
     lines = cut(plain.mapInArrow(_lines(shingle, bands, rows), "doc_id long, row long, line int, h long, bands array<long>"))
-    group = components(line_links(plain, lines, shingle, similarity)).select(F.col("node").alias("h"), "component")
+    group = components(line_links(plain, lines, shingle, similarity, bands)).select(F.col("node").alias("h"), "component")
     place = F.struct("doc_id", "row", "line")
     firsts = lines.groupBy("h").agg(F.min(place).alias("first"), F.count("*").alias("n"))
     firsts = cut(firsts.join(group, "h", "left").where("component IS NOT NULL OR n > 1"))
@@ -402,7 +478,8 @@ def dedup_lines(
     left = F.filter(parts, lambda _, i: ~F.array_contains(gone, i))
     if report:
         listed = F.coalesce(gone, F.array().cast("array<int>"))
-        n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.size(parts))
+        ends = F.octet_length("text") - F.octet_length(F.replace("text", F.lit("\n"), F.lit("")))
+        n_lines = F.coalesce(ends + 1, F.lit(0))
         out = out.withColumns({"n_lines": n_lines, "n_removed": F.size(listed), "removed": listed})
     out = out.withColumn("text", F.when(F.col(gone).isNull(), F.col("text")).otherwise(F.array_join(left, "\n")))
     if "n_chars" in docs.columns:

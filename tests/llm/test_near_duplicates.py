@@ -194,6 +194,51 @@ def test_a_large_family_gives_no_blocks(spark):
     lines.unpersist()
 
 
+def test_blocks_of_shingle_sets_equal_python_sets(monkeypatch):
+    monkeypatch.setattr(line_dedup, "COLUMNS", 7)
+    rng = random.Random(10)
+    lines = ["".join(rng.choice("ab ") for _ in range(rng.randrange(1, 60))) for _ in range(60)] + ["é漢🙂" * 20, "x", "y" * 3000]
+    lines += [x[:-1] + "z" for x in lines[:30]] + lines[:2]
+    sets = [line_dedup.shingles(x, 6) for x in lines]
+    held = line_dedup.ShingleSets(lines, 6)
+    for at in (slice(0, 50), slice(50, len(lines))):
+        got = held.alike_blocks(slice(50, len(lines)), at, 0.8)
+        np.fill_diagonal(got, got.diagonal() | (at.start == 50))  # a line with itself is not told
+        assert got.tolist() == [[line_dedup.jaccard(a, b) >= 0.8 for b in sets[at]] for a in sets[50:]]
+    assert got.sum() > 45
+    assert not line_dedup.ShingleSets(["one", "two"], 6).alike_blocks(slice(0, 1), slice(1, 2), 0.8).any()
+
+
+def test_band_keys_travel_in_arrays_and_meet_one_line_of_their_key(spark, monkeypatch):
+    """Far fewer rows than band keys are shuffled, and a task that gives out its lines bit by bit keeps the first of each key."""
+    monkeypatch.setattr(line_dedup, "DEAL_KEYS", 500)
+    rng = random.Random(14)
+    rows = [(h, [k * 10**15 for k in rng.sample(range(-40, 400), 3)] + [77]) for h in range(2000)] + [(5, [77]), (9000, [])]
+    df = spark.createDataFrame(rows, "h long, bands array<long>").repartition(4)
+    dealt = df.mapInArrow(line_dedup._dealt(10), "bucket int, keys array<long>, hs array<long>").collect()
+    assert len(dealt) < 300
+    expected, found = {}, {}
+    for h, keys in rows:
+        for key in keys:
+            expected.setdefault(key, set()).add(h)
+    posted = [(key, h) for r in dealt for key, h in zip(r.keys, r.hs, strict=True)]
+    assert sorted(posted) == sorted((key, h) for h, keys in rows for key in keys)
+    assert len({(key, r.bucket) for r in dealt for key in r.keys}) == len(expected)
+    parts = spark.createDataFrame(dealt, "bucket int, keys array<long>, hs array<long>").repartition(2, "bucket")
+    for r in parts.mapInArrow(line_dedup._with_first(300), "key long, a long, b long").collect():
+        assert r.a != r.b
+        found.setdefault(r.key, set()).add((r.a, r.b))
+    assert all(len({a for a, _ in pairs}) == 1 for pairs in found.values())
+    assert {key: {x for pair in pairs for x in pair} for key, pairs in found.items()} == {k: h for k, h in expected.items() if len(h) > 1}
+
+
+def test_fold_of_white_space_and_case():
+    rng = random.Random(15)
+    for _ in range(3000):
+        line = "".join(rng.choice(["a", "B", "Σ", "İ", " ", "  ", "\t", "\xa0", "\u3000", "\x1c", "\x85", "\u200b", "é", "1"]) for _ in range(rng.randrange(6)))
+        assert line_dedup.fold(line) == " ".join(line.lower().split())
+
+
 def test_line_dedup_of_nothing(spark):
     df = spark.createDataFrame([], "doc_id long, text string, removed int")
     assert line_dedup.dedup_lines(df).count() == 0
