@@ -53,7 +53,7 @@ CHECK_CHARS, CHECK_SHINGLES = 1 << 18, 1 << 18
 #: Columns of the matrix that compares blocks.
 COLUMNS = 2048
 #: Band keys that are dealt to buckets together, and band keys that one task is to sort; it has some buckets, so that tasks are even.
-DEAL_KEYS, TASK_KEYS, TASK_BUCKETS = 1 << 18, 1 << 21, 8
+DEAL_KEYS, TASK_KEYS, TASK_BUCKETS = 1 << 19, 1 << 19, 4
 _RNG = np.random.default_rng(11)
 _TERMS = _RNG.integers(1, 2**63, 64, dtype=np.uint64) | np.uint64(1)
 _TIMES = (_RNG.integers(1, 2**31, 1024, dtype=np.uint32) << np.uint32(1)) | np.uint32(1)
