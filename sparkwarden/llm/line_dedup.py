@@ -6,7 +6,7 @@ least ``similarity``. Lines that are equal after that folding are one line from
 
 1. One pass makes ``(row, line, hash, bands)``; bands stand only where a line appears first in a batch.
 2. Lines that share a band key are candidates. Keys and hashes travel in arrays, one row for those of many lines that go to one
-   bucket of keys, and a task sorts its buckets' arrays. Each line is first paired with one line of its key, so that there are
+   bucket of keys, as bytes, and a task sorts its buckets' arrays. Each line is first paired with one line of its key, so that there are
    fewer pairs than band keys, however many lines a key has.
 3. Candidates' texts are read again, and Jaccard similarity is computed exactly, from arrays of shingle hashes. The links
    give components; a near-copy group usually is one already.
@@ -54,6 +54,8 @@ CHECK_CHARS, CHECK_SHINGLES = 1 << 18, 1 << 18
 COLUMNS = 2048
 #: Band keys that are dealt to buckets together, and band keys that one task is to sort; it has some buckets, so that tasks are even.
 DEAL_KEYS, TASK_KEYS, TASK_BUCKETS = 1 << 19, 1 << 19, 4
+#: White space but for the space and the line feed.
+ODD_SPACE = "".join(c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n")
 _RNG = np.random.default_rng(11)
 _TERMS = _RNG.integers(1, 2**63, 64, dtype=np.uint64) | np.uint64(1)
 _TIMES = (_RNG.integers(1, 2**31, 1024, dtype=np.uint32) << np.uint32(1)) | np.uint32(1)
@@ -68,6 +70,14 @@ def fold(line: str) -> str:
     return " ".join(low.split())
 
 
+def folded_lines(text: str) -> list[str]:
+    """Each line of ``text`` as :func:`fold` gives it; a text without odd white space is lower-cased and cut as a whole."""
+    low = text.lower()
+    if "  " in low or any(c in low for c in ODD_SPACE):
+        return [" ".join(x.split()) for x in low.split("\n")]
+    return [x.strip(" ") for x in low.split("\n")]
+
+
 def line_hash(folded: str) -> int:
     value = xxhash.xxh64_intdigest(folded.encode("utf-8", "replace"))
     return value - (1 << 64) if value >= 1 << 63 else value
@@ -185,13 +195,39 @@ def _marked(number: np.ndarray, h: np.ndarray, most: int) -> np.ndarray:
     return (number.astype(np.uint64) << (np.uint64(64) - bits)) | (h >> bits)
 
 
+def _as_bytes(run, *names: str):
+    """``run`` with its columns ``names``, arrays of longs, as bytes: Spark copies these whole, an array value by value."""
+
+    def packed(lists: pa.ListArray) -> pa.Array:
+        ends = pa.py_buffer((lists.offsets.to_numpy() * 8).astype(np.int32))
+        valid = lists.is_valid().buffers()[1] if lists.null_count else None
+        return pa.Array.from_buffers(pa.binary(), len(lists), [valid, ends, pa.py_buffer(lists.values.to_numpy())])
+
+    def packing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in run(batches):
+            columns = [packed(c) if n in names else c for n, c in zip(batch.schema.names, batch.columns, strict=True)]
+            yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
+
+    return packing
+
+
+def _longs(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """All longs of a column of arrays, or of their bytes, and their number per row."""
+    if not pa.types.is_binary(column.type):
+        return column.flatten().to_numpy(), pc.fill_null(pc.list_value_length(column), 0).to_numpy()
+    ends = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+    if not len(column) or ends[0] == ends[-1]:
+        return np.empty(0, np.int64), np.zeros(len(column), np.int64)
+    return np.frombuffer(column.buffers()[2], np.int64, (ends[-1] - ends[0]) // 8, ends[0]), np.diff(ends) // 8
+
+
 def _lines(size: int, bands: int, rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at, no, hashes, new = [], [], [], {}
             for i, text in enumerate(batch.column("text").to_pylist()):
-                for n, line in enumerate((text or "").split("\n")):
-                    if folded := fold(line):
+                for n, folded in enumerate(folded_lines(text or "")):
+                    if folded:
                         h = line_hash(folded)
                         if h not in new:
                             new[h] = (len(at), folded)
@@ -236,9 +272,7 @@ def _dealt(buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
         for batch in batches:
-            bands = batch.column("bands")
-            keys = bands.flatten().to_numpy()
-            each = pc.fill_null(pc.list_value_length(bands), 0).to_numpy()
+            keys, each = _longs(batch.column("bands"))
             held.append((keys, np.repeat(batch.column("h").to_numpy(), each)))
             if sum(len(k) for k, _ in held) >= DEAL_KEYS:
                 yield deal(held)
@@ -269,7 +303,7 @@ def _with_first(most: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, new = [], 0
         for batch in batches:
-            held.append((batch.column("keys").flatten().to_numpy(), batch.column("hs").flatten().to_numpy()))
+            held.append((_longs(batch.column("keys"))[0], _longs(batch.column("hs"))[0]))
             new += len(held[-1][0])
             if new > most:
                 kept, out = paired(held)
@@ -322,7 +356,7 @@ def _texts(docs: DataFrame, hashes: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            folded = list({f for t in batch.column("text").to_pylist() if t for x in t.split("\n") if (f := fold(x))})
+            folded = list({f for t in batch.column("text").to_pylist() if t for f in folded_lines(t) if f})
             h = np.fromiter(map(line_hash, folded), np.int64, len(folded))
             at = _bit(h)
             hit = np.flatnonzero(held.value[at >> 5] >> (at & 31).astype(np.uint32) & np.uint32(1))
@@ -363,7 +397,8 @@ def _check_blocks(size: int, similarity: float):
         others = slice(0, second or len(rows))
         good = ShingleSets([r[3] for r in rows], size).alike_blocks(slice(second, len(rows)), others, similarity)
         found: tuple[list[int], list[int]] = [], []
-        for i in range(second, len(rows)):
+        new = good & (component[others] != component[second:, None])  # components only become fewer
+        for i in (second + np.flatnonzero(new.any(axis=1))).tolist():
             before = second or i
             hit = np.flatnonzero(good[i - second, :before] & (component[:before] != component[i]))
             for j in hit[np.unique(component[hit], return_index=True)[1]]:
@@ -419,7 +454,8 @@ def line_links(docs: DataFrame, lines: DataFrame, shingle: int, similarity: floa
     """Links ``(a, b)`` of line hashes that connect what similar lines connect."""
     firsts = lines.where("bands IS NOT NULL").select("h", "bands")
     tasks = max(lines.sparkSession.sparkContext.defaultParallelism, -(-lines.count() * bands // TASK_KEYS))
-    dealt = firsts.mapInArrow(_dealt(tasks * TASK_BUCKETS), "bucket int, keys array<long>, hs array<long>")
+    deal = _as_bytes(_dealt(tasks * TASK_BUCKETS), "keys", "hs")
+    dealt = firsts.mapInArrow(deal, "bucket int, keys binary, hs binary")
     # which line of a key comes first changes no component
     found = cut(dealt.repartition(tasks, "bucket").mapInArrow(_with_first(TASK_KEYS), "key long, a long, b long"))
     pairs = cut(found.select("a", "b").distinct())
@@ -445,7 +481,8 @@ def line_links(docs: DataFrame, lines: DataFrame, shingle: int, similarity: floa
 
 def _removed(plain: DataFrame, shingle: int, similarity: float, bands: int, rows: int) -> DataFrame:
     """``(row, removed)``: the line numbers to remove, for the rows of ``plain(doc_id, text, row)`` that lose any."""
-    lines = cut(plain.mapInArrow(_lines(shingle, bands, rows), "doc_id long, row long, line int, h long, bands array<long>"))
+    found = _as_bytes(_lines(shingle, bands, rows), "bands")
+    lines = cut(plain.mapInArrow(found, "doc_id long, row long, line int, h long, bands binary"))
     group = components(line_links(plain, lines, shingle, similarity, bands)).select(F.col("node").alias("h"), "component")
     place = F.struct("doc_id", "row", "line")
     firsts = lines.groupBy("h").agg(F.min(place).alias("first"), F.count("*").alias("n"))
@@ -473,7 +510,9 @@ def dedup_lines(
     row, gone = free_name(docs, "row"), free_name(docs, "removed")
     keyed = docs.withColumn(row, F.xxhash64("doc_id", "text"))
     drop = _removed(keyed.select("doc_id", "text", F.col(row).alias("row")), shingle, similarity, bands, rows)
-    out = keyed.join(drop.select(F.col("row").alias(row), F.col("removed").alias(gone)), row, "left").drop(row)
+    # the line numbers of a partition's rows are few beside its texts, which are not to be sorted
+    found = drop.select(F.col("row").alias(row), F.col("removed").alias(gone)).hint("shuffle_hash")
+    out = keyed.join(found, row, "left").drop(row)
     parts = F.split("text", "\n", -1)
     left = F.filter(parts, lambda _, i: ~F.array_contains(gone, i))
     if report:

@@ -2,8 +2,10 @@
 
 import itertools
 import random
+import sys
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -302,3 +304,40 @@ def test_forest_connects_what_links_connect():
 def test_queries_carry_every_row(spark, sf_dir):
     assert queries.QUERIES["op3_simhash"](spark, sf_dir).count() == spark.read.parquet(f"{sf_dir}/documents.parquet").count()
     assert queries.QUERIES["op9_metric_join"](spark, sf_dir).count() == spark.read.parquet(f"{sf_dir}/embeddings.parquet").count()
+
+
+def test_lines_of_a_text_fold_like_single_lines():
+    rng = random.Random(16)
+    signs = ["a", "B", "Σ", "İ", "ß", " ", " ", "\n", "\n", "\t", "\r", "\xa0", "　", "\x1c", "\x85", "​", " ", "é", "\ud800"]
+    for k in range(4000):
+        text = "".join(rng.choice(signs[: 9 if k % 2 else None]) for _ in range(rng.randrange(12)))
+        assert line_dedup.folded_lines(text) == [line_dedup.fold(x) for x in text.split("\n")]
+    assert set(line_dedup.ODD_SPACE) | set(" \n") == {c for c in map(chr, range(sys.maxunicode + 1)) if c.isspace()}
+
+
+def test_longs_travel_as_bytes():
+    """Arrays of longs and their bytes say the same, with nulls, empty rows and parts of a batch; both forms of lines give the same links."""
+    rows = [[1, -(2**63)], None, [], [2**63 - 1], None, [5, 6, 7]]
+    plain = pa.record_batch({"n": pa.array(range(6)), "x": pa.array(rows, pa.list_(pa.int64()))})
+    for batch in (plain, plain.slice(1, 4), plain.slice(1, 2), plain.slice(0, 0)):
+        (packed,) = line_dedup._as_bytes(lambda b: b, "x")(iter([batch]))
+        assert pa.types.is_binary(packed.column("x").type) and packed.column("n").equals(batch.column("n"))
+        assert packed.column("x").null_count == batch.column("x").null_count
+        for part in (packed, packed.slice(1)):
+            want = rows if batch is plain else batch.column("x").to_pylist()
+            want = want[1:] if part is not packed else want
+            values, sizes = line_dedup._longs(part.column("x"))
+            assert values.tolist() == [v for r in want for v in r or []] and sizes.tolist() == [len(r or []) for r in want]
+
+
+def test_lines_and_band_keys_are_stored_as_bytes(spark, monkeypatch):
+    """What is written for all lines and dealt to buckets has no array that Spark copies value by value, and texts are not sorted."""
+    stored, store = [], line_dedup.cut
+    monkeypatch.setattr(line_dedup, "cut", lambda df: stored.append(df) or store(df))
+    df = spark.createDataFrame([(k, f"the very same line of text\nline number {k}, of its own") for k in range(40)], "doc_id long, text string")
+    out = line_dedup.dedup_lines(df)
+    assert sum(r.n_removed for r in out.collect()) >= 39
+    kinds = {(f.name, f.dataType.simpleString()) for d in stored for f in d.schema.fields}
+    assert ("bands", "binary") in kinds and not any(kind == "array<bigint>" for _, kind in kinds)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "ShuffledHashJoin" in plan and "SortMergeJoin" not in plan
