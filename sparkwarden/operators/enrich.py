@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkwarden.operators.joins import BROADCAST_ROWS, lookup_join
+from sparkwarden.operators.joins import LOOKUP_ROWS, lookup_join
 from sparkwarden.plans.materialize import materialize
 from sparkwarden.schema import INTEL_TYPE
 
@@ -22,7 +22,7 @@ def sample_intel(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(list(SAMPLE_INTEL), "ip string, reputation_score int, tags array<string>")
 
 
-def enrich(events: DataFrame, intel: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
+def enrich(events: DataFrame, intel: DataFrame, max_rows: int = LOOKUP_ROWS) -> DataFrame:
     """Add ``intel``; sources that are unknown or null get score 0, no tags and ``malicious = false``.
 
     Of several rows of one ``ip`` the one with the highest score counts, of equal scores the one whose tags sort last, so

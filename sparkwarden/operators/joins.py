@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 # Rows of a lookup table that are sent to every task at most; about 100 bytes each.
 BROADCAST_ROWS = 200_000
+# The same for a table that is looked up: beyond, all facts are shuffled.
+LOOKUP_ROWS = 500_000
 
 
 def lookup_join(
@@ -14,7 +16,7 @@ def lookup_join(
     dim: DataFrame,
     key: str,
     spread: str = "event_seq",
-    max_rows: int = BROADCAST_ROWS,
+    max_rows: int = LOOKUP_ROWS,
     salts: int = 32,
 ) -> DataFrame:
     """``facts`` left-joined with ``dim`` (one row per ``key``).
@@ -29,7 +31,8 @@ def lookup_join(
 
 
 def salted_join(facts: DataFrame, dim: DataFrame, key: str, spread: str = "event_seq", salts: int = 32) -> DataFrame:
-    """The shuffled form of :func:`lookup_join`, which needs no look at ``dim``."""
+    """The shuffled form of :func:`lookup_join`, which needs no look at ``dim``. Spark's guess of a size takes no account of the
+    repeated rows; they are never to be broadcast."""
     salted = facts.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int"))
     repeated = dim.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return salted.join(repeated, [key, "_salt"], "left").drop("_salt")
+    return salted.join(repeated.hint("merge"), [key, "_salt"], "left").drop("_salt")

@@ -33,6 +33,9 @@ WINDOWED = (BRUTE_RULE, SCAN_RULE, ESCALATION_RULE)
 
 # Events whose narrow rows one task sorts; some 3 rows an event and three sorts at once take about 1.5 kB an event.
 EVENTS_A_TASK = 100_000
+# Up to so many partitions Spark's writers pass each row on to a file; beyond (spark.shuffle.sort.bypassMergeThreshold) they hold
+# the rows of the file they read in memory, which for a few large files is far more than what a task sorts.
+MOST_TASKS = 200
 
 # Zone of a row that only candidates look back at; it comes before all others.
 _BEFORE = -1
@@ -99,10 +102,10 @@ def _rule_rows(events: DataFrame, cfg: DetectConfig, only, carried: dict[str, st
 
 
 def task_count(events: DataFrame) -> int | None:
-    """Tasks for the exchanges of ``events``, so that what one task sorts does not grow with the feed; none if Spark may choose, as
-    a single task would do."""
+    """Tasks for the exchanges of ``events``, so that what one task sorts does not grow with the feed up to ``MOST_TASKS`` of them, and
+    then by its share of the feed; none if Spark may choose, as a single task would do."""
     n = -(-events.count() // EVENTS_A_TASK)
-    return max(n, events.sparkSession.sparkContext.defaultParallelism) if n > 1 else None
+    return max(min(n, MOST_TASKS), events.sparkSession.sparkContext.defaultParallelism) if n > 1 else None
 
 
 def _deal(df: DataFrame, tasks: int | None) -> DataFrame:

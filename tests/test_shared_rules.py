@@ -8,6 +8,7 @@ from sparkwarden.config import DetectConfig
 from sparkwarden.operators import alerts as rules
 from sparkwarden.operators import shared
 from sparkwarden.operators.enrich import enrich, sample_intel
+from sparkwarden.operators.joins import salted_join
 from sparkwarden.operators.rearm import _grouped
 from sparkwarden.operators.shared import WINDOWED, _candidate_rows, shared_alerts, shared_evidence, shared_firings
 from sparkwarden.plans import batch
@@ -186,3 +187,21 @@ def test_evidence_carries_the_message_for_escalations_only(spark):
     flat = shared_evidence(ev, shared_firings(ev, cfg).cache(), cfg)
     told = {r.rule_name: r.told for r in flat.groupBy("rule_name").agg(F.count("message").alias("told")).collect()}
     assert set(told) == set(WINDOWED) and [rule for rule, n in told.items() if n] == [ESCALATION_RULE]
+
+
+def test_no_task_count_beyond_what_writers_pass_on(spark, monkeypatch):
+    """Spark's writers hold rows in memory beyond 200 partitions (spark.shuffle.sort.bypassMergeThreshold), as many as a task reads."""
+    ev = events_df(spark, random_events(4, 25, 200, 150, ports=9))
+    monkeypatch.setattr(shared, "EVENTS_A_TASK", ev.count() // 1000)
+    assert shared.task_count(ev) == 200
+
+
+def test_rows_repeated_for_salts_are_not_broadcast(spark):
+    """Whatever size Spark guesses for a lookup table, its 32 copies are dealt out, and the rows are those of the plain join."""
+    facts = events_df(spark, random_events(5, 6, 20, 50))
+    dim = facts.select("source_ip").distinct().where("source_ip IS NOT NULL").withColumn("score", F.length("source_ip"))
+    got = salted_join(facts.select("event_seq", "source_ip"), dim, "source_ip")
+    want = facts.select("event_seq", "source_ip").join(dim, "source_ip", "left")
+    assert shown(got) == shown(want.select(*got.columns)) != []
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
