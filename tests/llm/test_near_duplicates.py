@@ -288,6 +288,66 @@ def test_metric_join(spark, monkeypatch):
     assert metric_join.near_duplicates(df.limit(0)).count() == 0
 
 
+def linked_by_brute_force(x: np.ndarray) -> tuple[np.ndarray, list[int]]:
+    unit = x.astype(float) / np.linalg.norm(x.astype(float), axis=1)[:, None]
+    linked = unit @ unit.T >= 0.95
+    np.fill_diagonal(linked, False)
+    root = reach(range(len(x)), [(int(a), int(b)) for a, b in zip(*np.nonzero(linked), strict=True)])
+    return linked.sum(axis=1), [root[k] for k in range(len(x))]
+
+
+def test_metric_join_stores_vectors_once(spark, monkeypatch):
+    """In many dimensions nearly every vector is a boundary copy of most cells; no copy is written, nor a vector for each block it meets."""
+    monkeypatch.setattr(metric_join, "CELL_ROWS", 100)
+    monkeypatch.setattr(metric_join, "BLOCK_ROWS", 50)
+    written, stored = [], metric_join.cut
+
+    def recorded(df):
+        out = stored(df)
+        sizes = [F.octet_length(c) for c, kind in out.dtypes if kind == "binary"] + [F.size(c) * 4 for c, kind in out.dtypes if kind == "array<float>"]
+        written.extend(out.select(F.sum(size)).first()[0] or 0 for size in sizes)
+        return out
+
+    monkeypatch.setattr(metric_join, "cut", recorded)
+    rng = np.random.default_rng(11)
+    x = rng.standard_normal((2000, 64))
+    x = np.concatenate([x, x[:100] + 0.02 * rng.standard_normal((100, 64)), x[:1] + 0.02 * rng.standard_normal((100, 64))]).astype(np.float32)
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<float>")
+    got = {r.vec_id: r for r in metric_join.near_duplicates(df, 0.95).collect()}
+    n, root = linked_by_brute_force(x)
+    assert [(got[k].n_links, got[k].component_id) for k in range(len(x))] == [(n[k], root[k]) for k in range(len(x))]
+    assert sum(written) < 2 * x.nbytes
+
+
+@pytest.mark.parametrize(("dim", "kind"), [(5, "double"), (40, "float")])
+def test_metric_join_by_slabs(spark, monkeypatch, dim, kind):
+    """Many slabs, cells that fill several slabs, small tiles: each pair meets once."""
+    for name, value in (("CELL_ROWS", 60), ("BLOCK_ROWS", 8), ("SLAB_BYTES", 30 * dim * 8), ("TILE_PAIRS", 64), ("HELD_BYTES", 4000)):
+        monkeypatch.setattr(metric_join, name, value)
+    rng = np.random.default_rng(dim)
+    x = rng.standard_normal((200, dim))
+    x = np.concatenate([x, x[:40] * 3 + 0.05 * rng.standard_normal((40, dim)), x[:1] + 0.05 * rng.standard_normal((80, dim))]).astype(np.float32)
+    short = x[:30, :3].copy()
+    rows = [(k, v.tolist()) for k, v in enumerate(x)] + [(1000 + k, v.tolist()) for k, v in enumerate(short)]
+    df = spark.createDataFrame(rows + rows[:3], f"vec_id long, embedding array<{kind}>").repartition(3)
+    got = {r.vec_id: r for r in metric_join.near_duplicates(df, 0.95).collect()}
+    for part, at in ((x, 0), (short, 1000)):
+        n, root = linked_by_brute_force(part)
+        assert [(got[at + k].n_links, got[at + k].component_id) for k in range(len(part))] == [(n[k], at + root[k]) for k in range(len(part))]
+
+
+def test_short_products_bound_cosines():
+    rng = np.random.default_rng(4)
+    x = metric_join.unit(rng.standard_normal((300, 32)) * np.linspace(3, 0.1, 32))
+    basis = metric_join.leading(x, 0.95)
+    assert basis.shape[1] < 32 and np.allclose(basis.T @ basis, np.eye(basis.shape[1]))
+    z = metric_join.shortened(x, basis)
+    assert (z @ z.T >= x @ x.T - 1e-6).all()
+    for share in (0.0, 1e-4, 0.5):
+        hit = rng.random((37, 211)) < share
+        assert all((a == b).all() for a, b in zip(metric_join.true_cells(hit), np.nonzero(hit), strict=True))
+
+
 def test_forest_connects_what_links_connect():
     rng = np.random.default_rng(0)
     for density in (0.02, 0.5):
