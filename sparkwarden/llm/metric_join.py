@@ -74,9 +74,9 @@ def shortened(x: np.ndarray, basis: np.ndarray) -> np.ndarray:
     return np.concatenate([z, np.sqrt(np.maximum(0, 1 - (z * z).sum(axis=1, keepdims=True)))], axis=1).astype(np.float32)
 
 
-def true_cells(hit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """``np.nonzero`` of a matrix, quick if few cells are true."""
-    if np.count_nonzero(hit) > hit.size >> 10:
+def true_cells(hit: np.ndarray, hits: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """``np.nonzero`` of a matrix, quick if few cells are true; ``hits`` is their number, if known."""
+    if (np.count_nonzero(hit) if hits is None else hits) > hit.size >> 10:
         return np.divmod(np.flatnonzero(hit), hit.shape[1])
     data, at, k = hit.tobytes(), [], -1
     while (k := data.find(1, k + 1)) >= 0:
@@ -120,7 +120,7 @@ class Labels:
     """Union-find of a slab's columns over all blocks of a task, so that links within what is connected are left out."""
 
     def __init__(self, n: int):
-        self.up, self.known, self.merged = np.arange(n), np.arange(n), 0
+        self.up, self.known, self.vain = np.arange(n), np.arange(n), 0
 
     def find(self, x: int) -> int:
         up = self.up
@@ -145,6 +145,8 @@ class Labels:
     def join(self, row_label: np.ndarray, i: np.ndarray, j: np.ndarray) -> tuple[list[int], list[int]]:
         """Connect rows of a block with columns; those of the links that were needed for it. ``row_label`` is -1 for a row without any."""
         new = np.flatnonzero(row_label[i] != self.known[j])
+        if not len(new):
+            return [], []
         _, first = np.unique(i[new] * len(self.up) + self.known[j[new]], return_index=True)
         rows, columns = [], []
         for row, column in zip(i[new[first]].tolist(), j[new[first]].tolist(), strict=True):
@@ -152,14 +154,14 @@ class Labels:
             if row_label[row] >= 0:
                 own = self.find(row_label[row])
                 if own == root:
+                    row_label[row], self.vain = root, self.vain + 1
                     continue
                 self.up[max(own, root)] = root = min(own, root)
-                self.merged += 1
             row_label[row] = root
             rows.append(row)
             columns.append(column)
-        if self.merged >= 64:
-            self.merged = 0
+        if self.vain >= 512:  # links that the labels known would have left out
+            self.vain = 0
             while ((up := self.up[self.up]) != self.up).any():
                 self.up = up
             self.known = self.up.copy()
@@ -349,7 +351,7 @@ def range_join(values: DataFrame, tally: DataFrame, cosine: float) -> tuple[Data
                         i, j = labels[dim].some(linked, at)
                         j = at[j]
                     elif hits:
-                        i, j = true_cells(hit)
+                        i, j = true_cells(hit, hits)
                         j = at[j]
                         linked = one.linked(other, i, j, cosine)
                         i, j = i[linked], j[linked]
